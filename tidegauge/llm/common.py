@@ -43,3 +43,9 @@ def row_hash(df: DataFrame):
     """64-bit hash over all columns of a row; map columns, which can't be hashed, as JSON."""
     cols = [F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
     return F.xxhash64(*cols)
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns that an operator is about to add, however they are cased."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])

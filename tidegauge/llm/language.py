@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import without
+
 CHUNK = 1 << 18
 
 
@@ -136,4 +138,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([predict_one(t, shared.value) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("predicted", predicted(F.col(text))).select("*", "predicted.lang_pred", "predicted.score").drop("predicted")
+    return without(docs, ["lang_pred", "score", "predicted"]).withColumn("predicted", predicted(F.col(text))).select("*", "predicted.lang_pred", "predicted.score").drop("predicted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near_dedup, token_count, url_filter
+from . import language, mixing, near_dedup, secret_scan, sharding, token_count, topk, url_filter
 from .common import materialise, read
 
 
@@ -68,11 +68,77 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.digest(secret_scan.scan_secrets(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+#: mixing.mix's defaults: weights are square roots of row counts, 720 slots a period or so, 16
+#: rows a block, 16 blocks a bucket, 512 sources by name.
+OP5_SQL = """
+WITH RECURSIVE k AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key,
+    coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, 0) AS hash FROM documents),
+c AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS r FROM k GROUP BY key),
+g AS (SELECT CASE WHEN r <= 512 THEN key ELSE '*' END AS class, sum(n)::BIGINT AS n FROM c GROUP BY 1),
+s AS (SELECT class, n, greatest(1, round(sqrt(n) / sum(sqrt(n)) OVER () * 720))::BIGINT AS share,
+    row_number() OVER (ORDER BY class) - 1 AS i FROM g),
+one AS (SELECT list(share ORDER BY i) AS shares, sum(share)::BIGINT AS period FROM s),
+run(t, pick, done) AS (
+  SELECT -1::BIGINT, -1::BIGINT, list_transform(shares, lambda x: 0::BIGINT) FROM one
+  UNION ALL
+  SELECT t + 1, p, list_transform(done, lambda x, j: CASE WHEN j = p + 1 THEN x + 1 ELSE x END) FROM (
+    SELECT t, done, list_min(list_filter(list_transform(done, lambda x, j:
+        CASE WHEN x < shares[j] AND x * period // shares[j] <= t + 1
+             THEN ((x + 1) * period + shares[j] - 1) // shares[j] * 100000 + j - 1 END), lambda y: y IS NOT NULL)) % 100000 AS p, period
+    FROM run, one WHERE t + 1 < period)),
+turns AS (SELECT pick AS i, t AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM run WHERE t >= 0),
+d AS (SELECT k.doc_id, k.source, s.class, s.share, s.i, k.hash, k.hash % ceil(s.n / 256)::BIGINT AS bucket
+      FROM k JOIN s ON s.class = k.key OR (s.class = '*' AND k.key NOT IN (SELECT class FROM s))),
+q AS (SELECT *, row_number() OVER (PARTITION BY class, bucket ORDER BY hash, doc_id) - 1 AS j FROM d),
+b AS (SELECT class, bucket, sum(k) OVER (PARTITION BY class ORDER BY bucket) - k AS before
+      FROM (SELECT class, bucket, ceil(count(*) / 16)::BIGINT AS k FROM d GROUP BY 1, 2)),
+n AS (SELECT q.*, (before + j // 16)::BIGINT AS block FROM q JOIN b USING (class, bucket))
+SELECT doc_id, source, n.class AS mix_class, block AS mix_block, block * period // share AS mix_release,
+  ((block + 1) * period + share - 1) // share AS mix_deadline, block // share * period + place AS mix_slot, (j % 16)::INTEGER AS mix_place
+FROM n JOIN turns ON turns.i = n.i AND turns.turn = block % share, one
+"""
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
+    sized = docs.select("doc_id", "source", "lang", sharding.size_of("text").alias("size"), crc.alias("text_crc32"))
+    return sharding.curve_shards(sized, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_hilbert_shards": op6_hilbert_shards,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
 
-SQL = {"op8_url_filter": OP8_SQL}
+SQL = {"op5_mix_sources": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_exact_top_k": OP9_SQL}

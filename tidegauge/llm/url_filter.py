@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Rules go to every executor; a longer list has to be split by the caller.
 MAX_RULES = 500_000
 
@@ -87,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     malformed urls get the rules for an empty host, so usually ``default``; no rows give no rows."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; {MAX_RULES} at most go to the executors")
-    at = with_host_and_path(pages, url)
+    at = without(with_host_and_path(pages, url), ["rule", "verdict", "n_tried", "judged"])
     tokens = sorted(set().union(*map(literal_tokens, rules)))
     spark = pages.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(t,) for t in tokens], "token string"))
