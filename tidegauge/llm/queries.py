@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_dedup, secret_scan, sharding, token_count, topk, url_filter
+from . import decontaminate, language, line_dedup, mixing, near_dedup, secret_scan, sharding, token_count, topk, url_filter
 from .common import materialise, read
 
 
@@ -68,6 +68,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"), "doc_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+    found = line_dedup.line_decisions(docs, "uid")
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.digest(secret_scan.scan_secrets(docs))
@@ -131,6 +142,8 @@ FROM s QUALIFY rank <= 10
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
