@@ -8,25 +8,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _lanes(hashes: Column, width: int) -> Column:
-    """SimHash by sums in lanes: accumulator j holds, one to a lane of ``width`` bits, how many
-    hashes have bit j, j + width, j + 2 width, ... So a hash costs ``width`` additions, not 64.
-    Good for fewer than 2 ** (width - 2) hashes."""
-    ones = sum(1 << k for k in range(0, 64, width))
-    half = 1 << width - 2
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(width)])
-    bit = lambda h, j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones)) if j else h.bitwiseAND(F.lit(ones))
-    n = F.size(hashes).cast("long")
+def _ones(width: int) -> int:
+    return sum(1 << k for k in range(0, 64, width))
+
+
+def lane_bits(h: Column, j: int, width: int) -> Column:
+    """Bits j, j + width, j + 2 width, ... of ``h``, each alone in a lane of ``width`` bits."""
+    return (F.shiftrightunsigned(h, j) if j else h).bitwiseAND(F.lit(_ones(width)))
 
-    def finish(state):
+
+def from_lanes(sums: list[Column], n: Column, width: int) -> Column:
+    """SimHash of ``n`` hashes from the sums of their lane_bits for j from 0 to width - 1. So a hash
+    costs ``width`` additions, not 64. Good for n below 2 ** (width - 2)."""
+    half, out = 1 << width - 2, F.lit(0).cast("long")
+    for j, s in enumerate(sums):
         # a lane reaches its bit ``half`` if its count is over half of n
-        over = [(state[f"s{j}"] + (F.lit(half - 1) - F.floor(n / 2)) * F.lit(ones)).bitwiseAND(F.lit(ones * half)) for j in range(width)]
-        out = F.lit(0).cast("long")
-        for j, x in enumerate(over):
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, width - 2), j))
-        return out
+        over = (s + (F.lit(half - 1) - F.floor(n.cast("long") / 2)) * F.lit(_ones(width))).bitwiseAND(F.lit(_ones(width) * half))
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, width - 2), j))
+    return out
+
 
-    return F.aggregate(hashes, zero, lambda s, h: F.struct(*[(s[f"s{j}"] + bit(h, j)).alias(f"s{j}") for j in range(width)]), finish)
+def _lanes(hashes: Column, width: int) -> Column:
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(width)])
+    step = lambda s, h: F.struct(*[(s[f"s{j}"] + lane_bits(h, j, width)).alias(f"s{j}") for j in range(width)])
+    return F.aggregate(hashes, zero, step, lambda s: from_lanes([s[f"s{j}"] for j in range(width)], F.size(hashes), width))
 
 
 def simhash(hashes: Column) -> Column:
