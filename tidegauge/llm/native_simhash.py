@@ -12,32 +12,47 @@ def _ones(width: int) -> int:
     return sum(1 << k for k in range(0, 64, width))
 
 
-def lane_bits(h: Column, j: int, width: int) -> Column:
-    """Bits j, j + width, j + 2 width, ... of ``h``, each alone in a lane of ``width`` bits."""
-    return (F.shiftrightunsigned(h, j) if j else h).bitwiseAND(F.lit(_ones(width)))
+def _sums(hashes: Column, width: int) -> Column:
+    """Sums in lanes: field j holds, one to a lane of ``width`` bits, how many hashes have bit j,
+    j + width, j + 2 width, ... So a hash costs ``width`` additions, not 64."""
+    lane = lambda h, j: (F.shiftrightunsigned(h, j) if j else h).bitwiseAND(F.lit(_ones(width)))
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(width)])
+    return F.aggregate(hashes, zero, lambda s, h: F.struct(*[(s[f"s{j}"] + lane(h, j)).alias(f"s{j}") for j in range(width)]))
 
 
-def from_lanes(sums: list[Column], n: Column, width: int) -> Column:
-    """SimHash of ``n`` hashes from the sums of their lane_bits for j from 0 to width - 1. So a hash
-    costs ``width`` additions, not 64. Good for n below 2 ** (width - 2)."""
+def _majority(sums: Column, n: Column, width: int) -> Column:
+    """SimHash of ``n`` hashes, fewer than 2 ** (width - 2), from their sums."""
     half, out = 1 << width - 2, F.lit(0).cast("long")
-    for j, s in enumerate(sums):
+    for j in range(width):
         # a lane reaches its bit ``half`` if its count is over half of n
-        over = (s + (F.lit(half - 1) - F.floor(n.cast("long") / 2)) * F.lit(_ones(width))).bitwiseAND(F.lit(_ones(width) * half))
+        over = (sums[f"s{j}"] + (F.lit(half - 1) - F.floor(n.cast("long") / 2)) * F.lit(_ones(width))).bitwiseAND(F.lit(_ones(width) * half))
         out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, width - 2), j))
     return out
 
 
-def _lanes(hashes: Column, width: int) -> Column:
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(width)])
-    step = lambda s, h: F.struct(*[(s[f"s{j}"] + lane_bits(h, j, width)).alias(f"s{j}") for j in range(width)])
-    return F.aggregate(hashes, zero, step, lambda s: from_lanes([s[f"s{j}"] for j in range(width)], F.size(hashes), width))
+def _once(value: Column, then) -> Column:
+    """``then`` of ``value``, evaluated once though ``then`` uses it often."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _small(hashes: Column) -> Column:
+    return _once(_sums(hashes, 8), lambda s: _majority(s, F.size(hashes), 8))
+
+
+def _large(hashes: Column) -> Column:
+    """Sums of 63 hashes at a time fit lanes of 8 bits; those sums are spread to lanes of 32."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / 63).cast("int")), lambda i: _sums(F.slice(hashes, i * 63 + 1, 63), 8))
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(32)])
+    # bit j + 8 q of a lane sum becomes, for 32 bits, field (j + 8 q) % 32 in the upper or lower lane
+    spread = lambda p, j: F.shiftrightunsigned(p[f"s{j % 8}"], j // 8 * 8).bitwiseAND(F.lit(255 | 255 << 32))
+    sums = F.aggregate(pieces, zero, lambda s, p: F.struct(*[(s[f"s{j}"] + spread(p, j)).alias(f"s{j}") for j in range(32)]))
+    return _once(sums, lambda s: _majority(s, F.size(hashes), 32))
 
 
 def simhash(hashes: Column) -> Column:
-    """Signed 64-bit SimHash of an array of 64-bit feature hashes: a bit is set if over half of them
-    have it. An empty array gives 0, null gives null."""
-    return F.when(F.size(hashes) < 1 << 6, _lanes(hashes, 8)).when(F.size(hashes) < 1 << 14, _lanes(hashes, 16)).otherwise(_lanes(hashes, 32))
+    """Signed 64-bit SimHash of an array of fewer than 2 ** 30 feature hashes of 64 bits: a bit is
+    set if over half of them have it. An empty array gives 0, null gives null."""
+    return F.when(F.size(hashes) < 64, _small(hashes)).otherwise(_large(hashes))
 
 
 def block_keys(fingerprint: Column, radius: int, blocks: int | None = None) -> Column:
@@ -45,12 +60,14 @@ def block_keys(fingerprint: Column, radius: int, blocks: int | None = None) -> C
 
     The 64 bits are cut into ``blocks`` (radius + 1 if not given). Bits that differ touch
     ``radius`` blocks at most, so blocks - radius blocks agree; each choice of that many makes a
-    key: the fingerprint's bits there, hashed with the choice's number."""
+    key: the fingerprint's bits there, hashed with the choice's number (to 32 bits if they are few;
+    keys that collide only cost a comparison)."""
     blocks = blocks or radius + 1
     edges = [64 * b // blocks for b in range(blocks + 1)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    return F.array(*[F.xxhash64(F.lit(i), fingerprint.bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(masks)])
+    hashed = F.xxhash64 if edges[blocks - radius] > 26 else F.hash
+    return F.array(*[hashed(F.lit(i), fingerprint.bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(masks)])
 
 
 def distance(a: Column, b: Column) -> Column:
