@@ -131,16 +131,17 @@ def edit(a, b):
 def test_lines(spark):
     base = "the quick brown fox jumps over the lazy dog while seven other animals watch from the far bank of the river at noon today"
     near = base.replace("noon", "noons")
-    texts = [(1, f"{base}\nunique one\n\n{base.upper()}"), (2, f"{near}\nunique  one\nshort"), (3, f"another line of quite different words altogether here\n\n{base}"), (4, None), (5, ""), (6, " ".join(["many"] * 20_000) + "\nshort")]
+    texts = [(1, f"{base}\nunique one\n\n{base.upper()}"), (2, f"{near}\nunique  one\nshort"), (3, f"another line of quite different words altogether here\n\n{base}"), (4, None), (5, ""), (6, " ".join(["many"] * 20_000) + "\nshort"), (7, "one | two | three | four\nsix | seven | eight | nine | ten\n| | | | | |\n--\n--\none | two | three | four | five")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_lines"], list(r["dropped"])) for r in line_dedup.line_decisions(df.withColumn("uid", F.monotonically_increasing_id()), "uid").collect()}
     lines = [(d, n, " ".join(x.lower().split())) for d, t in texts if t is not None for n, x in enumerate(t.split("\n"))]
     norm = sorted({x for _, _, x in lines if x})
     group = {x: x for x in norm}
-    long = [x for x in norm if 5 <= len(x.split()) < 1000]
+    features = {x: [w for w in x.split() if re.search(r"[^\W_]", w)] for x in norm if len(x) < 10_000}
+    long = [x for x in features if len(features[x]) >= 5]
     for i, a in enumerate(long):
         for b in long[:i]:
-            if (simhash_plain(a.split()) ^ simhash_plain(b.split())).bit_count() <= 3 and edit(a, b) <= 0.2 * max(len(a), len(b)):
+            if (simhash_plain(features[a]) ^ simhash_plain(features[b])).bit_count() <= 3 and edit(a, b) <= 0.2 * max(len(a), len(b)):
                 old, new = group[a], group[b]
                 group = {k: new if v == old else v for k, v in group.items()}
     seen, want = set(), {d: (0, []) for d, _ in texts}

@@ -12,15 +12,19 @@ def _ones(width: int) -> int:
     return sum(1 << k for k in range(0, 64, width))
 
 
+def lane_bits(h: Column, j: int, width: int) -> Column:
+    """Bits j, j + width, j + 2 width, ... of ``h``, each alone in a lane of ``width`` bits."""
+    return (F.shiftrightunsigned(h, j) if j else h).bitwiseAND(F.lit(_ones(width)))
+
+
 def _sums(hashes: Column, width: int) -> Column:
     """Sums in lanes: field j holds, one to a lane of ``width`` bits, how many hashes have bit j,
     j + width, j + 2 width, ... So a hash costs ``width`` additions, not 64."""
-    lane = lambda h, j: (F.shiftrightunsigned(h, j) if j else h).bitwiseAND(F.lit(_ones(width)))
     zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(width)])
-    return F.aggregate(hashes, zero, lambda s, h: F.struct(*[(s[f"s{j}"] + lane(h, j)).alias(f"s{j}") for j in range(width)]))
+    return F.aggregate(hashes, zero, lambda s, h: F.struct(*[(s[f"s{j}"] + lane_bits(h, j, width)).alias(f"s{j}") for j in range(width)]))
 
 
-def _majority(sums: Column, n: Column, width: int) -> Column:
+def majority(sums: Column, n: Column, width: int) -> Column:
     """SimHash of ``n`` hashes, fewer than 2 ** (width - 2), from their sums."""
     half, out = 1 << width - 2, F.lit(0).cast("long")
     for j in range(width):
@@ -30,13 +34,13 @@ def _majority(sums: Column, n: Column, width: int) -> Column:
     return out
 
 
-def _once(value: Column, then) -> Column:
+def once(value: Column, then) -> Column:
     """``then`` of ``value``, evaluated once though ``then`` uses it often."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _small(hashes: Column) -> Column:
-    return _once(_sums(hashes, 8), lambda s: _majority(s, F.size(hashes), 8))
+    return once(_sums(hashes, 8), lambda s: majority(s, F.size(hashes), 8))
 
 
 def _large(hashes: Column) -> Column:
@@ -46,7 +50,7 @@ def _large(hashes: Column) -> Column:
     # bit j + 8 q of a lane sum becomes, for 32 bits, field (j + 8 q) % 32 in the upper or lower lane
     spread = lambda p, j: F.shiftrightunsigned(p[f"s{j % 8}"], j // 8 * 8).bitwiseAND(F.lit(255 | 255 << 32))
     sums = F.aggregate(pieces, zero, lambda s, p: F.struct(*[(s[f"s{j}"] + spread(p, j)).alias(f"s{j}") for j in range(32)]))
-    return _once(sums, lambda s: _majority(s, F.size(hashes), 32))
+    return once(sums, lambda s: majority(s, F.size(hashes), 32))
 
 
 def simhash(hashes: Column) -> Column:
