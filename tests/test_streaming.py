@@ -37,3 +37,12 @@ def test_first_arrivals(spark, sf_dir):
     rows = legs(spark, sf_dir).withColumn("at", F.timestamp_micros("recv_leg_us")).select("flow_id", "vseq", "at")
     got = streamed(spark, rows, live.first_arrivals)
     assert got.count() == got.select("flow_id", "vseq").distinct().count() == rows.select("flow_id", "vseq").distinct().count()
+
+
+def test_two_legs(spark, sf_dir):
+    rows = legs(spark, sf_dir).withColumn("at", F.timestamp_micros("recv_leg_us")).select("flow_id", "vseq", "leg", "at")
+    got = {tuple(r) for r in streamed(spark, rows, lambda s: live.two_legs(s.where("leg = 0"), s.where("leg = 1"))).collect()}
+    a, b = (rows.where(F.col("leg") == i).select("flow_id", "vseq", F.col("at").alias(n)) for i, n in enumerate(("a_at", "b_at")))
+    want = {tuple(r) for r in a.join(b, ["flow_id", "vseq"], "full_outer").select("flow_id", "vseq", "a_at", "b_at").collect()}
+    # every pair is out, and of those without a partner only such as the watermark has passed
+    assert got <= want and {r for r in want if r[2] and r[3]} <= got
