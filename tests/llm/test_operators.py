@@ -151,6 +151,35 @@ def test_lines(spark):
     assert got == want
 
 
+def test_lines_with_changed_words_and_letters(spark):
+    """All pairs by edit similarity alone, without any fingerprint."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    lines = []
+    for n in [1, 1, 2, 2, 3, 3, 4, 4, *[10] * 8, *[20] * 8, *[40] * 6]:
+        words = [word() for _ in range(n)]
+        lines.append(" ".join(words))
+        for changes in range(1, 1 + max(1, n // 7)):
+            other = list(words)
+            for at in rng.choice(n, min(n, changes), replace=False):
+                other[at] = word() if n > 4 else other[at] + "!"
+            lines.append(" ".join(other))
+        lines.append(lines[-1][:3] + "x" + lines[-1][4:])
+    lines = [x for x in dict.fromkeys(lines) if x]
+    group = {x: x for x in lines}
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if group[a] != group[b] and 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * edit(a, b) <= max(len(a), len(b)):
+                old, new = group[a], group[b]
+                group = {k: new if v == old else v for k, v in group.items()}
+    seen, want = set(), []
+    for n, x in enumerate(lines):
+        want += [n] if group[x] in seen else []
+        seen.add(group[x])
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").withColumn("uid", F.lit(1).cast("long"))
+    assert list(line_dedup.line_decisions(df, "uid", reach=line_dedup.REACH).first()["dropped"]) == want and len(want) > 30
+
+
 def test_near_duplicates(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     out = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op4_simhash_near_dedup(spark, sf_dir).collect()}

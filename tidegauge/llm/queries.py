@@ -75,7 +75,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
-    found = line_dedup.line_decisions(docs, "uid")
+    found = line_dedup.line_decisions(docs, "uid", reach=line_dedup.REACH)
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"))
 
 
