@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash windows (operator 1).
+"""Benchmark decontamination by windows (operator 1).
 
 DataFrame operations only."""
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, materialise, row_hash
-from .native_simhash import block_keys, distance, simhash
 
 SHINGLE = 5
 
@@ -24,26 +23,20 @@ def shingles_of(words: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def _fingerprint(words: Column) -> Column:
-    """SimHash over the set of words: one changed word moves few bits, whatever its shingles."""
-    return simhash(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)))
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, key: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", radius: int = 11, similarity: float = 0.8) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, key: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
     """(key, item_id, start, n_words, similarity) for every document and item that a window of the
     document, as long as the item, matches: the best window of the pair, counted in words from 0.
 
     Windows are those that start where a shingle shared with an item puts the item's start (moved
     inside the document, cut to it if it is shorter): the similarity asked for can't be had without
-    a shared shingle, so no other window can match. Equal windows are judged once: their SimHash
-    meets the items' through ``radius`` + 1 blocks, which finds all within ``radius`` bits, and a
-    meeting counts if the weighted Jaccard similarity of the shingle multisets is at least
-    ``similarity``. Items of fewer words than a shingle match documents of just those words; items
+    a shared shingle, so no other window can match. Equal windows are judged once: they meet each
+    item with a shingle of theirs, and a meeting counts if the weighted Jaccard similarity of the
+    shingle multisets is at least ``similarity``. No such meeting is missed. Items of fewer words than a shingle match documents of just those words; items
     and documents without words match nothing. Repeated items each match; no rows give no rows.
 
-    The items' shingles and blocks are left to Spark to broadcast or shuffle by their size."""
+    The items' shingles are left to Spark to broadcast or shuffle by their size."""
     item = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
-    item = item.withColumn("shingles", shingles_of(F.col("words"))).withColumn("fp", _fingerprint(F.col("words")))
+    item = item.withColumn("shingles", shingles_of(F.col("words")))
     item = materialise(item.withColumn("number", F.monotonically_increasing_id()), "items")
     doc = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
     anchors = item.select(F.size("words").alias("w"), F.posexplode("shingles").alias("offset", "shingle")).distinct()
@@ -53,13 +46,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str, text: str = "text",
     seen = cut.select("key", "start", F.size("words").alias("n_words"), F.xxhash64("words").alias("window"), "words")
     placed = materialise(seen.groupBy("key", "start", "n_words", "window").agg(F.first("words").alias("words")), "windows")
     window = placed.groupBy("window").agg(F.first("words").alias("words")).select("window", "words", shingles_of(F.col("words")).alias("shingles"))
-    window = materialise(window.withColumn("fp", _fingerprint(F.col("words"))).drop("words"), "fingerprints")
-    theirs = item.select("number", F.size("shingles").alias("n_item"), F.col("fp").alias("item_fp"), F.explode(block_keys(F.col("fp"), radius)).alias("block"))
-    near = window.select("window", "fp", F.size("shingles").alias("n"), F.explode(block_keys(F.col("fp"), radius)).alias("block")).join(theirs, "block").where(distance(F.col("fp"), F.col("item_fp")) <= radius)
-    near = near.select("window", "n", "number", "n_item").distinct()
-    held = window.select("window", F.explode("shingles").alias("shingle")).groupBy("window", "shingle").agg(F.count(F.lit(1)).alias("k"))
-    wanted = item.select("number", F.explode("shingles").alias("shingle")).groupBy("number", "shingle").agg(F.count(F.lit(1)).alias("k_item"))
-    shared = near.join(held, "window").join(wanted, ["number", "shingle"]).groupBy("window", "number", "n", "n_item").agg(F.sum(F.least("k", "k_item")).alias("both"))
+    window = materialise(window.drop("words"), "shingles")
+    held = window.select("window", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).groupBy("window", "n", "shingle").agg(F.count(F.lit(1)).alias("k"))
+    wanted = item.select("number", F.size("shingles").alias("n_item"), F.explode("shingles").alias("shingle")).groupBy("number", "n_item", "shingle").agg(F.count(F.lit(1)).alias("k_item"))
+    close = F.least("n", "n_item") >= similarity * F.greatest("n", "n_item")
+    shared = held.join(wanted, "shingle").where(close).groupBy("window", "number", "n", "n_item").agg(F.sum(F.least("k", "k_item")).alias("both"))
     alike = shared.withColumn("similarity", F.col("both") / (F.col("n") + F.col("n_item") - F.col("both"))).where(F.col("similarity") >= similarity)
     ids = item.select("number", "item_id")
     long = placed.drop("words").join(alike.select("window", "number", "similarity"), "window").join(ids, "number")
@@ -71,9 +62,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str, text: str = "text",
     return every.groupBy("key", "item_id").agg(best.alias("best")).select(F.col("key").alias(key), "item_id", "best.*")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", radius: int = 11, similarity: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
     """``docs`` without the documents in which ``find_leaks`` finds an item; columns stay."""
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, row_hash(docs))
-    leaks = find_leaks(keyed, items, key, text, item_id, item_text, radius, similarity)
+    leaks = find_leaks(keyed, items, key, text, item_id, item_text, similarity)
     return keyed.join(leaks.select(key).distinct(), key, "left_anti").drop(key)
