@@ -245,6 +245,19 @@ def test_shards(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_pipeline_shards_follow_the_mix(spark):
+    """In every shard the slots go along the schedule, so shares along them follow the weights."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'same text' AS text", "'en' AS lang", "if(id % 10 = 0, 'small', 'big') AS source", "9 AS n_chars")
+    due = {r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in mixing.mix(docs).collect()}
+    plain = {r["doc_id"]: r["shard"] for r in sharding.curve_shards(docs.withColumn("size", sharding.size_of("text")), 24).collect()}
+    out = corpus_pipeline.shard(spark, docs, "").collect()
+    assert {r["doc_id"]: r["shard"] for r in out} == plain
+    for shard in range(24):
+        rows = sorted((r["slot"], r["doc_id"]) for r in out if r["shard"] == shard)
+        assert [s for s, _ in rows] == list(range(250))
+        assert [due[d] for _, d in rows] == sorted(due[d] for _, d in rows)
+
+
 def test_tokens(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,13 +52,29 @@ def magnitude(value: Column, bits: int, per_octave: int = 3) -> Column:
     return F.coalesce(F.least(level, F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
 
 
-def shard_by_curve(docs: DataFrame, cells: list[Column], bits: int, shards: int, order: list[str]) -> DataFrame:
+#: A function that adds columns to rows of source and doc_id, and the names of those that order them.
+Schedule = tuple[Callable[[DataFrame], DataFrame], list[str]] | None
+
+
+def _counted(ranged: DataFrame, at: str) -> tuple[DataFrame, Column]:
+    """``ranged``, a written table numbered in its partitions by ``at``, with columns part, before
+    and all; and a row's place in the whole order with the count of all rows."""
+    part, total = F.shiftright(at, 33), Window.orderBy("part")
+    before = ranged.groupBy(part.alias("part")).count().select("part", (F.sum("count").over(total) - F.col("count")).alias("before"), F.sum("count").over(total.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    place = F.struct((F.col("before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias("p"), F.col("all").alias("n"))
+    return ranged.join(F.broadcast(before), part == F.col("part")), place
+
+
+def shard_by_curve(docs: DataFrame, cells: list[Column], bits: int, shards: int, order: list[str], slots_by: Schedule = None) -> DataFrame:
     """``docs`` with curve (Hilbert index of its cells), shard and slot.
 
     Rows are ranged by curve, then by ``order``, then by row hash, and that order is cut into runs
     whose row counts differ by one at most; slot counts from 0 in a shard. Rows that are equal in
     all columns may change places. No rows give no rows; with fewer rows than shards some shards
-    stay empty. The ranged rows are written once; only a row a partition of them is counted up."""
+    stay empty. The ranged rows are written once; only a row a partition of them is counted up.
+
+    With ``slots_by``, a function that adds columns to rows of source and doc_id and the names of
+    those that order them, slot counts in that order instead; shards stay as they are."""
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
@@ -69,12 +87,19 @@ def shard_by_curve(docs: DataFrame, cells: list[Column], bits: int, shards: int,
     ranged = docs.withColumn(tie, row_hash(docs)).withColumn(luck, F.rand(7))
     ranged = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie, luck)
     ranged = materialise(ranged.withColumn(at, F.monotonically_increasing_id()), "ranged")
-    part, total = F.shiftright(at, 33), Window.orderBy("part")
-    before = ranged.groupBy(part.alias("part")).count().select("part", (F.sum("count").over(total) - F.col("count")).alias("before"), F.sum("count").over(total.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    place = F.struct((F.col("before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias("p"), F.col("all").alias("n"))
-    joined = ranged.join(F.broadcast(before), part == F.col("part")).select(*[F.col(f"`{c}`") for c in docs.columns], place.alias(at))
+    joined, place = _counted(ranged, at)
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], place.alias(at))
     run = F.expr(f"{at}.p * {shards} div {at}.n").cast("int")
-    return joined.withColumn("shard", run).withColumn("slot", F.expr(f"{at}.p - (shard * {at}.n + {shards} - 1) div {shards}")).drop(at)
+    slot = F.expr(f"{at}.p - (shard * {at}.n + {shards} - 1) div {shards}")
+    if slots_by is None:
+        return joined.withColumn("shard", run).withColumn("slot", slot).drop(at)
+    schedule, turns = slots_by
+    sharded = joined.withColumn("shard", run)
+    due = schedule(sharded.select("source", "doc_id", "shard", F.col(f"{at}.p").alias("row"))).select("shard", "row", *turns)
+    due = due.repartitionByRange("shard", *turns, "row").sortWithinPartitions("shard", *turns, "row").select("shard", "row", F.monotonically_increasing_id().alias(at))
+    due, place = _counted(materialise(due, "due"), at)
+    due = due.select("shard", "row", place.alias(at)).select(F.col("row").alias(tie), slot.alias("slot"))
+    return sharded.join(due, F.col(f"{at}.p") == F.col(tie)).drop(at, tie)
 
 
 def write_shards(sharded: DataFrame, path: str, shards: int) -> None:
@@ -87,7 +112,7 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def curve_shards(docs: DataFrame, shards: int = 24, bits: int = 6) -> DataFrame:
+def curve_shards(docs: DataFrame, shards: int = 24, bits: int = 6, slots_by: Schedule = None) -> DataFrame:
     """``docs`` with curve, shard and slot: sharded by source, language and size (a column of
     ``docs``; see ``size_of``)."""
-    return shard_by_curve(docs, [category("source", bits), category("lang", bits), magnitude(F.col("size"), bits)], bits, shards, ["doc_id"])
+    return shard_by_curve(docs, [category("source", bits), category("lang", bits), magnitude(F.col("size"), bits)], bits, shards, ["doc_id"], slots_by)
