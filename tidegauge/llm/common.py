@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,9 +16,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (one machine, tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
+    and all runs on one machine (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -46,9 +49,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def row_hash(df: DataFrame):
-    """64-bit hash over all columns of a row; map columns, which can't be hashed, as JSON."""
+    """128-bit hash over all columns of a row, as a struct; map columns, which can't be hashed, as JSON."""
     cols = [F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
-    return F.xxhash64(*cols)
+    return F.struct(F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit("second"), *cols).alias("h2"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """``df``, written in the order of ``order``, with each row's place in it (from 0) as ``name`` and
+    the count of all rows as ``total``. Rows are ranged, and only a count a partition is summed up."""
+    at = free_name(df, "at")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    ranged = materialise(ranged, "ranged")
+    part, all_ = F.shiftright(at, 33), Window.orderBy("_part")
+    before = ranged.groupBy(part.alias("_part")).count().select("_part", (F.sum("count").over(all_) - F.col("count")).alias("_before"), F.sum("count").over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    place = F.col("_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    more = [F.col("_all").alias(total)] if total else []
+    return ranged.join(F.broadcast(before), part == F.col("_part")).select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name), *more)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

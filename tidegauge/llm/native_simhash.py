@@ -59,19 +59,25 @@ def simhash(hashes: Column) -> Column:
     return F.when(F.size(hashes) < 64, _small(hashes)).otherwise(_large(hashes))
 
 
-def block_keys(fingerprint: Column, radius: int, blocks: int | None = None) -> Column:
-    """Array of keys of which two fingerprints within ``radius`` bits share one at least.
-
-    The 64 bits are cut into ``blocks`` (radius + 1 if not given). Bits that differ touch
-    ``radius`` blocks at most, so blocks - radius blocks agree; each choice of that many makes a
-    key: the fingerprint's bits there, hashed with the choice's number (to 32 bits if they are few;
-    keys that collide only cost a comparison)."""
-    blocks = blocks or radius + 1
-    edges = [64 * b // blocks for b in range(blocks + 1)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    hashed = F.xxhash64 if edges[blocks - radius] > 26 else F.hash
-    return F.array(*[hashed(F.lit(i), fingerprint.bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(masks)])
+def _edges(blocks: int) -> list[tuple[int, int]]:
+    """First bit and width of each block."""
+    cuts = [64 * b // blocks for b in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def near_block_keys(fingerprint: Column, blocks: int) -> Column:
+    """Array of the fingerprint's blocks, each with its number."""
+    part = lambda at, width: F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return F.array(*[F.struct(F.lit(i).alias("i"), part(at, width).alias("v")) for i, (at, width) in enumerate(_edges(blocks))])
+
+
+def nearby_block_keys(fingerprint: Column, blocks: int, bits: int) -> Column:
+    """Array of all values that differ from one of the fingerprint's blocks in ``bits`` bits at most:
+    two fingerprints within blocks * (bits + 1) - 1 bits have one of these and one of
+    ``near_block_keys`` in common, as not every block can have more."""
+    masks = [[sum(1 << k for k in chosen) for n in range(bits + 1) for chosen in combinations(range(width), n)] for _, width in _edges(blocks)]
+    moved = lambda i, m: F.transform(F.lit(m).cast("array<bigint>"), lambda x: F.struct(F.lit(i).alias("i"), F.get(near_block_keys(fingerprint, blocks), i)["v"].bitwiseXOR(x).alias("v")))
+    return F.flatten(F.array(*[moved(i, m) for i, m in enumerate(masks)]))
 
 
 def distance(a: Column, b: Column) -> Column:
