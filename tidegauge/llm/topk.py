@@ -18,45 +18,48 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def nra(rows: np.ndarray, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int, depths: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the indices and scores of its k best rows, best first, ties to smaller ids.
-
-    Each dimension is a list of the rows sorted by value, read from the top for positive query
-    components and from the bottom for negative ones, to the same depth in all lists. What isn't
-    read yet of a row lies between the last value read and the end of its list, which bounds its
-    score; once the rows whose upper bound reaches the k-th best lower bound are few, only theirs
-    are resolved. own[i] is the row that query i is itself, or -1."""
+def sorted_lists(rows: np.ndarray) -> np.ndarray:
+    """A column a dimension: the rows' places, best value first."""
+    return np.argsort(-rows, axis=0, kind="stable").astype(np.int32)
+
+
+def nra(rows: np.ndarray, order: np.ndarray, ids: np.ndarray, own: int, query: np.ndarray, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The indices and scores of the query's k best rows, best first, ties to smaller ids; ``own`` is
+    the row that is the query itself, or -1.
+
+    Each dimension's list (``order``, see ``sorted_lists``) is read in sequence, all to the same depth,
+    from its top for a positive component of the query and from its end for a negative one. What is read
+    adds to a row's lower bound; what isn't lies between the last value read of its list and the list's
+    end, which gives the upper bound. Reading stops when the rows whose upper bound reaches the k-th
+    lower bound are 4 k at most, so that no other row can qualify; their scores are then resolved."""
     n, width = rows.shape
-    if float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1) >= EXACT:
-        exact = np.clip(rows.astype(object) @ queries.astype(object).T, -(1 << 63), (1 << 63) - 1).astype("int64")
-        some = [np.flatnonzero(np.arange(n) != o) for o in own]
-        return [(c[b := _best(ids[c], exact[c, i], k)], exact[c[b], i]) for i, c in enumerate(some)]
-    values = rows.astype(float)
-    order = np.argsort(-rows, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(values, order, axis=0)
-    found: list = [None] * len(queries)
-    open_ = np.arange(len(queries))
-    for step in range(depths - 1, -1, -1):
-        depth = max(1, n >> step)
-        up, down = np.maximum(queries[open_], 0).T.astype(float), np.minimum(queries[open_], 0).T.astype(float)
-        top, bottom = rank < depth, rank >= n - depth
-        lower = np.where(top, values, lists[-1]) @ up + np.where(bottom, values, lists[0]) @ down
-        upper = np.where(top, values, lists[depth - 1]) @ up + np.where(bottom, values, lists[n - depth]) @ down
-        mine = np.flatnonzero(own[open_] >= 0)
-        lower[own[open_][mine], mine] = upper[own[open_][mine], mine] = -np.inf
-        kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(open_), -np.inf)
-        left = (upper >= kth) & (upper > -np.inf)
-        done = (left.sum(axis=0) <= max(4 * k, n // 16)) | (depth == n)
-        for i in np.flatnonzero(done):
-            c = np.flatnonzero(left[:, i])
-            score = rows[c] @ queries[open_[i]]
-            found[open_[i]] = (c[b := _best(ids[c], score, k)], score[b])
-        open_ = open_[~done]
-        if not len(open_):
-            break
-    return found
+    if float(np.abs(rows).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(width, 1) >= EXACT:
+        score = np.clip(rows.astype(object) @ query.astype(object), -(1 << 63), (1 << 63) - 1).astype("int64")
+        left = np.flatnonzero(np.arange(n) != own)
+        best = _best(ids[left], score[left], k)
+        return left[best], score[left[best]]
+    lists = np.flatnonzero(query)
+    part = query[lists].astype(float)
+    up = part > 0
+    ends = np.where(up, order[-1, lists], order[0, lists]) if n else np.zeros(0, int)
+    least = rows[ends, lists] * part
+    low = np.full(n, least.sum())
+    read = np.zeros((n, len(lists)), bool)
+    left, depth = np.flatnonzero(np.arange(n) != own), 0
+    while len(left) > 4 * k and depth < n:
+        to = min(n, depth + step)
+        at = np.where(up, order[depth:to, lists], order[n - to : n - depth, lists][::-1])
+        got = rows[at, lists] * part
+        low += np.bincount(at.ravel(), weights=(got - least).ravel(), minlength=n)
+        read[at, np.arange(len(lists))] = True
+        depth, step = to, step + step // 2
+        gap = got[-1] - least
+        high = low[left] + gap.sum() - read[left] @ gap
+        kth = np.partition(low[left], len(left) - k)[len(left) - k]
+        left = left[high >= kth]
+    score = rows[left] @ query
+    best = _best(ids[left], score, k)
+    return left[best], score[best]
 
 
 def exact_top_k(vectors: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, scale: int = 1024, block: int = 4096, query_block: int = 512) -> DataFrame:
@@ -68,32 +71,39 @@ def exact_top_k(vectors: DataFrame, k: int = 10, vec_id: str = "vec_id", embeddi
     vectors of their length. Vectors that are null or hold null or non-finite components take no
     part; a null id is never a query and loses ties. No rows give no rows.
 
-    Candidates are dealt evenly into blocks and queries into query blocks; each pair of blocks is
-    one group, searched alone, and yields k rows a query at most."""
+    Candidates are dealt evenly into blocks, whose lists are sorted once and written, and queries into
+    query blocks; each pair of blocks is one group, searched alone, and yields k rows a query at most."""
     usable = vectors.where(F.col(embedding).isNotNull() & F.forall(F.col(embedding), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     ints = usable.select(F.col(vec_id).cast("long").alias("id"), F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * scale)).alias("v"))
     ints = materialise(ints.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     asked = F.coalesce(F.col("id") % every == 0, F.lit(False))
     n, queries = ints.agg(F.count(F.lit(1)), F.count_if(asked)).first()
     blocks, rounds = max(1, -(-n // block)), max(1, -(-queries // query_block))
-    dealt = F.xxhash64("uid")
-    candidates = ints.select(F.pmod(dealt, F.lit(blocks)).alias("c"), F.expr(f"explode(sequence(0L, {rounds - 1}L))").alias("q"), F.lit(False).alias("asked"), "uid", "id", "v")
-    sought = ints.where(asked).select(F.expr(f"explode(sequence(0L, {blocks - 1}L))").alias("c"), F.pmod(dealt, F.lit(rounds)).alias("q"), F.lit(True).alias("asked"), "uid", "id", "v")
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        rows, wanted = group[~group["asked"]], group[group["asked"]]
-        none = pd.DataFrame({"query_uid": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if rows.empty or wanted.empty:
-            return none
-        rows = rows.sort_values("uid")
-        uid, ids = rows["uid"].to_numpy(), rows["id"].fillna(np.iinfo("int64").max).to_numpy("int64")
-        at = np.searchsorted(uid, wanted["uid"])
-        own = np.where(uid[np.minimum(at, len(uid) - 1)] == wanted["uid"], at, -1)
-        stack = lambda c: np.array(c.tolist(), "int64").reshape(len(c), -1)
-        best = nra(stack(rows["v"]), ids, own, stack(wanted["v"]), k)
-        out = [pd.DataFrame({"query_uid": u, "query_id": i, "vec_id": rows["id"].astype("Int64").to_numpy()[b], "score": s}) for u, i, (b, s) in zip(wanted["uid"], wanted["id"], best, strict=True)]
-        return pd.concat([none, *out])
-
-    met = candidates.unionAll(sought).groupBy("c", "q", F.size("v").alias("width")).applyInPandas(search, "query_uid long, query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
-    return met.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("query_id"), "rank", "vec_id", "score")
+    dealt, stack = F.xxhash64("uid"), lambda c: np.array(c.tolist(), "int64").reshape(len(c), -1)
+
+    def sort_block(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("uid")
+        rows = stack(group["v"])
+        return pd.DataFrame({"c": group["c"].iloc[:1], "width": rows.shape[1], "uids": [group["uid"].to_numpy()], "ids": [group["id"].tolist()], "rows": [rows.ravel()], "order": [sorted_lists(rows).ravel()]})
+
+    block_of = ints.select(F.pmod(dealt, F.lit(blocks)).alias("c"), "uid", F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "v")
+    lists = materialise(block_of.groupBy("c", F.size("v").alias("width")).applyInPandas(sort_block, "c long, width int, uids array<long>, ids array<long>, rows array<long>, order array<int>"), "lists")
+    lists = lists.select("*", F.expr(f"explode(sequence(0L, {rounds - 1}L))").alias("q"))
+    sought = ints.where(asked).select(F.expr(f"explode(sequence(0L, {blocks - 1}L))").alias("c"), F.pmod(dealt, F.lit(rounds)).alias("q"), F.size("v").alias("width"), "uid", "id", "v")
+
+    def search(block_: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_uid": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")]
+        if not block_.empty and not wanted.empty:
+            of = block_.iloc[0]
+            uids, ids = np.asarray(of["uids"]), np.asarray(of["ids"])
+            rows, order = np.asarray(of["rows"]).reshape(len(ids), -1), np.asarray(of["order"]).reshape(len(ids), -1)
+            for uid, id_, v in zip(wanted["uid"], wanted["id"], wanted["v"], strict=True):
+                at = int(np.searchsorted(uids, uid))
+                found, score = nra(rows, order, ids, at if at < len(uids) and uids[at] == uid else -1, np.asarray(v, "int64"), k)
+                out.append(pd.DataFrame({"query_uid": uid, "query_id": id_, "vec_id": ids[found], "score": score}))
+        return pd.concat(out)
+
+    met = lists.groupBy("c", "q", "width").cogroup(sought.groupBy("c", "q", "width")).applyInPandas(search, "query_uid long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id"))
+    ranked = met.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.nullif(F.col("vec_id"), F.lit((1 << 63) - 1)).alias("vec_id"), "score")
