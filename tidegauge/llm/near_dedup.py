@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,26 +18,45 @@ SEED = 42
 CHUNK = 1 << 15
 
 
+def _shingle_ends(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The text's words (A-Z lower-cased, parted by ASCII white space) joined by blanks, and where its
+    shingles start and end in that; fewer words than a shingle are one, no words none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return b"", [], []
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    last = ends[min(shingle, len(words)) - 1 :].tolist()
+    return b" ".join(words), [0, *(ends[: len(last) - 1] + 1).tolist()], last
+
+
+def _majority(joined: bytes, starts: list[int], ends: list[int], hashed, width: int) -> np.ndarray:
+    counts = np.zeros(width, np.int64)
+    for at in range(0, len(ends), CHUNK):
+        digests = b"".join([hashed(joined[s:e], SEED) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)])
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, width // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * counts > len(ends)).astype(np.uint8))
+
+
 def simhash(text: str | None, shingle: int = 4) -> int:
     """Signed 64-bit SimHash of the whole text.
 
     A-Z are lower-cased, words are runs without ASCII white space, features are ``shingle``-word
     shingles with repeats (fewer words: the whole sequence) hashed by XXH64. A bit is set if over
     half of the hashes have it. Null and wordless texts give 0."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    first = ends[min(shingle, len(words)) - 1 :].tolist()
-    starts = [0, *(ends[: len(first) - 1] + 1).tolist()]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(first), CHUNK):
-        part = zip(starts[at : at + CHUNK], first[at : at + CHUNK], strict=True)
-        hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in part), "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(first)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+    return int(_majority(*_shingle_ends(text, shingle), xxhash.xxh64_digest, 64).view(">i8")[0])
+
+
+def wide_simhash(text: str | None, shingle: int) -> tuple[int, int]:
+    """The same with 128 bits, as two signed halves."""
+    high, low = _majority(*_shingle_ends(text, shingle), xxhash.xxh3_128_digest, 128).view(">i8")
+    return int(high), int(low)
+
+
+def similarity_of(a: str | None, b: str | None, shingle: int) -> float:
+    """Weighted Jaccard similarity of the texts' shingles (their multisets); 1 if both have none."""
+    one, other = (Counter(j[s:e] for s, e in zip(starts, ends, strict=True)) for j, starts, ends in (_shingle_ends(a, shingle), _shingle_ends(b, shingle)))
+    both = (one & other).total()
+    return both / every if (every := one.total() + other.total() - both) else 1.0
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 4) -> DataFrame:
@@ -113,22 +133,117 @@ def near_groups(prints: DataFrame, doc_id: str = "doc_id", fingerprint: str = "f
     Exact copies share a fingerprint and are compared once. Null doc_ids link, but name no
     component unless the whole component has none (then it is null). ``prints`` is read more
     than once: pass a written table."""
-    distinct = materialise(prints.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("least")), "prints")
+    distinct = materialise(prints.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("least"), F.count(F.lit(1)).alias("n")), "prints")
     labels = connected_components(hamming_links(distinct, "fp", radius))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    linked = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("fp").alias(name := free_name(prints, "fp")), "component_id")
-    return prints.join(linked, prints[fingerprint] == linked[name], "left").drop(name)
+    linked = materialise(named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("fp").alias(name := free_name(prints, "fp")), "component_id", "n"), "named")
+    # fingerprints of a thousandth of all rows and more, which a thousand can be at most, don't shuffle their rows
+    hot = F.col("n") * 1000 >= linked.agg(F.sum("n")).first()[0] if not linked.isEmpty() else F.lit(False)
+    often, rest = F.broadcast(linked.where(hot).drop("n")), linked.where(~hot).drop("n")
+    on = prints[fingerprint] == F.col(name)
+    few = prints.join(often, on, "left_anti").join(rest, on, "left")
+    return prints.join(often, on).unionByName(few).drop(name)
+
+
+def closest_links(distance: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links (i[k], j[k]) make a forest that joins all that the links join, closest first."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    kept = []
+    for k in np.argsort(distance, kind="stable").tolist():
+        a, b = root(int(i[k])), root(int(j[k]))
+        if a != b:
+            up[a] = b
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
+
+
+def tile_candidates(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64, cols: int = 2048, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Compares all of ``a`` with all of ``b`` (None: of ``a`` itself), two halves of 64 bits a row, and
+    returns the places of pairs within ``radius`` bits: of each group that such pairs join a tree of the
+    closest ones."""
+    right, shift = (a, 0) if b is None else (b, len(a))
+    found = np.zeros((3, 0), np.int64)
+    for i0 in range(0, len(a), rows):
+        left = a[i0 : i0 + rows]
+        for j0 in range(i0 if b is None else 0, len(right), cols):
+            i, j = np.nonzero(np.bitwise_count(left[:, None, 0] ^ right[None, j0 : j0 + cols, 0]) <= radius * 2 // 3)
+            d = np.bitwise_count(left[i] ^ right[j + j0]).sum(axis=1, dtype=np.int64)
+            near = (d <= radius) & ((i + i0 < j + j0) | (b is not None))
+            if near.any():
+                found = np.concatenate([found, [d[near], i[near] + i0, j[near] + j0 + shift]], axis=1)
+                if found.shape[1] > most:
+                    found = found[:, closest_links(*found)]
+    found = found[:, closest_links(*found)]
+    return found[1], found[2]
+
+
+def wide_links(nodes: DataFrame, radius: int, tile: int = 8192) -> DataFrame:
+    """Links (a, b) between rows (node, high, low) with 128-bit fingerprints within ``radius`` bits:
+    trees of the closest, so that a group of many copies isn't spelled out in pairs.
+
+    Rows are dealt into tiles with one population count of both halves each; as counts within the
+    radius differ by it at most, only tile pairs with such counts meet. The driver sees 129 counts."""
+    nodes = nodes.withColumn("pc", (F.bit_count("high") + F.bit_count("low")).cast("int"))
+    sizes = {r["pc"]: r["count"] for r in nodes.groupBy("pc").count().collect()}
+    tiles = F.array(*[F.lit(-(-sizes.get(p, 0) // tile)) for p in range(129)])
+    dealt = nodes.withColumn("s", F.pmod(F.xxhash64("node"), F.element_at(tiles, F.col("pc") + 1)).cast("int"))
+    packed = dealt.groupBy("pc", "s").agg(F.collect_list(F.struct("node", "high", "low")).alias("rows"))
 
+    def met(lo, hi):
+        return F.flatten(F.transform(F.sequence(lo, hi), lambda p: F.transform(F.when(F.element_at(tiles, p + 1) > 0, F.sequence(F.lit(0), F.element_at(tiles, p + 1) - 1)).otherwise(F.array().cast("array<int>")), lambda q: F.struct(p.alias("pc"), q.alias("s")))))
+
+    own = F.struct("pc", "s")
+    up = packed.select(own.alias("x"), F.explode(met(F.col("pc"), F.least(F.col("pc") + radius, F.lit(128)))).alias("y"), F.col("rows").alias("a")).where("y >= x")
+    down = packed.select(F.explode(met(F.greatest(F.col("pc") - radius, F.lit(0)), F.col("pc"))).alias("x"), own.alias("y"), F.col("rows").alias("b")).where("y >= x")
+    unpacked = lambda of, side: [F.col(f"{of}.{n}").alias(f"{side}_{n}") for n in ("node", "high", "low")]
+    pairs = up.join(down.hint("shuffle_merge"), ["x", "y"]).select((F.col("x") == F.col("y")).alias("same"), *unpacked("a", "a"), *unpacked("b", "b"))
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest by doc_id, then by row
-    hash; of fully equal rows one stays. Columns stay as they are. No rows give no rows."""
-    key, fp = free_name(docs, "row_key"), free_name(docs, "fingerprint")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                left, right = np.stack([r.a_high, r.a_low], axis=1), np.stack([r.b_high, r.b_low], axis=1)
+                i, j = tile_candidates(left, None if r.same else right, radius)
+                node = np.asarray(r.a_node if r.same else np.concatenate([r.a_node, r.b_node]), np.int64)
+                yield pd.DataFrame({"a": node[i], "b": node[j]})
+
+    return pairs.mapInPandas(compare, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 32) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest by doc_id (null last), then by
+    row hash; of fully equal rows one stays. Columns stay as they are. No rows give no rows.
+
+    Texts are linked if the weighted Jaccard similarity of their ``shingle``-word shingles is at least
+    ``similarity``. Pairs to judge are those within ``radius`` of 128 bits of SimHash, found by tiled
+    exact comparison; of pairs in one tile pair a tree of the closest is judged, so a pair whose both
+    texts hang on closer ones that fail is missed. At the similarity of 0.8 about 20 bits differ, with
+    a deviation of 4. Equal fingerprints are one text (those of texts without words, too)."""
+    key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, row_hash(docs))
-    prints = materialise(with_fingerprint(keyed.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(key).alias("k")), "t", fp).drop("t"), "fingerprints")
-    groups = near_groups(prints.withColumnRenamed(fp, "fingerprint"), "id", "fingerprint", radius).withColumn("group", F.coalesce("component_id", "fingerprint"))
-    kept = groups.groupBy("group", F.col("component_id").isNull()).agg(F.min(F.struct("id", "k")).alias("first")).select(F.col("first.k").alias(key)).distinct()
-    out = keyed.join(kept, key, "left_semi")
-    if not prints.groupBy("id", "k").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
-    return out.drop(key)
+
+    @F.pandas_udf("high long, low long")
+    def fingerprint(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wide_simhash(t, shingle) for t in texts], columns=["high", "low"], dtype="int64")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity_of(x, y, shingle) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    rows = keyed.select(F.col(doc_id).alias("id"), F.col(key).alias("k"), F.col(text).alias("t"))
+    prints = rows.withColumn("fp", fingerprint("t")).select("id", "k", "fp.*")
+    nodes = prints.groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("first"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "prints")
+    links = materialise(wide_links(nodes.select("node", "high", "low"), radius).distinct(), "candidates")
+    linked = nodes.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "first.k")
+    texts = materialise(rows.join(linked, "k").groupBy("node").agg(F.first("t").alias("t")), "texts")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("t").alias(f"t{x}"))
+    judged = links.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b")
+    groups = nodes.join(connected_components(judged).withColumnRenamed("component", "of"), "node", "left").groupBy(F.coalesce("of", "node").alias("group"))
+    kept = groups.agg(F.min("first").alias("first")).select(F.col("first.k").alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
