@@ -132,6 +132,35 @@ def test_entropy_moves_with_the_window(spark):
     assert np.allclose([r[0] for r in df.collect()], [plain(v) for v in values], atol=1e-9)
 
 
+def test_entropy_spans_against_a_plain_scan(spark):
+    """Built texts with strings of each class, at both sides of the thresholds, within longer strings,
+    of allowed forms, and beside base spans."""
+    rng = np.random.default_rng(4)
+    some = lambda of, n: "".join(rng.choice(list(of), n))
+    hexa, alnum = "0123456789ABCDEF", "abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789"
+    texts = [f"é see {some(hexa, n)} and {some(alnum, n)}, then {some(alnum + '+/=', n + 3)}. x" for n in range(18, 60)]
+    texts += [f"{some('AB01', 30)} {some('abc', 12)}-{some(hexa, 25)}-{some('xyz', 9)} token={some(alnum, 30)}" for _ in range(20)]
+    texts += ["plainwordsjoined_together_here_20", "12345678901234567890", "0" * 40 + "a", "", "123e4567-e89b-12d3-a456-426614174000", None]
+    out = secret_scan.scan_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r["doc_id"]: {(x["start"], x["end"]) for x in r["secrets"] if x["kind"] == 3} for r in out.collect()}
+
+    def entropy(v):
+        return max(-sum(n / 20 * np.log2(n / 20) for n in Counter(v[i : i + 20]).values()) for i in range(len(v) - 19))
+
+    total = 0
+    for i, text in enumerate(texts):
+        base = [m.span() for _, p, g, n in secret_scan.KINDS for m in re.finditer(p, text or "") if len(m[g]) >= n]
+        want = set()
+        for m in re.finditer(secret_scan.CANDIDATE, text or ""):
+            if any(re.fullmatch(p, m[0]) for p in secret_scan.ALLOWED) or not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
+                continue
+            if any(entropy(run) >= least - 1e-12 for _, of, least in secret_scan.CLASSES for run in re.findall(f"{of}{{20,}}", m[0])) and not any(a < m.end() and m.start() < b for a, b in base):
+                want.add(m.span())
+        assert got[i] == want, text
+        total += len(want)
+    assert total > 60
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("a password=hunter22 b",), ("plain",), (None,)], "text string")
     assert [r["text"] for r in secret_scan.redact(secret_scan.scan_secrets(df)).collect()] == ["a [secret] b", "plain", None]
@@ -225,7 +254,7 @@ def test_sql(spark, duck, sf_dir, name):
 
 def test_mix_keeps_to_weights(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "big").otherwise("small").alias("source"))
-    out = mixing.mix(df, weights={"big": 3.0, "small": 1.0}, block_rows=4, resolution=40).collect()
+    out = mixing.mix(df, weights={"big": 3.0, "small": 1.0}, block_rows=4).collect()
     assert len({r["doc_id"] for r in out}) == 6000
     blocks = sorted({(r["mix_slot"], r["mix_class"]) for r in out})
     both = blocks[: 4 * 250]
@@ -234,6 +263,26 @@ def test_mix_keeps_to_weights(spark):
     assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in out)
 
 
+def test_mix_keeps_to_uneven_weights_exactly(spark):
+    """Far apart weights, over as many slots as there are blocks of the small source, and sources beyond
+    the named ones."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("case when id % 100 = 0 then 'a' when id % 3 = 0 then 'b' when id % 3 = 1 then 'c' else concat('d', id % 7) end").alias("source"))
+    weights = {"a": 0.001, "b": 1.0, "c": 0.7}
+    assert mixing.whole_shares(weights) == {"a": 1, "b": 1000, "c": 700}
+    out = mixing.mix(df, weights=weights, block_rows=1, bucket_blocks=4, named=3).collect()
+    assert len({r["doc_id"] for r in out}) == 4000 and {r["mix_class"] for r in out} == {"=b", "=c", "*", "=a"}
+    period = 1 + 1000 + 700 + 7
+    slots = {r["mix_slot"]: r["mix_class"] for r in out}
+    assert len(slots) == 4000
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in out)
+    seen, shares = Counter(), {"=b": 1000, "=c": 700, "=a": 1}
+    for t in range(1000):
+        if t not in slots:
+            break
+        seen[slots[t]] += 1
+        assert all(abs(seen[c] - w * (t + 1) / period) < 1 for c, w in shares.items())
+
+
 def test_hilbert_curve_is_one_walk():
     for dims, bits in ((2, 3), (3, 2)):
         side = 1 << bits
@@ -253,6 +302,33 @@ def test_shards(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shard_values_and_pruning(spark, sf_dir, tmp_path):
+    """Sizes, checksums and order against a plain version; a file holds few of the sources and sizes."""
+    import zlib
+
+    docs = read(spark, sf_dir, "documents")
+    texts = {r["doc_id"]: (r["text"], r["source"], r["lang"]) for r in docs.collect()}
+    out = sorted(queries.op6_hilbert_shards(spark, sf_dir).collect(), key=lambda r: (r["shard"], r["slot"]))
+    order = []
+    for r in out:
+        text = (texts[r["doc_id"]][0] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(text) + 8, zlib.crc32(text))
+        cell = lambda v: zlib.crc32(v.encode()) % 64 if v is not None else 0
+        order.append([cell(texts[r["doc_id"]][1]), cell(texts[r["doc_id"]][2]), min(63, int(np.log2(r["size"]) * 3))])
+    curve = sharding.hilbert_index(np.array(order), 6)
+    assert list(zip(curve, [r["doc_id"] for r in out], strict=True)) == sorted(zip(curve, [r["doc_id"] for r in out], strict=True))
+    sharded = sharding.curve_shards(docs.withColumn("size", sharding.size_of("text")), 8)
+    sharding.write_shards(sharded, str(tmp_path / "shards"), 8)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == len(texts)
+    spread = lambda rows: np.mean([len({(r["source"], r["lang"]) for r in part}) for part in rows])
+    by_shard, by_id = {}, {}
+    for r in back.select("doc_id", "source", "lang", "shard").collect():
+        by_shard.setdefault(r["shard"], []).append(r)
+        by_id.setdefault(zlib.crc32(str(r["doc_id"]).encode()) % 8, []).append(r)
+    assert spread(by_shard.values()) < 0.8 * spread(by_id.values())
+
+
 def test_pipeline_shards_follow_the_mix(spark):
     """In every shard the slots go along the schedule, so shares along them follow the weights."""
     docs = spark.range(6000).selectExpr("id AS doc_id", "'same text' AS text", "'en' AS lang", "if(id % 10 = 0, 'small', 'big') AS source", "9 AS n_chars")
@@ -270,7 +346,7 @@ def test_tokens(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [r["text"] for r in read(spark, sf_dir, "documents").limit(60).collect()] + [None, "", " ", "a<|endoftext|>b", "naïve  \n\n 日本 👩‍👩‍👧 don't 12345", "x" * 5000]
+    texts = [r["text"] for r in read(spark, sf_dir, "documents").collect()] + [None, "", " ", "a<|endoftext|>b", "<|endoftext|>both<|endoftext|>", "naïve  \n\n 日本 👩‍👩‍👧 don't 12345", "x" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = {r["doc_id"]: (r["n_tokens"], r["n_bytes"], r["over_limit"]) for r in token_count.count_tokens(df, path).collect()}
@@ -311,12 +387,88 @@ def test_url_edges(spark):
     ]
 
 
-def test_rule_index_loses_no_rule(spark):
-    index = url_filter.RuleIndex(queries.URL_RULES, {})
-    for host, path in [("x.org", "/"), ("example.org", "/en/1"), ("a.com", "/fr/login/"), ("b.net", "/x.zip"), ("b.net", "/ab/12/"), ("ads.q.net", "/cgi-bin/z"), ("", "")]:
-        fit = {r for r in queries.URL_RULES if url_filter.RuleIndex._fits(r, re.compile(r.regex, re.ASCII) if r.regex else None, host, path)}
+def test_rule_index_loses_no_rule():
+    """Random patterns on random URLs: a rule that fits is among those that the URL's tokens fetch."""
+    rng = np.random.default_rng(11)
+    parts = ["ads", "p", r"\d+", r"\w", ".", "/", r"\.", "-", "_", "^", "$", r"\b", "[a-z]", "[./]", "(?:ads|x)", "(ads)", "x?", "a*", "(?i:AD)", "ads1", "é", "K"]
+    texts = ["ads", "p", "7", "x", "/", ".", "-", "_", "é", "\u212a", "A", "ab", "ads1", "K"]
+    patterns = ["/p\\d+/", r"/d\w+/x", "/a.ads/", r"^ads\d\.", *("".join(rng.choice(parts, rng.integers(1, 7))) for _ in range(600))]
+    rules = list(queries.URL_RULES)
+    for i, pattern in enumerate(patterns):
+        try:
+            re.compile(pattern, re.ASCII)
+        except re.error:
+            continue
+        rules.append(url_filter.Rule("block", f"r{i}", pattern))
+    index = url_filter.RuleIndex(rules, {})
+    assert len(index.by_token) > 2 and len(rules) > 400
+    urls = [("x.org", "/"), ("a.com", "/fr/login/"), ("b.net", "/p7/"), ("b.net", "/dabc/x"), ("b.net", "/abads/"), ("ads1.net", "/"), *(("".join(rng.choice(texts, 3)).lower(), "/" + "".join(rng.choice(texts, rng.integers(0, 8)))) for _ in range(400))]
+    fits = 0
+    for host, path in urls:
+        fit = {r for r in rules if url_filter.RuleIndex._fits(r, re.compile(r.regex, re.ASCII) if r.regex else None, host, path)}
         tried = {r for r, _ in [*index.always, *(x for t in url_filter._words(host + path) for x in index.by_token.get(t, ()))]}
-        assert fit <= tried
+        assert fit <= tried, (host, path, fit - tried)
+        fits += len(fit)
+    assert fits > 1000
+
+
+def test_bloom_filters_hold_what_exact_sets_hold(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs, share=0.05)
+    labelled = [r for r in docs.where("lang is not null and text is not null").select("lang", "text").collect()]
+    wrong = tried = 0
+    for i, lang in enumerate(model.languages):
+        texts = [r["text"] for r in labelled if r["lang"] == lang]
+        held = Counter(g for t in texts for g in set(np.concatenate([np.zeros(0, "<u8"), *language.ngrams(t, model.n)]).tolist()))
+        exact = {g for g, n in held.items() if n >= max(2, len(texts) * 0.05)}
+        every = np.array(sorted({g for t in [r["text"] for r in labelled[:60]] for g in np.concatenate([np.zeros(0, "<u8"), *language.ngrams(t, model.n)]).tolist()} | exact), "<u8")
+        masks = np.bitwise_and.reduce(model.rows[language._positions(every, len(model.rows), model.hashes)], axis=0)[:, 0]
+        said = {int(g) for g, m in zip(every, masks, strict=True) if int(m) >> i & 1}
+        assert exact <= said
+        wrong, tried = wrong + len(said - exact), tried + len(every) - len(exact)
+    assert wrong / tried < 0.01
+
+
+def test_null_ids_are_not_held_out(spark):
+    df = spark.createDataFrame([(None, "the house"), (3, "the house"), (5, None)], "doc_id long, text string")
+    assert {r["h"] for r in df.select(F.coalesce(queries.fold() == 0, F.lit(False)).alias("h")).collect()} <= {True, False}
+
+
+def test_links_over_the_top_bit():
+    a = np.array([0, 1 << 63, (1 << 63) + 5, 0xFFFF], "<u8")
+    u, v = near_dedup.tile_links(a, None, 4)
+    assert {int(x) for x in [*u, *v]} == {0, 1 << 63, (1 << 63) + 5}
+    i, j = near_dedup.tile_candidates(np.stack([a, a[::-1]], axis=1)[:, [0, 0]], None, 4)
+    assert len(i) == 1 + 1
+
+
+def test_near_dedup_stage_against_all_pairs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    grams = {d: Counter(near_dedup._shingle_ends(t, 5)[0][s:e] for s, e in zip(*near_dedup._shingle_ends(t, 5)[1:], strict=True)) for d, t in rows.items()}
+    label, ids = {d: d for d in rows}, sorted(rows)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = (grams[a] & grams[b]).total()
+            if label[a] != label[b] and both >= 0.8 * (grams[a].total() + grams[b].total() - both):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    kept = {r["doc_id"] for r in near_dedup.near_dedup(docs).collect()}
+    assert kept == set(label.values()) and len(kept) < len(rows)
+
+
+def test_near_dedup_finds_edited_copies(spark):
+    rng = np.random.default_rng(2)
+    docs, far = [], 0
+    for i in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(40, 300))]
+        docs.append((2 * i, " ".join(words)))
+        for at in rng.integers(0, len(words), 1 + len(words) // 60):
+            words[at] = "edited"
+        docs.append((2 * i + 1, " ".join(words)))
+        far += near_dedup.similarity_of(docs[-1][1], docs[-2][1], 5) < 0.8
+    kept = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert 200 + far <= kept <= 200 + far + 6 and far < 60
 
 
 def test_language_is_right_on_held_out_documents(spark, sf_dir):

@@ -17,6 +17,9 @@ from .common import without
 
 CHUNK = 1 << 18
 
+#: Labels come to the driver and go to every task; a column with more isn't one of languages.
+MOST = 4096
+
 
 class Model(NamedTuple):
     """rows: for each position of the filter the languages' bits, 64 to a word; load: for each
@@ -72,9 +75,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = 4, bou
     ``bound`` is how many rows of a language are expected to be read: a language with more is
     sampled by row hash. An n-gram goes into a language's filter if at least ``share`` of that
     language's read rows hold it. The driver receives, per position of the filter that is set, one
-    mask: at most ``size`` rows, whatever the corpus."""
+    mask: at most ``size`` rows, whatever the corpus. Over MOST labels are an error. Repeated rows count
+    each, ties in row counts order languages by name, no rows give a model without languages."""
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST + 1).collect()}
+    if len(sizes) > MOST:
+        raise ValueError(f"over {MOST} different labels")
     languages = sorted(sizes, key=lambda l: (-sizes[l], l))
     if not languages:
         return Model([], n, hashes, np.zeros((size, 1), "<u8"), np.zeros(0))
@@ -86,11 +92,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = 4, bou
         for batch in batches:
             for l, t in zip(batch["l"], batch["text"], strict=True):
                 own = np.unique(np.concatenate([np.zeros(0, "<u8"), *ngrams(t, n)])).view("<i8")
-                yield pd.DataFrame({"l": np.full(len(own) + 1, l), "g": np.append(own, -1)})
+                yield pd.DataFrame({"l": np.full(len(own) + 1, l), "g": np.append(own, 0), "gram": np.arange(len(own) + 1) < len(own)})
 
-    counts = read.select("l", "text").repartition(folds * 4).mapInPandas(grams, "l int, g long").groupBy("l", "g").count()
-    rows_of = counts.where("g = -1").select("l", F.col("count").alias("n"))
-    common = counts.where("g >= 0").join(F.broadcast(rows_of), "l").where(F.col("count") >= F.greatest(F.lit(2), F.col("n") * share))
+    counts = read.select("l", "text").repartition(folds * 4).mapInPandas(grams, "l int, g long, gram boolean").groupBy("l", "g", "gram").count()
+    rows_of = counts.where("not gram").select("l", F.col("count").alias("n"))
+    common = counts.where("gram").join(F.broadcast(rows_of), "l").where(F.col("count") >= F.greatest(F.lit(2), F.col("n") * share))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

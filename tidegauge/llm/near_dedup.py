@@ -81,7 +81,7 @@ def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64, cols: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Compares every value of ``a`` with every value of ``b`` (None: of ``a`` itself) and returns
     links that connect all that lie within ``radius`` bits: a spanning forest, at most one link a
-    value, however many pairs there are."""
+    value, however many pairs there are. Values are unsigned, as bits of negative ones count otherwise."""
     every = a if b is None else np.concatenate([a, b])
     shift, right = (0, a) if b is None else (len(a), b)
     label = np.arange(len(every))
@@ -121,8 +121,8 @@ def hamming_links(prints: DataFrame, column: str, radius: int = 4, tile: int = 8
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for same, a, b in zip(batch["same"], batch["a"], batch["b"], strict=True):
-                u, v = tile_links(np.asarray(a, "int64"), None if same else np.asarray(b, "int64"), radius)
-                yield pd.DataFrame({"a": u, "b": v})
+                u, v = tile_links(np.asarray(a, "int64").view("<u8"), None if same else np.asarray(b, "int64").view("<u8"), radius)
+                yield pd.DataFrame({"a": u.view("<i8"), "b": v.view("<i8")})
 
     return pairs.mapInPandas(compare, "a long, b long")
 
@@ -207,7 +207,7 @@ def wide_links(nodes: DataFrame, radius: int, tile: int = 8192) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                left, right = np.stack([r.a_high, r.a_low], axis=1), np.stack([r.b_high, r.b_low], axis=1)
+                left, right = np.stack([r.a_high, r.a_low], axis=1).view("<u8"), np.stack([r.b_high, r.b_low], axis=1).view("<u8")
                 i, j = tile_candidates(left, None if r.same else right, radius)
                 node = np.asarray(r.a_node if r.same else np.concatenate([r.a_node, r.b_node]), np.int64)
                 yield pd.DataFrame({"a": node[i], "b": node[j]})

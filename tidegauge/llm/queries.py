@@ -10,7 +10,7 @@ from .common import materialise, read
 
 
 def fold(doc_id: str = "doc_id"):
-    """Rows with 0 are held out from fitting."""
+    """Rows with 0 are held out from fitting; null for a null id, which is neither held out nor learned from."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5))
 
 
@@ -65,7 +65,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN junk THEN 'block'
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(fold() != 0))
-    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +89,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-#: mixing.mix's defaults: weights are square roots of row counts, 720 slots a period or so, 16
-#: rows a block, 16 blocks a bucket, 512 sources by name.
+#: mixing.mix's defaults: weights are square roots of row counts, as whole numbers out of about 720; 16
+#: rows a block, 16 blocks a bucket; every source a class of its own (the operator's, up to 512).
 OP5_SQL = """
 WITH RECURSIVE k AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key,
     coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, 0) AS hash FROM documents),
-c AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS r FROM k GROUP BY key),
-g AS (SELECT CASE WHEN r <= 512 THEN key ELSE '*' END AS class, sum(n)::BIGINT AS n FROM c GROUP BY 1),
+g AS (SELECT key AS class, count(*) AS n FROM k GROUP BY 1),
 s AS (SELECT class, n, greatest(1, round(sqrt(n) / sum(sqrt(n)) OVER () * 720))::BIGINT AS share,
     row_number() OVER (ORDER BY class) - 1 AS i FROM g),
 one AS (SELECT list(share ORDER BY i) AS shares, sum(share)::BIGINT AS period FROM s),
@@ -109,7 +108,7 @@ run(t, pick, done) AS (
     FROM run, one WHERE t + 1 < period)),
 turns AS (SELECT pick AS i, t AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM run WHERE t >= 0),
 d AS (SELECT k.doc_id, k.source, s.class, s.share, s.i, k.hash, k.hash % ceil(s.n / 256)::BIGINT AS bucket
-      FROM k JOIN s ON s.class = k.key OR (s.class = '*' AND k.key NOT IN (SELECT class FROM s))),
+      FROM k JOIN s ON s.class = k.key),
 q AS (SELECT *, row_number() OVER (PARTITION BY class, bucket ORDER BY hash, doc_id) - 1 AS j FROM d),
 b AS (SELECT class, bucket, sum(k) OVER (PARTITION BY class ORDER BY bucket) - k AS before
       FROM (SELECT class, bucket, ceil(count(*) / 16)::BIGINT AS k FROM d GROUP BY 1, 2)),

@@ -24,12 +24,15 @@ _HINTS = [r"(?i)password|passwd|secret|token|api_?key", r"AKIA[A-Z0-9]", r"[0-9a
 #: Candidate strings for the entropy scan.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
-#: Character classes: name, what a window must consist of, least entropy in bits a character.
-#: The first class that holds a candidate decides, so a hexadecimal string is judged as such.
+#: The characters of candidates.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+
+#: Character classes: name, what a window must consist of, least entropy in bits a character. Each
+#: class slides its own windows, over the candidate's runs of its characters.
 CLASSES = [
-    ("hex_digits", r"[0-9a-fA-F]+", 3.0),
-    ("alphanumeric", r"[A-Za-z0-9]+", 3.6),
-    ("base64", r"[A-Za-z0-9+/=_-]+", 3.8),
+    ("hex_digits", r"[0-9a-fA-F]", 3.0),
+    ("alphanumeric", r"[A-Za-z0-9]", 3.6),
+    ("base64", r"[A-Za-z0-9+/=_-]", 3.8),
 ]
 
 #: Candidates that are no secrets: words of one case, sorted or repeated fillers, identifiers
@@ -76,43 +79,41 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 def window_entropy(value: Column, window: int) -> Column:
     """The largest Shannon entropy, in bits a character, of any ``window`` characters of ``value``
-    in a row (of all of it, if shorter).
-
-    S = sum of c log2 c over the window's counts changes by one count when a character comes in and
-    by one when the oldest goes, so it is carried along, and H = log2 w - S / w."""
-    f = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)))).otherwise(F.lit(0.0))
-    count = lambda w, c: (F.length(w) - F.length(F.replace(w, c, F.lit("")))).cast("double")
-    zero = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-
-    def step(state, c):
-        full = F.length(state["w"]) >= window
-        first = F.substring(state["w"], 1, 1)
-        n = count(state["w"], first)
-        out = F.when(full, state["s"] - f(n) + f(n - 1)).otherwise(state["s"])
-        # the window without its oldest character, then with the new one
-        kept = F.when(full, F.substring(state["w"], 2, window)).otherwise(state["w"])
-        m = count(kept, c)
-        s = out - f(m) + f(m + 1)
-        w = F.concat(kept, c)
-        size = F.length(w).cast("double")
-        entropy = F.when(size >= window, F.log2(size) - s / size).otherwise(F.lit(0.0))
-        return F.struct(w.alias("w"), s.alias("s"), F.greatest(state["best"], entropy).alias("best"))
-
-    def end(state):
-        size = F.length(state["w"]).cast("double")
-        return F.when(size >= window, state["best"]).when(size > 0, F.log2(size) - state["s"] / size).otherwise(F.lit(0.0))
-
-    return F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), zero, step, end)
+    in a row (of all of it, if shorter). Characters beyond ALPHABET don't count.
+
+    The state holds a count for each character; one is raised as a character comes in and one lowered
+    as the oldest goes. S = sum of c log2 c over the counts changes by those two alone, so it is carried
+    along, and H = log2 w - S / w."""
+    f = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    codes = F.filter(F.transform(F.split(value, ""), lambda c: F.when(c != "", F.instr(F.lit(ALPHABET), c)).otherwise(0)), lambda i: i > 0)
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+
+    def scan(code):
+        def step(state, i):
+            new, old = F.get(code, i), F.coalesce(F.get(code, i - window), F.lit(0))
+            n, m = F.get(state["counts"], old), F.get(state["counts"], new)
+            kept = F.when((old > 0) & (old == new), m - 1).otherwise(m)
+            s = state["s"] + F.when(old > 0, f(n - 1) - f(n)).otherwise(0.0) + f(kept + 1) - f(kept)
+            counts = F.transform(state["counts"], lambda c, j: c + (j == new).cast("int") - ((j == old) & (old > 0)).cast("int"))
+            entropy = F.when(i >= window - 1, F.log2(F.lit(float(window))) - s / window).otherwise(F.lit(0.0))
+            return F.struct(counts.alias("counts"), s.alias("s"), F.greatest(state["best"], entropy).alias("best"))
+
+        size = F.size(code).cast("double")
+        end = lambda state: F.when(size >= window, state["best"]).otherwise(F.log2(size) - state["s"] / size)
+        return F.when(size > 0, F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), zero, step, end)).otherwise(F.lit(0.0))
+
+    return F.element_at(F.transform(F.array(codes), scan), 1)
 
 
 def _entropy_spans(text: Column, window: int, allowed: list[str]) -> Column:
     """Spans of kind ``len(KINDS)``: candidates that no allowed form covers, with letters and digits
-    in them, and a window of high entropy for their class."""
+    in them, and for some class a run of its characters with a window of high entropy."""
     def wanted(x):
         hit = x["hit"]
         over = F.lit(False)
-        for _, of, least in reversed(CLASSES):
-            over = F.when(hit.rlike(f"^(?:{of})$"), window_entropy(hit, window) >= least).otherwise(over)
+        for _, of, least in CLASSES:
+            runs = F.regexp_extract_all(hit, F.lit(f"({of}{{{min(window, 20)},}})"), F.lit(1))
+            over = over | F.coalesce(F.array_max(F.transform(runs, lambda run: window_entropy(run, window))) >= least, F.lit(False))
         suspect = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
         for pattern in allowed:
             suspect = suspect & ~hit.rlike(f"^(?:{pattern})$")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import without
 
-#: Rules go to every executor; a longer list has to be split by the caller.
-MAX_RULES = 500_000
+#: Only A-Z are lower-cased: other letters part tokens, whatever their case.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Rule(NamedTuple):
@@ -27,20 +28,38 @@ class Rule(NamedTuple):
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in re.split(r"[^0-9a-z]+", text.lower()) if w]
+    return [w for w in re.split(r"[^0-9a-z]+", text.translate(_LOWER)) if w]
+
+
+def _sure(parsed, outer: bool = True) -> list[str]:
+    """What must occur in sequence where the parsed pattern matches: letters and digits; "/" for an end of
+    the URL or one other character (or the place between it and a letter); "?" for anything else."""
+    out = []
+    for kind, value in parsed:
+        if kind is _parser.LITERAL:
+            c = chr(value).translate(_LOWER)
+            out.append(c if c.isascii() and c.isalnum() else "/")
+        elif kind is _parser.AT and value in (_parser.AT_BEGINNING, _parser.AT_BEGINNING_STRING, _parser.AT_END, _parser.AT_END_STRING, _parser.AT_BOUNDARY):
+            out.append("/")
+        elif kind is _parser.IN and all(k is _parser.LITERAL and not (chr(v).isascii() and chr(v).isalnum()) for k, v in value):
+            out.append("/")
+        elif kind is _parser.SUBPATTERN and not value[1] and not value[2]:
+            out += _sure(value[3], False)
+        else:
+            out.append("?")
+    return out
 
 
 def literal_tokens(rule: Rule) -> set[str]:
-    """Tokens that every URL that the rule fits must hold whole. Empty: the rule is always tried."""
+    """Tokens that every URL that the rule fits must hold whole. Empty: the rule is always tried.
+
+    Of a pattern's parse only runs of literal letters and digits count that have something on both sides
+    that ends a token for sure; choices, repetitions, classes and wildcards don't."""
     if rule.regex is None:
         host, _, path = rule.rule.partition("/")
         whole = path if re.search(r"[^0-9A-Za-z]$", path) else re.sub(r"[0-9A-Za-z]+$", "", path)
-        return {w for w in _words(host) + _words(whole) if w.isascii()}
-    flat = re.sub(r"\[[^\]]*\]", "[]", rule.regex)
-    if re.search(r"[|?*{(]", flat):  # a token might be optional there
-        return set()
-    edge = r"[/_=.^-]"
-    return {m[0].lower() for m in re.finditer(rf"(?<={edge})[0-9A-Za-z]+(?=[/_=$\\-])", flat) if not flat[: m.start()].endswith("[]")}
+        return set(_words(host) + _words(whole))
+    return set(re.findall(r"(?<=/)[0-9a-z]+(?=/)", "".join(_sure(_parser.parse(rule.regex, re.ASCII)))))
 
 
 class RuleIndex:
@@ -86,9 +105,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
 
     A rule is filed under the token that fewest URLs of the whole table hold; that count covers
     all rows, and as only tokens of rules are counted it is no longer than the rule list. Null or
-    malformed urls get the rules for an empty host, so usually ``default``; no rows give no rows."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; {MAX_RULES} at most go to the executors")
+    malformed urls get the rules for an empty host, so usually ``default``; repeated rows get equal results; no rows give no rows. Rules are a list in the
+    driver, and go to the executors as they are."""
     at = without(with_host_and_path(pages, url), ["rule", "verdict", "n_tried", "judged"])
     tokens = sorted(set().union(*map(literal_tokens, rules)))
     spark = pages.sparkSession
