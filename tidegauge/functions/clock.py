@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.binding import PCR_WRAP, PTS_WRAP
+#: 27 MHz clock references wrap at 2**33 * 300, 90 kHz time stamps at 2**33.
+PCR_WRAP = (1 << 33) * 300
+PTS_WRAP = 1 << 33
 
 
 def wrapped_delta(now: Column, before: Column, wrap: int) -> Column:
@@ -45,8 +47,9 @@ def unix_ns_from_pcr(pcr: Column, near_ns: Column, offset: Column) -> Column:
 
 
 def vblank_hold(n: Column, ratio: Column) -> Column:
-    """Display periods that frame n (from 1) stays up, the remainder carried from 0.5."""
-    return (F.floor(0.5 + n * ratio) - F.floor(0.5 + (n - 1) * ratio)).cast("long")
+    """Display periods that frame n (from 1) stays up, the remainder carried from 0.5. A frame stays
+    up for one at least: below a ratio of one all do, and the debt only grows."""
+    return F.when(ratio < 1, 1).otherwise(F.floor(0.5 + n * ratio) - F.floor(0.5 + (n - 1) * ratio)).cast("long")
 
 
 def source_index(out: str, in_num: int, in_den: int, out_num: int, out_den: int) -> Column:

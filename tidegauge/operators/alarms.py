@@ -87,15 +87,19 @@ class Escalation:
 
 class Hysteresis:
     """On with the ``polls``-th value in a row above ``enter``, off with the first below
-    ``leave`` (at it too, if ``inclusive``). A null value or no limit switches it off.
+    ``leave`` (at it too, if ``inclusive``). A null value switches it off, or, if it is to be ``kept``
+    (H6), changes nothing; no limit switches it off.
 
     H13 is Hysteresis(limit, limit - limit // 5, inclusive=True)."""
 
-    def __init__(self, enter: float, leave: float, polls: int = 1, inclusive: bool = False):
-        self.enter, self.leave, self.polls, self.inclusive, self.on, self.run = enter, leave, polls, inclusive, False, 0
+    def __init__(self, enter: float, leave: float, polls: int = 1, inclusive: bool = False, kept: bool = False):
+        self.enter, self.leave, self.polls, self.inclusive, self.kept, self.on, self.run = enter, leave, polls, inclusive, kept, False, 0
 
     def add(self, value: float | None) -> bool:
-        if value is None or value != value or self.enter <= 0:
+        missing = value is None or value != value
+        if missing and self.kept:
+            return self.on
+        if missing or self.enter <= 0:
             self.on, self.run = False, 0
             return False
         self.run = self.run + 1 if value > self.enter else 0
@@ -163,7 +167,8 @@ def armed(rows: DataFrame, commands: DataFrame, pre_us: int) -> DataFrame:
     r = rows.select("flow_id", F.col("recv_us").alias("t"), F.lit(1).alias("what"), "event_id", F.lit(None).cast("boolean").alias("a"))
     w = Window.partitionBy("flow_id").orderBy("t", "what", "event_id")
     on = F.coalesce(F.last("a", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    arming = F.min(F.when(F.col("a"), F.col("t"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("flow_id").orderBy(F.desc("t"), F.desc("what"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    arming = F.last(F.when(F.col("a"), F.col("t")), True).over(back)
     soon = F.coalesce(arming - F.col("t") <= pre_us, F.lit(False))
     mode = F.when(F.col("_on"), "armed").when(F.col("_soon"), "prebuffer").otherwise("idle")
     return c.unionAll(r).withColumns({"_on": on, "_soon": soon}).where("what = 1").select("flow_id", "event_id", mode.alias("mode"))

@@ -52,10 +52,12 @@ def rate_limit(rows: DataFrame, bits_per_second: int) -> DataFrame:
 
 
 def block_gate(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """rows with whether one of their flow's intervals [from_us, to_us) blocks them; blocked rows
-    count as received."""
-    hit = (F.col("r.flow_id") == F.col("b.flow_id")) & (F.col("r.recv_us") >= F.col("b.from_us")) & (F.col("r.recv_us") < F.col("b.to_us"))
-    return rows.alias("r").join(blocks.alias("b"), hit, "left").groupBy("r.flow_id").agg(F.count_distinct("r.event_id").alias("received"), F.count_distinct(F.when(F.col("b.from_us").isNotNull(), F.col("r.event_id"))).alias("blocked"))
+    """how many of a flow's rows came, and how many of them one of its intervals [from_us, to_us)
+    blocks. Edges of intervals and rows are merged in order, and open intervals counted along."""
+    edge = lambda at, by: blocks.select("flow_id", F.col(at).alias("t"), F.lit(by).alias("by"), F.lit(0).alias("what"))
+    merged = edge("from_us", 1).unionAll(edge("to_us", -1)).unionAll(rows.select("flow_id", F.col("recv_us").alias("t"), F.lit(0).alias("by"), F.lit(1).alias("what")))
+    now = F.sum("by").over(Window.partitionBy("flow_id").orderBy("t", "what").rowsBetween(Window.unboundedPreceding, 0))
+    return merged.withColumn("now", now).where("what = 1").groupBy("flow_id").agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("now") > 0).alias("blocked"))
 
 
 def counts_for_continuity(pid: Column, has_payload: Column) -> Column:
@@ -68,12 +70,13 @@ def is_data_only(stream_type: Column) -> Column:
     return stream_type.isin(DATA_ONLY)
 
 
-def is_continuous_media(stream_type: Column) -> Column:
-    """types whose stream is expected to flow all the time: video and audio, not private data,
-    sections or subtitles. Fixed values."""
-    video = [0x01, 0x02, 0x10, 0x1B, 0x20, 0x21, 0x24, 0x33, 0x42, 0xD1, 0xEA, 0x61]
-    audio = [0x03, 0x04, 0x0F, 0x11, 0x1C, 0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87]
-    return stream_type.isin(video + audio)
+def is_continuous_media(stream_type: Column, audio_kind: Column | None = None) -> Column:
+    """types whose stream is expected to flow all the time: video and audio, not cues, sections or
+    subtitles. Private data (0x06) counts if its descriptors name an audio kind. Fixed values."""
+    video = [0x01, 0x02, 0x10, 0x1B, 0x1F, 0x20, 0x21, 0x24, 0x42, 0xEA]
+    audio = [0x03, 0x04, 0x0F, 0x11, 0x81, 0x87]
+    described = F.lit(False) if audio_kind is None else (stream_type == 0x06) & audio_kind.isNotNull()
+    return stream_type.isin(video + audio) | described
 
 
 def plausible_drift(rows: DataFrame, keys: list[str], order: str, value: str, most: int) -> DataFrame:

@@ -36,11 +36,12 @@ def floor_lookup(targets: DataFrame, index: DataFrame, key: str, at: str, target
     t = targets.select(*targets.columns, F.col(target).alias("_at"), F.lit(1).alias("_what"), *[F.lit(None).cast(index.schema[c].dataType).alias(f"_{c}") for c in keep])
     i = index.select(*[(F.col(c) if c == key else F.lit(None).cast(targets.schema[c].dataType)).alias(c) for c in targets.columns], F.col(at).alias("_at"), F.lit(0).alias("_what"), *[F.col(c).alias(f"_{c}") for c in keep])
     w = Window.partitionBy(key).orderBy("_at", "_what")
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    up, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key)
     merged = t.unionByName(i)
     marked = F.struct(*[F.col(f"_{c}").alias(c) for c in keep])
     entry = F.when(F.col("_what") == 0, marked)
-    found = merged.withColumn("_f", F.coalesce(F.last(entry, True).over(up), F.first(entry, True).over(down))).where("_what = 1")
+    first = F.min_by(marked, F.when(F.col("_what") == 0, F.col("_at"))).over(whole)
+    found = merged.withColumn("_f", F.coalesce(F.last(entry, True).over(up), first)).where("_what = 1")
     return found.select(*targets.columns, *[F.col(f"_f.{c}").alias(f"found_{c}") for c in keep])
 
 
@@ -82,13 +83,11 @@ def version_intervals(versions: DataFrame, keys: list[str], at: str) -> DataFram
 
 def as_of_version(rows: DataFrame, intervals: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Each row with the version that held then, null before the first."""
-    held = intervals.select(*[F.col(k).alias(f"_{k}") for k in keys], "since", "until", "version")
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    when = (F.col(at) >= F.col("since")) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
-    cond = when
-    for s in same:
-        cond = cond & s
-    return rows.join(held, cond, "left").drop(*[f"_{k}" for k in keys], "since", "until")
+    order = Window.partitionBy(*keys).orderBy("_at", "_what").rowsBetween(Window.unboundedPreceding, 0)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    r = rows.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_what"), F.struct(*columns).alias("_row"), F.lit(None).cast(intervals.schema["version"].dataType).alias("_v"))
+    v = intervals.select(*keys, F.col("since").alias("_at"), F.lit(0).alias("_what"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"), F.col("version").alias("_v"))
+    return r.unionByName(v).withColumn("version", F.last("_v", True).over(order)).where("_what = 1").select("_row.*", "version")
 
 
 def first_of_kind(streams: DataFrame, kinds: list[str]) -> DataFrame:
@@ -103,19 +102,20 @@ def clock_conflicts(slots: DataFrame) -> DataFrame:
 
 
 def leg_conflicts(legs: DataFrame, busy: DataFrame) -> DataFrame:
-    """(leg_id, busy_id) that share interface, source address or gateway; a leg or a busy leg
-    pinned to none of them conflicts with all. The first three are equality joins; what isn't pinned
-    is rare and meets the others as a list."""
+    """(leg_id, reason) of legs that can't be probed as they would share a path with a busy one:
+    nic, source_ip or gateway, the first that a busy leg has too, or unpinned, if the leg has neither nic
+    nor source address while any leg is busy."""
     names = ["nic", "source_ip", "gateway"]
-    found = [legs.select("leg_id", n).join(busy.select("busy_id", n), n).select("leg_id", "busy_id") for n in names]
-    free = lambda df: df.where(F.coalesce(*names).isNull())
-    everyone = lambda df: df.withColumn("_one", F.lit(1))
-    found.append(everyone(free(legs)).join(everyone(busy), "_one").select("leg_id", "busy_id"))
-    found.append(everyone(legs).join(everyone(free(busy)), "_one").select("leg_id", "busy_id"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    marked = legs
+    for i, n in enumerate(names):
+        used = busy.where(F.col(n).isNotNull()).select(F.col(n).alias(f"_{n}"), F.lit(True).alias(f"_hit{i}")).distinct()
+        marked = marked.join(used, F.col(n) == F.col(f"_{n}"), "left")
+    any_ = F.lit(not busy.where(F.coalesce(*names).isNotNull()).isEmpty())
+    reason = F.lit(None).cast("string")
+    for i, n in reversed(list(enumerate(names))):
+        reason = F.when(F.col(f"_hit{i}"), n).otherwise(reason)
+    reason = F.coalesce(reason, F.when(F.col("nic").isNull() & F.col("source_ip").isNull() & any_, "unpinned"))
+    return marked.select("leg_id", reason.alias("reason")).where("reason is not null")
 
 
 def overlapping_tiles(tiles: DataFrame, board: str, grid: int = 256) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.binding import PCR_WRAP
+from ..functions.clock import PCR_WRAP
 from .fold import ordered_fold
 
 
@@ -30,8 +32,9 @@ def ingress_chain(cells: DataFrame, allowed: list[int], pids: dict[int, int], sh
 
 
 class PcrAnchor:
-    """out = out0 + (src - src0). A jump of over 500 ms is bridged: the output goes on from its
-    last value by the wall time since, 40 ms at most, and is marked discontinuous."""
+    """out = out0 + (src - src0), and a jump of over 500 ms is marked discontinuous. Backward it is
+    bridged: the output goes on from its last value by the wall time since, 40 ms at most. Forward it
+    passes if the wall clock saw it, to within 500 ms, and is bridged else (a file that loops)."""
 
     JUMP, BRIDGE = 13_500_000, 1_080_000
 
@@ -45,7 +48,9 @@ class PcrAnchor:
         step = (pcr - self.src + PCR_WRAP // 2) % PCR_WRAP - PCR_WRAP // 2
         jumped = abs(step) > self.JUMP
         if jumped:
-            step = min(max(wall_us - self.wall, 0) * 27, self.BRIDGE)
+            seen = max(wall_us - self.wall, 0) * 27
+            if step < 0 or step - seen > self.JUMP:
+                step = min(seen, self.BRIDGE)
         self.src, self.wall, self.out = pcr, wall_us, (self.out + step) % PCR_WRAP
         return self.out, jumped
 
@@ -113,11 +118,58 @@ def pad_to_rate(rows: DataFrame, bits_per_second: int) -> DataFrame:
     return ordered_fold(rows.select("flow_id", "recv_us", "event_id", "bytes"), ["flow_id"], ["recv_us", "event_id"], lambda: NullPadder(bits_per_second), lambda s, r: [(r.flow_id, r.event_id, s.pad(r.recv_us, r.bytes))], "flow_id long, event_id long, nulls long")
 
 
-def realign(units: DataFrame, depth_us: int) -> DataFrame:
-    """Units leave in stamp order within blocks of ``depth_us`` of arrival: (flow_id, event_id,
-    place)."""
-    block = F.floor(F.col("recv_us") / depth_us)
-    return units.withColumn("block", block).withColumn("place", F.row_number().over(Window.partitionBy("flow_id").orderBy("block", "pts90", "event_id")))
+class Realign:
+    """Audio is held until video gets near it; all else passes at once. After each video unit, and at
+    the end of each chunk, held audio leaves in order while the first of it is no more than 150 ms ahead of
+    the last video stamp, or within 120 ms of the clock reference, or over 3 s behind the last audio
+    stamp, or more than 512 units are held."""
+
+    LEAD_MS, FLOOR_MS, HOLD_MS, MOST = 150, 120, 3000, 512
+
+    def __init__(self):
+        self.video = self.clock = self.audio = None
+        self.held: deque = deque()
+
+    @staticmethod
+    def _ms(a: int, b: int) -> int:
+        d = (a - b + (1 << 32)) % (1 << 33) - (1 << 32)
+        return -(-d // 90) if d < 0 else d // 90
+
+    def add(self, unit, kind: str, pts: int, clock: int | None) -> list:
+        out = []
+        if kind == "audio":
+            self.audio = pts
+            self.held.append((pts, unit))
+        else:
+            out.append(unit)
+            if kind == "video":
+                self.video, self.clock = pts, self.clock if clock is None else clock
+        return out + self.drain()
+
+    def drain(self, all_: bool = False) -> list:
+        out = []
+        while self.held:
+            pts = self.held[0][0]
+            reached = self.video is not None and self._ms(self.video, pts) >= -self.LEAD_MS
+            late = self.clock is not None and self._ms(pts, self.clock) <= self.FLOOR_MS
+            stalled = self._ms(self.audio, pts) > self.HOLD_MS
+            if not (all_ or reached or late or stalled or len(self.held) > self.MOST):
+                break
+            out.append(self.held.popleft()[1])
+        return out
+
+
+def realign(units: DataFrame) -> DataFrame:
+    """J14 of rows (flow_id, vseq, event_id, kind, pts90, pcr27), in order: (flow_id, event_id, place)."""
+    def rows(s, found):
+        s[1] += len(found)
+        return [(flow, event, s[1] - len(found) + i + 1) for i, (flow, event) in enumerate(found)]
+
+    def step(s, r):
+        return rows(s, s[0].add((r.flow_id, r.event_id), r.kind, r.pts90, r.pcr27 // 300))
+
+    cols = units.select("flow_id", "vseq", "event_id", "kind", "pts90", "pcr27")
+    return ordered_fold(cols, ["flow_id"], ["vseq"], lambda: [Realign(), 0], step, "flow_id long, event_id long, place int", lambda s: rows(s, s[0].drain(True)))
 
 
 def splice_time_adjusted(adjustment: Column, pts: Column) -> Column:

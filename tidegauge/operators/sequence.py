@@ -36,10 +36,10 @@ class GapFillMerge:
         if 0 < ahead < HALF:
             if ahead >= self.window:
                 self.seen = set()
+            else:  # what falls out of the window is forgotten, or it would stand for the next lap's numbers
+                self.seen.difference_update((self.highest - self.window + i) % 65536 for i in range(1, ahead + 1))
             self.highest = seq
             self.seen.add(seq)
-            if len(self.seen) > 2 * self.window:
-                self.seen = {s for s in self.seen if (seq - s) % 65536 < self.window}
             return True
         if behind >= self.window or seq in self.seen:
             return False
@@ -195,10 +195,12 @@ def ssrc_mismatches(rows: DataFrame, ssrc: str) -> DataFrame:
 
 
 def primary_preference(legs: DataFrame, stall_us: int = 200_000) -> DataFrame:
-    """Q7: leg 0 always passes, leg 1 only when leg 0 has been silent longer than the stall."""
+    """Q7: leg 0 always passes, leg 1 only when leg 0 has been silent longer than the stall; until leg 0's
+    first packet the silence counts from the flow's first."""
     w = Window.partitionBy("flow_id").orderBy("recv_leg_us", "leg", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("leg") == 0, F.col("recv_leg_us")), True).over(w)
-    return legs.withColumn("primary_us", last).where((F.col("leg") == 0) | F.col("primary_us").isNull() | (F.col("recv_leg_us") - F.col("primary_us") > stall_us))
+    began = F.first("recv_leg_us").over(w)
+    return legs.withColumn("primary_us", F.coalesce(last, began)).where((F.col("leg") == 0) | (F.col("recv_leg_us") - F.col("primary_us") > stall_us))
 
 
 def sequence_loss(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.clock import forward_gap, pts_delta_ms, signed_pcr_delta
-from ..plans.binding import PCR_WRAP
+from ..functions.clock import PCR_WRAP, forward_gap, pts_delta_ms, signed_pcr_delta
 from .fold import ordered_fold
 
 MOST_STEP_US = 500_000
@@ -21,11 +20,12 @@ def throughput(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def freshness(samples: DataFrame, keys: list[str], at: str, value: str, within: int) -> DataFrame:
-    """Whether a counter has moved within the window, at each sample; the first one moves it."""
+    """Whether a counter has gone up within the window, at each sample; the first one counts as going
+    up. One that fell back is stale until it goes up again."""
     w = Window.partitionBy(*keys).orderBy(at)
-    moved = F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(True))
+    moved = F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(True))
     last = F.max(F.when(F.col("_m"), F.col(at))).over(w)
-    return samples.withColumn("_m", moved).withColumn("fresh", F.col(at) - last <= within).drop("_m")
+    return samples.withColumn("_m", moved).withColumn("fresh", F.col("_m") | (F.col(at) - last < within)).drop("_m")
 
 
 class Jitter:
@@ -104,16 +104,18 @@ def running_percentile(rows: DataFrame, keys: list[str], order: str, value: str,
 
 
 def pcr_accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Residual in ns of each clock reference against the line through the previous up to 16 (four
-    at least), none for gaps of over a second. Times are taken from each row's own, which keeps the
-    sums small."""
+    """Distance in ns of each clock reference from the line through the previous up to 16 (four at
+    least); none if it is over a second, as then the line doesn't know the source yet. The line is fitted
+    to differences from the row itself, in whole numbers, which keeps the sums small."""
     w = Window.partitionBy(*keys).orderBy("vseq").rowsBetween(-16, -1)
-    order = Window.partitionBy(*keys).orderBy("vseq")
-    base = Window.partitionBy(*keys)
-    rel = rows.withColumns({"x": (F.col("recv_us") - F.min("recv_us").over(base)).cast("double"), "y": (F.col("pcr27") / 27.0).cast("double"), "gap": F.col("recv_us") - F.lag("recv_us").over(order)})
-    fit = rel.withColumns({"n": F.count("x").over(w), "slope": F.regr_slope("y", "x").over(w), "mid": F.regr_intercept("y", "x").over(w)})
-    residual = (F.col("y") - F.col("slope") * F.col("x") - F.col("mid")) * 1000
-    return fit.withColumn("residual_ns", F.when((F.col("n") >= 4) & (F.col("gap") <= 1_000_000), F.round(residual).cast("long")))
+    before = rows.withColumn("before", F.collect_list(F.struct(F.col("recv_us").alias("x"), F.col("pcr27").alias("y"))).over(w))
+    moved = before.withColumn("before", F.transform("before", lambda b: F.struct((b["x"] - F.col("recv_us")).cast("double").alias("x"), (b["y"] - F.col("pcr27")).cast("double").alias("y"))))
+    total = lambda f: F.aggregate("before", F.lit(0.0), lambda s, b: s + f(b))
+    n, sx, sy = F.size("before"), total(lambda b: b["x"]), total(lambda b: b["y"])
+    spread = n * total(lambda b: b["x"] * b["x"]) - sx * sx
+    middle = (sy - (n * total(lambda b: b["x"] * b["y"]) - sx * sy) / spread * sx) / n
+    residual = F.round(F.abs(middle) * 1000 / 27)
+    return moved.withColumn("residual_ns", F.when((n >= 4) & (spread > 0) & (residual <= 1e9), residual.cast("long"))).drop("before")
 
 
 def pcr_discontinuities(rows: DataFrame, keys: list[str], most_us: int = 100_000) -> DataFrame:
@@ -267,9 +269,11 @@ def slot_stalls(units: DataFrame, keys: list[str], time: str, stall_us: int) ->
 
 
 def timecode_breaks(rows: DataFrame, keys: list[str], order: str, frames: str, day: int, back: int = 5) -> DataFrame:
-    """Frames whose time code goes back by more than ``back``, a passing of midnight excepted."""
-    step = F.col(frames) - F.lag(frames).over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("step", step).where((F.col("step") < -back) & (F.col("step") > -day // 2))
+    """Frames whose time code goes back by more than ``back``, except from the last ten frames of the
+    day to its first ten."""
+    last = F.lag(frames).over(Window.partitionBy(*keys).orderBy(order))
+    stepped = rows.withColumns({"last": last, "step": F.col(frames) - last})
+    return stepped.where((F.col("step") < -back) & ((F.col("last") < day - 10) | (F.col(frames) > 10))).drop("last")
 
 
 def av_skew(units: DataFrame, trim_90k: int = 0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Packet tables derived from the events table, as no captures are at hand.
 
-Every event becomes one packet of one of eight flows, 25 a second each, in arrival order. ``CTES``
+Every event becomes one packet of its flow (eight users share one, so flows grow with the users), 25
+a second each, in arrival order. ``CTES``
 is the same in SQL: e (events), p (packets), legs (their copies on two paths)."""
 
 from __future__ import annotations
@@ -9,9 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: 27 MHz clock references wrap at 2**33 * 300, 90 kHz time stamps at 2**33.
-PCR_WRAP = (1 << 33) * 300
-PTS_WRAP = 1 << 33
+from ..functions.clock import PCR_WRAP, PTS_WRAP
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +21,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user_id, event_type, flow_id, pid, cents, vseq, seq, recv_us, bytes, pcr27, rtp_ts,
     pts90, kind, has_payload, cc."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    e = e.withColumns({"flow_id": F.col("user_id") % 8, "pid": 256 + F.col("user_id") % 16})
+    e = e.withColumns({"flow_id": F.expr("user_id div 8"), "pid": 256 + F.col("user_id") % 16})
     by_flow = Window.partitionBy("flow_id").orderBy("event_id")
     p = e.withColumn("vseq", F.row_number().over(by_flow).cast("long") - 1)
     jump = F.when((F.col("event_type") == "error") & (F.col("cents") % 5 == 0), 5_400_000).otherwise(0)
@@ -48,7 +47,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CTES = """
-e AS (SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, user_id % 8 AS flow_id, 256 + user_id % 16 AS pid FROM events),
+e AS (SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, user_id // 8 AS flow_id, 256 + user_id % 16 AS pid FROM events),
 p0 AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY event_id) - 1 AS vseq FROM e),
 p1 AS (SELECT *, vseq % 65536 AS seq, vseq * 40000 + cents % 5000 AS recv_us, 188 * (1 + cents % 7) AS bytes,
     (vseq * 1080000 + CASE WHEN event_type = 'error' AND cents % 5 = 0 THEN 5400000 ELSE 0 END) % 2576980377600 AS pcr27,

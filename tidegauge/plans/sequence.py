@@ -57,8 +57,8 @@ def q6(spark, d):
     return q.ssrc_mismatches(legs(spark, d).withColumn("ssrc", ssrc), "ssrc")
 
 
-@query("q7_primary_preference", """SELECT flow_id, event_id, leg FROM (SELECT *, last_value(CASE WHEN leg = 0 THEN recv_leg_us END IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY recv_leg_us, leg, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM legs)
-  WHERE leg = 0 OR m IS NULL OR recv_leg_us - m > 80000""")
+@query("q7_primary_preference", """SELECT flow_id, event_id, leg FROM (SELECT *, last_value(CASE WHEN leg = 0 THEN recv_leg_us END IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY recv_leg_us, leg, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m, min(recv_leg_us) OVER (PARTITION BY flow_id) AS began FROM legs)
+  WHERE leg = 0 OR recv_leg_us - coalesce(m, began) > 80000""")
 def q7(spark, d):
     return q.primary_preference(legs(spark, d), 80_000).select("flow_id", "event_id", "leg")
 
