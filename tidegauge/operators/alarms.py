@@ -123,6 +123,31 @@ class Holdover:
         return self.held
 
 
+def marked_transitions(rows: DataFrame, order: list[str], mark: Column) -> DataFrame:
+    """(flow_id, event_id, state) at each row that changes the state, which is the last
+    ``mark`` (1 on, 0 off, null: as it was); off before the first."""
+    w = Window.partitionBy("flow_id").orderBy(*order)
+    state = F.coalesce(F.last("_mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    held = rows.withColumn("_mark", mark).withColumn("state", state.cast("int")).withColumn("_before", F.coalesce(F.lag("state").over(w), F.lit(0)))
+    return held.where("state != _before").select("flow_id", "event_id", "state")
+
+
+def hysteresis_mark(value: Column, enter: float, leave: float, order: list[str], polls: int = 1, inclusive: bool = False, kept: bool = False) -> Column:
+    """``Hysteresis`` as a mark: on with the ``polls``-th value in a row above ``enter``."""
+    w = Window.partitionBy("flow_id").orderBy(*order)
+    above = F.coalesce(value > enter, F.lit(False))
+    for back in range(1, polls):
+        above = above & F.coalesce(F.lag(value, back).over(w) > enter, F.lit(False))
+    below = value <= leave if inclusive else value < leave
+    gone = F.lit(None) if kept else F.when(value.isNull(), 0)
+    return F.when(below, 0).when(above, 1).otherwise(gone)
+
+
+def holdover_mark(offset: Column, tolerance: float) -> Column:
+    """``Holdover`` as a mark."""
+    return F.when(F.abs(offset) > 1.5 * tolerance, 1).when(F.abs(offset) <= tolerance, 0)
+
+
 def transitions(rows: DataFrame, order: list[str], value: str, start, schema_key: str = "flow_id") -> DataFrame:
     """(key, event_id, state) at each row that changes the state that ``start()``'s add(value) gives."""
     from .fold import ordered_fold

@@ -69,14 +69,18 @@ def h4(spark, d):
     return alarms.stalls(alarms.dense_seconds(sparse, ["flow_id"]), ["flow_id"], "second")
 
 
-@query("h5_escalation")
+@query("h5_escalation", """SELECT flow_id, event_id, state FROM r WHERE changed""", """m AS MATERIALIZED (SELECT flow_id, vseq, event_id, (cents >= 2000)::INTEGER + (cents >= 6000)::INTEGER AS level FROM p),
+r AS (SELECT flow_id, vseq, event_id, 0 AS state, (level > 0)::INTEGER AS seen, false AS changed FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, event_id, CASE WHEN go THEN level ELSE state END, CASE WHEN go THEN 0 ELSE more END, go AND level <> state
+  FROM (SELECT *, level < state OR more >= 2 AS go FROM (SELECT m.*, r.state, CASE WHEN m.level > r.state THEN r.seen + 1 ELSE 0 END AS more FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1)))""")
 def h5(spark, d):
     return alarms.transitions(packets(spark, d), ["vseq", "event_id"], "cents", lambda: alarms.Escalation(2000, 6000, 2))
 
 
-@query("h6_av_quality")
+@query("h6_av_quality", """SELECT flow_id, event_id, state FROM (SELECT *, lag(state, 1, 0) OVER (PARTITION BY flow_id ORDER BY vseq, event_id) AS b FROM s) WHERE state <> b""", """s AS (SELECT flow_id, vseq, event_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY vseq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state
+  FROM (SELECT *, CASE WHEN cents < 3000 THEN 0 WHEN cents > 4000 AND lag(cents) OVER (PARTITION BY flow_id ORDER BY vseq) > 4000 THEN 1 END AS mark FROM p))""")
 def h6(spark, d):
-    return alarms.transitions(packets(spark, d), ["vseq", "event_id"], "cents", lambda: alarms.Hysteresis(4000, 3000, 2))
+    return alarms.marked_transitions(packets(spark, d), ["vseq", "event_id"], alarms.hysteresis_mark(F.col("cents"), 4000, 3000, ["vseq", "event_id"], 2, kept=True))
 
 
 @query("h7_freeze", """SELECT flow_id, vseq, CASE WHEN cents % 11 = 0 THEN 'black' WHEN n >= 2 THEN 'frozen' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, run ORDER BY vseq) AS n FROM (
@@ -121,14 +125,16 @@ def h12(spark, d):
     return aggregates.over_limit_runs(packets(spark, d), ["flow_id"], "vseq", F.col("cents") % 5000 > 1000, 4)
 
 
-@query("h13_clock_threshold")
+@query("h13_clock_threshold", """SELECT flow_id, event_id, state FROM (SELECT *, lag(state, 1, 0) OVER (PARTITION BY flow_id ORDER BY vseq, event_id) AS b FROM s) WHERE state <> b""", """s AS (SELECT flow_id, vseq, event_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY vseq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state
+  FROM (SELECT *, CASE WHEN cents > 3000 THEN 1 WHEN cents <= 2400 THEN 0 END AS mark FROM p))""")
 def h13(spark, d):
-    return alarms.transitions(packets(spark, d), ["vseq", "event_id"], "cents", lambda: alarms.Hysteresis(3000, 2400, inclusive=True))
+    return alarms.marked_transitions(packets(spark, d), ["vseq", "event_id"], alarms.hysteresis_mark(F.col("cents"), 3000, 2400, ["vseq", "event_id"], inclusive=True))
 
 
-@query("h14_holdover")
+@query("h14_holdover", """SELECT flow_id, event_id, state FROM (SELECT *, lag(state, 1, 0) OVER (PARTITION BY flow_id ORDER BY vseq, event_id) AS b FROM s) WHERE state <> b""", """s AS (SELECT flow_id, vseq, event_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY vseq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state
+  FROM (SELECT *, CASE WHEN cents > 3000 THEN 1 WHEN cents <= 2000 THEN 0 END AS mark FROM p))""")
 def h14(spark, d):
-    return alarms.transitions(packets(spark, d), ["vseq", "event_id"], "cents", lambda: alarms.Holdover(2000))
+    return alarms.marked_transitions(packets(spark, d), ["vseq", "event_id"], alarms.holdover_mark(F.col("cents"), 2000))
 
 
 @query("h15_down_for", """SELECT flow_id, CASE WHEN min(recv_us) FILTER (recv_us > coalesce(u, -1)) IS NOT NULL THEN 10000000000 - min(recv_us) FILTER (recv_us > coalesce(u, -1)) END AS down_us FROM (

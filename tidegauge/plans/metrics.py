@@ -25,7 +25,10 @@ def f4(spark, d):
     return filters.allow_payload_types(packets(spark, d), F.col("cents") % 128, [33, 96]).select("event_id")
 
 
-@query("f5_rate_limit")
+@query("f5_rate_limit", """SELECT flow_id, event_id, passed FROM r""", """m AS MATERIALIZED (SELECT flow_id, vseq, event_id, recv_us, bytes * 8 AS bits FROM p),
+r AS (SELECT flow_id, vseq, event_id, recv_us, 5000::DOUBLE - CASE WHEN bits <= 5000 THEN bits ELSE 0 END AS tokens, bits <= 5000 AS passed FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, event_id, recv_us, t - CASE WHEN t >= bits THEN bits ELSE 0 END, t >= bits
+  FROM (SELECT m.*, least(5000::DOUBLE, r.tokens + (m.recv_us - r.recv_us) * 500000 / 1000000::DOUBLE) AS t FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1))""")
 def f5(spark, d):
     return filters.rate_limit(packets(spark, d), 500_000)
 
@@ -53,7 +56,9 @@ def f11(spark, d):
     return filters.plausible_drift(packets(spark, d), ["flow_id"], "vseq", "pcr27", 2_000_000).select("flow_id", "event_id", "step")
 
 
-@query("f12_event_rate_limit")
+@query("f12_event_rate_limit", """SELECT flow_id, event_id FROM r WHERE passed""", """m AS MATERIALIZED (SELECT flow_id, event_id, recv_us, row_number() OVER (PARTITION BY flow_id ORDER BY recv_us, event_id) AS n FROM p WHERE event_type = 'error'),
+r AS (SELECT flow_id, n, event_id, recv_us AS last, true AS passed FROM m WHERE n = 1 UNION ALL
+  SELECT m.flow_id, m.n, m.event_id, CASE WHEN m.recv_us - r.last < 30000000 THEN r.last ELSE m.recv_us END, m.recv_us - r.last >= 30000000 FROM r JOIN m ON m.flow_id = r.flow_id AND m.n = r.n + 1)""")
 def f12(spark, d):
     return filters.event_rate_limit(packets(spark, d).where("event_type = 'error'"), 30_000_000)
 
@@ -77,14 +82,25 @@ def j5(spark, d):
     return rewrite.ingress_chain(packets(spark, d), [256, 257], {256: 300}, 8_589_900_000).select("event_id", "pid", "pts90")
 
 
-@query("j6_pcr_anchor")
+def jumping(p):
+    """Clock references that go on two seconds at once, twice, and then four back, every forty rows."""
+    return p.withColumn("pcr27", (F.col("pcr27") + F.expr("vseq div 40 % 3 * 54000000L")) % clock.PCR_WRAP)
+
+
+@query("j6_pcr_anchor", """SELECT flow_id, vseq, out_pcr, jumped FROM r""", """m AS MATERIALIZED (SELECT flow_id, vseq, event_id, recv_us, pts90, kind, (pcr27 + vseq // 40 % 3 * 54000000) % 2576980377600 AS pcr FROM p),
+r AS (SELECT flow_id, vseq, pcr AS src, recv_us AS wall, pcr AS out_pcr, false AS jumped FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, pcr, recv_us, (o + CASE WHEN abs(step) > 13500000 AND (step < 0 OR step - seen > 13500000) THEN least(seen, 1080000) ELSE step END + 2576980377600) % 2576980377600, abs(step) > 13500000
+  FROM (SELECT m.flow_id, m.vseq, m.pcr, m.recv_us, r.out_pcr AS o, (m.pcr - r.src + 2576980377600 + 1288490188800) % 2576980377600 - 1288490188800 AS step, greatest(m.recv_us - r.wall, 0) * 27 AS seen FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1))""")
 def j6(spark, d):
-    return rewrite.reanchor_pcr(packets(spark, d), ["flow_id"])
+    return rewrite.reanchor_pcr(jumping(packets(spark, d)), ["flow_id"])
 
 
-@query("j7_pts_anchor")
+@query("j7_pts_anchor", """SELECT flow_id, vseq, kind, (pts90 + floor((out_pcr - pcr) / 300::DOUBLE)::BIGINT + CASE WHEN kind = 'audio' THEN 900 ELSE 0 END + 17179869184) % 8589934592 AS out_pts FROM r JOIN m USING (flow_id, vseq)""", """m AS MATERIALIZED (SELECT flow_id, vseq, event_id, recv_us, pts90, kind, (pcr27 + vseq // 40 % 3 * 54000000) % 2576980377600 AS pcr FROM p),
+r AS (SELECT flow_id, vseq, pcr AS src, recv_us AS wall, pcr AS out_pcr, false AS jumped FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, pcr, recv_us, (o + CASE WHEN abs(step) > 13500000 AND (step < 0 OR step - seen > 13500000) THEN least(seen, 1080000) ELSE step END + 2576980377600) % 2576980377600, abs(step) > 13500000
+  FROM (SELECT m.flow_id, m.vseq, m.pcr, m.recv_us, r.out_pcr AS o, (m.pcr - r.src + 2576980377600 + 1288490188800) % 2576980377600 - 1288490188800 AS step, greatest(m.recv_us - r.wall, 0) * 27 AS seen FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1))""")
 def j7(spark, d):
-    p = packets(spark, d)
+    p = jumping(packets(spark, d))
     anchors = rewrite.reanchor_pcr(p, ["flow_id"]).join(p.select("flow_id", "vseq", "pcr27"), ["flow_id", "vseq"])
     return rewrite.reanchor_pts(p, anchors, 900)
 
@@ -104,7 +120,10 @@ def j12(spark, d):
     return rewrite.bundle(packets(spark, d), ["flow_id"], "vseq")
 
 
-@query("j13_null_padding")
+@query("j13_null_padding", """SELECT flow_id, event_id, nulls FROM r""", """m AS MATERIALIZED (SELECT flow_id, vseq, event_id, recv_us, bytes FROM p),
+r AS (SELECT flow_id, vseq, event_id, recv_us AS first, bytes AS sent, 0::BIGINT AS nulls FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, event_id, first, sent + 188 * n, n
+  FROM (SELECT m.flow_id, m.vseq, m.event_id, r.first, r.sent + m.bytes AS sent, least(greatest((300000 * (m.recv_us - r.first) // 8000000 - r.sent - m.bytes) // 188, 0), 350)::BIGINT AS n FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1))""")
 def j13(spark, d):
     return rewrite.pad_to_rate(packets(spark, d), 300_000)
 
@@ -326,18 +345,26 @@ def w2(spark, d):
     return windows.freshness(packets(spark, d).withColumn("counter", counter), ["flow_id"], "recv_us", "counter", 100_000).select("flow_id", "event_id", "fresh")
 
 
-@query("w3_jitter")
+@query("w3_jitter", """SELECT flow_id, round(arg_max(j, vseq), 6) AS jitter_us FROM r GROUP BY flow_id""", """m AS MATERIALIZED (SELECT flow_id, vseq, recv_us, rtp_ts FROM p),
+r AS (SELECT flow_id, vseq, recv_us, rtp_ts, 0::DOUBLE AS j FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, recv_us, rtp_ts, CASE WHEN d <= 10000 THEN j + (least(d * 1000, 1000000) - j) / 16 ELSE j END
+  FROM (SELECT m.*, r.j, abs((m.recv_us / 1000::DOUBLE - r.recv_us / 1000::DOUBLE) - ((m.rtp_ts - r.rtp_ts + 4294967296 + 2147483648) % 4294967296 - 2147483648) / 90::DOUBLE) AS d FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1))""")
 def w3(spark, d):
     return windows.jitter(packets(spark, d))
 
 
-@query("w4_pid_bitrate_ewma")
+@query("w4_pid_bitrate_ewma", """SELECT flow_id, pid, second, v AS ewma FROM r""", """s AS MATERIALIZED (SELECT flow_id, pid, recv_us // 1000000 AS second, (sum(bytes) * 8)::DOUBLE AS bps FROM p GROUP BY ALL),
+b AS (SELECT flow_id, pid, min(second) AS first, max(second) AS last FROM s GROUP BY ALL),
+r AS (SELECT s.flow_id, s.pid, s.second, s.bps AS v, b.last FROM s JOIN b ON s.flow_id = b.flow_id AND s.pid = b.pid AND s.second = b.first UNION ALL
+  SELECT r.flow_id, r.pid, r.second + 1, CASE WHEN s.bps IS NULL THEN floor(r.v * 0.875::DOUBLE) WHEN r.v = 0 THEN s.bps ELSE floor(r.v * 0.875::DOUBLE + s.bps * 0.125::DOUBLE) END, r.last
+  FROM r LEFT JOIN s ON s.flow_id = r.flow_id AND s.pid = r.pid AND s.second = r.second + 1 WHERE r.second < r.last)""")
 def w4(spark, d):
     rates = windows.throughput(packets(spark, d), "flow_id", "pid")
     return windows.ewma(rates, ["flow_id", "pid"], "second", "bps", 0.125, whole=True, decay=True)
 
 
-@query("w5_interleave_ewma")
+@query("w5_interleave_ewma", """SELECT flow_id, vseq, round(v, 6) AS ewma FROM r""", """m AS MATERIALIZED (SELECT flow_id, vseq, cents::DOUBLE AS x FROM p),
+r AS (SELECT flow_id, vseq, x AS v FROM m WHERE vseq = 0 UNION ALL SELECT m.flow_id, m.vseq, r.v * (1 - 1 / 256::DOUBLE) + m.x * (1 / 256::DOUBLE) FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1)""")
 def w5(spark, d):
     return windows.ewma(packets(spark, d), ["flow_id"], "vseq", "cents", 1 / 256).withColumn("ewma", F.round("ewma", 6))
 
@@ -372,7 +399,10 @@ def w11(spark, d):
     return windows.delay_factor(packets(spark, d).withColumn("cc_error", F.col("event_type") == "error")).withColumns({"df_ms": F.round("df_ms", 6), "mlr": F.round("mlr", 6)})
 
 
-@query("w12_segments")
+@query("w12_segments", """SELECT flow_id, number AS segment, count(*) AS units, min(recv_us) AS begin_us, max(recv_us) AS end_us FROM r WHERE number >= 0 GROUP BY ALL""", """m AS MATERIALIZED (SELECT flow_id, vseq, recv_us, event_type = 'purchase' AS key FROM p),
+r AS (SELECT flow_id, vseq, recv_us, CASE WHEN key THEN recv_us END AS start, CASE WHEN key THEN 0::BIGINT ELSE -1::BIGINT END AS number FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, recv_us, CASE WHEN new THEN recv_us ELSE start END, number + new::BIGINT
+  FROM (SELECT m.*, r.start, r.number, m.key AND (r.start IS NULL OR m.recv_us - r.start >= 2000000) AS new FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1))""")
 def w12(spark, d):
     return windows.segments(packets(spark, d).withColumn("key", F.col("event_type") == "purchase"), 2_000_000)
 

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None, also: str = "") -> Callable[[Query]
     def register(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            SQL[name] = f"WITH {CTES}{', ' + also if also else ''} {sql}"
+            SQL[name] = f"WITH RECURSIVE {CTES}{', ' + also if also else ''} {sql}"
         return f
 
     return register
