@@ -110,7 +110,10 @@ def q17(spark, d):
     return q.continuity_errors(packets(spark, d), allow_duplicate=False)
 
 
-@query("q18_sync_loss")
+@query("q18_sync_loss", """SELECT flow_id, vseq, CASE WHEN locked THEN 'regained' ELSE 'lost' END AS change FROM r WHERE flipped""", """m AS MATERIALIZED (SELECT flow_id, vseq, cents % 9 < 5 AS good FROM p),
+r AS (SELECT flow_id, vseq, true AS locked, (NOT good)::INTEGER AS run, false AS flipped FROM m WHERE vseq = 0 UNION ALL
+  SELECT flow_id, vseq, CASE WHEN more >= 5 THEN NOT locked ELSE locked END, CASE WHEN more >= 5 THEN 0 ELSE more END, more >= 5
+  FROM (SELECT m.*, r.locked, CASE WHEN m.good = r.locked THEN 0 ELSE r.run + 1 END AS more FROM r JOIN m ON m.flow_id = r.flow_id AND m.vseq = r.vseq + 1))""")
 def q18(spark, d):
     return q.sync_events(packets(spark, d), F.col("cents") % 9 < 5)
 
