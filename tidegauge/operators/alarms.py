@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .aggregates import over_limit_runs
-
 #: Ordinals of the badge, from 0. Compared as numbers, never as labels.
 HEALTH = ["healthy", "warning", "error", "critical"]
 
@@ -54,20 +52,12 @@ def output_state(bps: Column, sent: Column, dropped: Column, failed: Column, sho
     return F.when((bps > 0) | advancing, "active").when(failed, "connect_failed").when((sent > 0) | (shown > 0), "idle").when(dropped > 0, "dropping").otherwise("waiting")
 
 
-def stalls(rates: DataFrame, keys: list[str], order: str, seconds: int = 5) -> DataFrame:
-    """H4: runs of ``seconds`` and more without a packet: (keys, begin, alarm_at, resumed_at, n)."""
-    runs = over_limit_runs(rates, keys, order, F.col("packets") == 0, seconds)
-    last = rates.groupBy(*keys).agg(F.max(order).alias("_last"))
-    resumed = F.when(F.col("until") < F.col("_last"), F.col("until") + 1)
-    return runs.join(last, keys).select(*keys, "begin", "alarm_at", resumed.alias("resumed_at"), "n")
-
-
-def dense_seconds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Packets of every second between a key's first and last, those without one included."""
-    counts = rows.groupBy(*keys, F.floor(F.col("recv_us") / 1_000_000).alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    after = F.lead("second").over(Window.partitionBy(*keys).orderBy("second"))
-    spread = counts.withColumn("_to", F.coalesce(after - 1, F.col("second")))
-    return spread.select(*keys, F.explode(F.sequence("second", "_to")).alias("at"), "second", "n").select(*keys, F.col("at").alias("second"), F.when(F.col("at") == F.col("second"), F.col("n")).otherwise(0).alias("packets"))
+def stalls(rows: DataFrame, keys: list[str], time: str, units: int = 5, unit_us: int = 1_000_000) -> DataFrame:
+    """H4: runs of ``units`` and more seconds (or spans of ``unit_us``) without a packet between two with
+    one: (keys, begin, alarm_at, resumed_at, n). A gap is one row however long it is."""
+    seen = rows.select(*keys, F.floor(F.col(time) / unit_us).alias("_at")).distinct()
+    gaps = seen.withColumn("_next", F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at"))).withColumn("n", F.col("_next") - F.col("_at") - 1)
+    return gaps.where(F.col("n") >= units).select(*keys, (F.col("_at") + 1).alias("begin"), (F.col("_at") + units).alias("alarm_at"), F.col("_next").alias("resumed_at"), "n")
 
 
 class Escalation:

@@ -58,15 +58,12 @@ def h3(spark, d):
     return counts.select("flow_id", alarms.output_state(F.when(F.col("sent") % 3 == 0, 1).otherwise(0), F.col("sent"), F.col("dropped"), F.col("flow_id") % 4 == 1).alias("state"))
 
 
-#: A sparse stream for the stall alarms: one packet in forty.
-SPARSE = """d AS (SELECT flow_id, recv_us // 1000000 AS second, count(*) AS n FROM p WHERE (event_id * 2654435761) % 4294967296 < 60000000 GROUP BY ALL),
-g AS (SELECT flow_id, second, lead(second) OVER (PARTITION BY flow_id ORDER BY second) AS nxt FROM d)"""
-
-
-@query("h4_stall", "SELECT flow_id, second + 1 AS begin, second + 5 AS alarm_at, nxt AS resumed_at, nxt - second - 1 AS n FROM g WHERE nxt - second - 1 >= 5", SPARSE)
+@query("h4_stall", """SELECT flow_id, m + 1 AS begin, m + 60 AS alarm_at, nxt AS resumed_at, nxt - m - 1 AS n FROM (SELECT *, lead(m) OVER (PARTITION BY flow_id ORDER BY m) AS nxt
+  FROM (SELECT DISTINCT user_id // 8 AS flow_id, epoch_us(ts) // 60000000 AS m FROM events)) WHERE nxt - m - 1 >= 60""")
 def h4(spark, d):
-    sparse = packets(spark, d).where("(event_id * 2654435761) % 4294967296 < 60000000")
-    return alarms.stalls(alarms.dense_seconds(sparse, ["flow_id"]), ["flow_id"], "second")
+    """Stalls by the events' own times: an hour and more without one, by the minute."""
+    seen = table(spark, d, "events").select(F.expr("user_id div 8").alias("flow_id"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("at_us"))
+    return alarms.stalls(seen, ["flow_id"], "at_us", 60, unit_us=60_000_000)
 
 
 @query("h5_escalation", """SELECT flow_id, event_id, state FROM r WHERE changed""", """m AS MATERIALIZED (SELECT flow_id, vseq, event_id, (cents >= 2000)::INTEGER + (cents >= 6000)::INTEGER AS level FROM p),
@@ -103,12 +100,12 @@ def h9(spark, d):
     return packets(spark, d).select("event_id", alarms.bars(rsrp, F.col("cents") % 40 - 10, F.lit(None).cast("long")).alias("bars"))
 
 
-@query("h10_recording_mode", """SELECT p.flow_id, p.event_id, CASE WHEN coalesce((SELECT arg_max(c.event_id % 2 = 0, c.event_id) FROM p c WHERE c.event_id % 211 = 0 AND c.flow_id = p.flow_id AND c.vseq * 40000 <= p.recv_us), false) THEN 'armed'
-  WHEN EXISTS (SELECT 1 FROM p c WHERE c.event_id % 422 = 0 AND c.flow_id = p.flow_id AND c.vseq * 40000 > p.recv_us AND c.vseq * 40000 - p.recv_us <= 2000000) THEN 'prebuffer' ELSE 'idle' END AS mode FROM p""")
+@query("h10_recording_mode", """SELECT p.flow_id, p.event_id, CASE WHEN coalesce((SELECT arg_max(c.event_type = 'signup', c.event_id) FROM p c WHERE c.event_type IN ('error', 'signup') AND c.flow_id = p.flow_id AND c.vseq * 40000 <= p.recv_us), false) THEN 'armed'
+  WHEN EXISTS (SELECT 1 FROM p c WHERE c.event_type = 'signup' AND c.flow_id = p.flow_id AND c.vseq * 40000 > p.recv_us AND c.vseq * 40000 - p.recv_us <= 200000) THEN 'prebuffer' ELSE 'idle' END AS mode FROM p""")
 def h10(spark, d):
     p = packets(spark, d)
-    commands = p.where("event_id % 211 = 0").select("flow_id", (F.col("vseq") * 40000).alias("at_us"), (F.col("event_id") % 2 == 0).alias("armed"))
-    return alarms.armed(p, commands, 2_000_000)
+    commands = p.where("event_type IN ('error', 'signup')").select("flow_id", (F.col("vseq") * 40000).alias("at_us"), (F.col("event_type") == "signup").alias("armed"))
+    return alarms.armed(p, commands, 200_000)
 
 
 @query("h11_playlist", """SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 50 = 0 OR k % 50 = 0 THEN 'unsupported' WHEN c = o_orderpriority AND r = o_orderstatus THEN 'native_continuous' ELSE 'native_discontinuity' END AS boundary,

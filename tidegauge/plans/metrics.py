@@ -33,10 +33,10 @@ def f5(spark, d):
     return filters.rate_limit(packets(spark, d), 500_000)
 
 
-@query("f6_block_gate", """SELECT flow_id, count(*) AS received, count_if(EXISTS (SELECT 1 FROM p b WHERE b.event_id % 307 = 0 AND b.flow_id = p.flow_id AND p.recv_us >= b.recv_us AND p.recv_us < b.recv_us + 3000000)) AS blocked FROM p GROUP BY flow_id""")
+@query("f6_block_gate", """SELECT flow_id, count(*) AS received, count_if(EXISTS (SELECT 1 FROM p b WHERE b.event_type = 'error' AND b.flow_id = p.flow_id AND p.recv_us >= b.recv_us AND p.recv_us < b.recv_us + 100000)) AS blocked FROM p GROUP BY flow_id""")
 def f6(spark, d):
     p = packets(spark, d)
-    blocks = p.where("event_id % 307 = 0").select("flow_id", F.col("recv_us").alias("from_us"), (F.col("recv_us") + 3_000_000).alias("to_us"))
+    blocks = p.where("event_type = 'error'").select("flow_id", F.col("recv_us").alias("from_us"), (F.col("recv_us") + 100_000).alias("to_us"))
     return filters.block_gate(p, blocks)
 
 
@@ -63,9 +63,9 @@ def f12(spark, d):
     return filters.event_rate_limit(packets(spark, d).where("event_type = 'error'"), 30_000_000)
 
 
-@query("f13_active_input", """SELECT flow_id, event_id, leg FROM (SELECT l.*, coalesce((SELECT arg_max(s.event_id % 2, s.event_id) FROM p s WHERE s.event_id % 151 = 0 AND s.flow_id = l.flow_id AND s.recv_us <= l.recv_leg_us), 0) AS active FROM legs l) WHERE leg = active""")
+@query("f13_active_input", """SELECT flow_id, event_id, leg FROM (SELECT l.*, coalesce((SELECT arg_max((s.event_type = 'error')::INT, s.event_id) FROM p s WHERE s.event_type IN ('error', 'signup') AND s.flow_id = l.flow_id AND s.recv_us <= l.recv_leg_us), 0) AS active FROM legs l) WHERE leg = active""")
 def f13(spark, d):
-    switches = packets(spark, d).where("event_id % 151 = 0").select("flow_id", F.col("recv_us").alias("at_us"), (F.col("event_id") % 2).alias("active"))
+    switches = packets(spark, d).where("event_type IN ('error', 'signup')").select("flow_id", F.col("recv_us").alias("at_us"), (F.col("event_type") == "error").cast("int").alias("active"))
     return filters.active_input(legs(spark, d), switches)
 
 
@@ -149,9 +149,9 @@ def l1(spark, d):
     return joins.resolve(f, ids.where("id < '4'"), ids)
 
 
-@query("l2_snapshots", "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) ON c_custkey = o_custkey")
+@query("l2_snapshots", "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) ON c_custkey = o_custkey")
 def l2(spark, d):
-    live = table(spark, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    live = table(spark, d, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
     return joins.with_snapshots(table(spark, d, "customer").select("c_custkey"), live, "c_custkey", ["n"])
 
 
@@ -161,11 +161,11 @@ def l3(spark, d):
     return joins.two_leg(legs(spark, d), 15_000)
 
 
-@query("l4_floor_lookup", """SELECT event_id, coalesce((SELECT max(i.vseq) FROM p i WHERE i.event_id % 10 = 3 AND i.flow_id = t.flow_id AND i.vseq <= t.vseq), (SELECT min(i.vseq) FROM p i WHERE i.event_id % 10 = 3 AND i.flow_id = t.flow_id)) AS found_vseq FROM p t WHERE event_id % 7 = 0""")
+@query("l4_floor_lookup", """SELECT event_id, coalesce((SELECT max(i.vseq) FROM p i WHERE i.event_type = 'purchase' AND i.flow_id = t.flow_id AND i.vseq <= t.vseq), (SELECT min(i.vseq) FROM p i WHERE i.event_type = 'purchase' AND i.flow_id = t.flow_id)) AS found_vseq FROM p t""")
 def l4(spark, d):
     p = packets(spark, d)
-    targets = p.where("event_id % 7 = 0").select("flow_id", "event_id", F.col("vseq").alias("want"))
-    return joins.floor_lookup(targets, p.where("event_id % 10 = 3"), "flow_id", "vseq", "want", ["vseq"]).select("event_id", "found_vseq")
+    targets = p.select("flow_id", "event_id", F.col("vseq").alias("want"))
+    return joins.floor_lookup(targets, p.where("event_type = 'purchase'"), "flow_id", "vseq", "want", ["vseq"]).select("event_id", "found_vseq")
 
 
 @query("l5_av_pairs", """SELECT event_id, other_pts FROM (SELECT *, CASE kind WHEN 'audio' THEN last_value(CASE WHEN kind = 'video' THEN pts90 END IGNORE NULLS) OVER w WHEN 'video' THEN last_value(CASE WHEN kind = 'audio' THEN pts90 END IGNORE NULLS) OVER w END AS other_pts
@@ -175,12 +175,12 @@ def l5(spark, d):
 
 
 @query("l6_clip_ranges", """SELECT c.clip_id, c.flow_id, s.start_pts, count(i.vseq) AS entries, max(i.vseq) AS end_pts FROM c JOIN s USING (clip_id) LEFT JOIN i ON i.flow_id = c.flow_id AND i.vseq >= s.start_pts AND i.vseq <= c.out_pts GROUP BY ALL""",
-       """c AS (SELECT event_id AS clip_id, flow_id, vseq AS in_pts, vseq + 60 AS out_pts FROM p WHERE event_id % 89 = 0), i AS (SELECT flow_id, vseq FROM p WHERE event_id % 5 = 2),
+       """c AS (SELECT event_id AS clip_id, flow_id, vseq AS in_pts, vseq + 60 AS out_pts FROM p WHERE event_type = 'signup'), i AS (SELECT flow_id, vseq FROM p WHERE event_type = 'purchase'),
 s AS (SELECT clip_id, coalesce((SELECT max(vseq) FROM i WHERE i.flow_id = c.flow_id AND vseq <= in_pts), (SELECT min(vseq) FROM i WHERE i.flow_id = c.flow_id)) AS start_pts FROM c)""")
 def l6(spark, d):
     p = packets(spark, d)
-    clips = p.where("event_id % 89 = 0").select(F.col("event_id").alias("clip_id"), "flow_id", F.col("vseq").alias("in_pts"), (F.col("vseq") + 60).alias("out_pts"))
-    return joins.clip_ranges(clips, p.where("event_id % 5 = 2"), "flow_id", "vseq")
+    clips = p.where("event_type = 'signup'").select(F.col("event_id").alias("clip_id"), "flow_id", F.col("vseq").alias("in_pts"), (F.col("vseq") + 60).alias("out_pts"))
+    return joins.clip_ranges(clips, p.where("event_type = 'purchase'"), "flow_id", "vseq")
 
 
 @query("l8_unreferenced_pids", "SELECT DISTINCT flow_id, pid FROM p WHERE (flow_id, pid) NOT IN (SELECT flow_id, pid FROM p WHERE kind = 'video')")
@@ -189,10 +189,10 @@ def l8(spark, d):
     return joins.unreferenced_pids(p, p.where("kind = 'video'"))
 
 
-@query("l9_version_as_of", """SELECT event_id, (SELECT arg_max(v.version, v.vseq) FROM v WHERE v.flow_id = p.flow_id AND v.vseq <= p.vseq) AS version FROM p""", "v AS (SELECT flow_id, vseq, vseq // 300 % 32 AS version FROM p WHERE vseq % 50 = 7)")
+@query("l9_version_as_of", """SELECT event_id, (SELECT arg_max(v.version, v.vseq) FROM v WHERE v.flow_id = p.flow_id AND v.vseq <= p.vseq) AS version FROM p""", "v AS (SELECT flow_id, vseq, vseq // 300 % 32 AS version FROM p WHERE event_type = 'signup')")
 def l9(spark, d):
     p = packets(spark, d)
-    held = joins.version_intervals(p.where("vseq % 50 = 7").select("flow_id", "vseq", F.expr("vseq div 300 % 32").alias("version")), ["flow_id"], "vseq")
+    held = joins.version_intervals(p.where("event_type = 'signup'").select("flow_id", "vseq", F.expr("vseq div 300 % 32").alias("version")), ["flow_id"], "vseq")
     return joins.as_of_version(p.select("event_id", "flow_id", "vseq"), held, ["flow_id"], "vseq").select("event_id", "version")
 
 
@@ -286,9 +286,9 @@ def a13(spark, d):
     return a.captions(packets(spark, d).where("kind = 'data'"), F.lit(40_000_000), "event_type")
 
 
-@query("a14_cues", "SELECT flow_id, count(*) AS cues, arg_max(event_type, event_id) AS last_command, arg_max(pts90, event_id) AS last_pts FROM p WHERE event_id % 41 = 0 GROUP BY flow_id")
+@query("a14_cues", "SELECT flow_id, count(*) AS cues, arg_max(event_type, event_id) AS last_command, arg_max(pts90, event_id) AS last_pts FROM p WHERE event_type IN ('purchase', 'signup') GROUP BY flow_id")
 def a14(spark, d):
-    return a.cues(packets(spark, d).where("event_id % 41 = 0"), "event_type")
+    return a.cues(packets(spark, d).where("event_type IN ('purchase', 'signup')"), "event_type")
 
 
 @query("a15_file_probe", "SELECT flow_id, count(*) AS cells, arg_min(pcr27, vseq) AS first_pcr, arg_max(pcr27, vseq) AS last_pcr, (arg_max(pcr27, vseq) - arg_min(pcr27, vseq) + 2576980377600) % 2576980377600 // 27000 AS duration_ms FROM p GROUP BY flow_id")

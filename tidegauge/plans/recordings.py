@@ -19,16 +19,16 @@ def segments(spark, d):
 
 
 @query("a16_recordings", """SELECT s.*, coalesce(clips, 0) AS clips FROM (SELECT recording_id, count(*) AS segments, sum(bytes)::BIGINT AS bytes, max(end_pts) - min(start_pts) AS span FROM seg GROUP BY 1) s
-  LEFT JOIN (SELECT flow_id, count(*) AS clips FROM p WHERE event_id % 211 = 0 GROUP BY 1) c ON c.flow_id = s.recording_id""", SEGMENTS)
+  LEFT JOIN (SELECT flow_id, count(*) AS clips FROM p WHERE event_type = 'signup' GROUP BY 1) c ON c.flow_id = s.recording_id""", SEGMENTS)
 def a16(spark, d):
-    return a.recordings(segments(spark, d), packets(spark, d).where("event_id % 211 = 0").select(F.col("flow_id").alias("recording_id")))
+    return a.recordings(segments(spark, d), packets(spark, d).where("event_type = 'signup'").select(F.col("flow_id").alias("recording_id")))
 
 
 @query("a17_bytes_in_range", """SELECT range_id, sum(greatest(CASE WHEN segment_id = last THEN 9000 ELSE bytes END - CASE WHEN segment_id = 0 THEN start ELSE 0 END, 0))::BIGINT AS bytes FROM seg
-  JOIN (SELECT event_id AS range_id, flow_id, cents % 1000 AS start, event_id % 3 AS last FROM p WHERE event_id % 97 = 0) r ON r.flow_id = recording_id AND segment_id BETWEEN 0 AND last GROUP BY range_id""", SEGMENTS)
+  JOIN (SELECT event_id AS range_id, flow_id, cents % 1000 AS start, event_id % 3 AS last FROM p WHERE event_type = 'signup') r ON r.flow_id = recording_id AND segment_id BETWEEN 0 AND last GROUP BY range_id""", SEGMENTS)
 def a17(spark, d):
     names = {"range_id": F.col("event_id"), "recording_id": F.col("flow_id"), "from_segment": F.lit(0), "from_offset": F.col("cents") % 1000, "to_segment": F.col("event_id") % 3, "to_offset": F.lit(9000)}
-    return a.bytes_in_range(segments(spark, d), packets(spark, d).where("event_id % 97 = 0").select(*[c.alias(n) for n, c in names.items()]))
+    return a.bytes_in_range(segments(spark, d), packets(spark, d).where("event_type = 'signup'").select(*[c.alias(n) for n, c in names.items()]))
 
 
 @query("a19_capacity_totals", "SELECT c_nationkey, sum(c_custkey % 50)::BIGINT AS cost_units, sum(c_custkey % 4)::BIGINT AS hw_sessions FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")

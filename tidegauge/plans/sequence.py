@@ -125,11 +125,11 @@ def q20(spark, d):
     return q.reassemble(rows, ["flow_id", "pid"], "vseq", F.col("event_type") == "purchase", "payload").withColumn("data", F.col("data").cast("string"))
 
 
-@query("q21_splice", """SELECT s.switch_id, s.flow_id, min(u.recv_us) AS splice_us, min(u.recv_us) IS NULL AS timed_out FROM (SELECT event_id AS switch_id, flow_id, recv_us AS at_us, pts90 + 1800 AS pts FROM p WHERE event_id % 97 = 0) s
+@query("q21_splice", """SELECT s.switch_id, s.flow_id, min(u.recv_us) AS splice_us, min(u.recv_us) IS NULL AS timed_out FROM (SELECT event_id AS switch_id, flow_id, recv_us AS at_us, pts90 + 1800 AS pts FROM p WHERE event_type = 'signup') s
   LEFT JOIN p u ON u.flow_id = s.flow_id AND u.recv_us >= s.at_us AND u.recv_us <= s.at_us + 200000 AND (u.pts90 - s.pts + 8589934592) % 8589934592 < 4294967296 AND u.event_type = 'purchase' GROUP BY s.switch_id, s.flow_id""")
 def q21(spark, d):
     p = packets(spark, d)
-    switches = p.where("event_id % 97 = 0").select(F.col("event_id").alias("switch_id"), "flow_id", F.col("recv_us").alias("at_us"), (F.col("pts90") + 1800).alias("pts"), F.lit(200_000).alias("timeout_us"))
+    switches = p.where("event_type = 'signup'").select(F.col("event_id").alias("switch_id"), "flow_id", F.col("recv_us").alias("at_us"), (F.col("pts90") + 1800).alias("pts"), F.lit(200_000).alias("timeout_us"))
     return q.splice_points(switches, p.withColumn("key", F.col("event_type") == "purchase"))
 
 
