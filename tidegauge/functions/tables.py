@@ -135,40 +135,40 @@ def map_cell(program: int, pid: int, clock_pid: int, streams: list[tuple[int, in
     return _cell_of(pid, cc, head + (0xE000 | clock_pid & 0x1FFF).to_bytes(2, "big") + b"\xf0\0" + body)
 
 
-def _on_call(returns: str):
+def on_call(returns: str):
     """A pandas function as a function of columns; the type is parsed when it is called, in a session."""
     return lambda f: wraps(f)(lambda *columns: F.pandas_udf(f, returns)(*columns))
 
 
-@_on_call("array<struct<program:int,pid:int>>")
+@on_call("array<struct<program:int,pid:int>>")
 def pat_programs(cells: pd.Series) -> pd.Series:
     return pd.Series([[{"program": p, "pid": pid} for p, pid in programs(c)] for c in cells])
 
 
-@_on_call("struct<program:int,version:int,clock_pid:int,streams:array<struct<stream_type:int,pid:int,descriptors:binary>>>")
+@on_call("struct<program:int,version:int,clock_pid:int,streams:array<struct<stream_type:int,pid:int,descriptors:binary>>>")
 def pmt(cells: pd.Series) -> pd.DataFrame:
     rows = [program_map(c) or (None, None, None, None) for c in cells]
     named = [(p, v, c, None if s is None else [{"stream_type": t, "pid": pid, "descriptors": d} for t, pid, d in s]) for p, v, c, s in rows]
     return pd.DataFrame(named, columns=["program", "version", "clock_pid", "streams"]).astype({"program": "Int32", "version": "Int32", "clock_pid": "Int32"})
 
 
-@_on_call("boolean")
+@on_call("boolean")
 def crc_ok(cells: pd.Series) -> pd.Series:
     """Whether the section that begins in the cell ends in it and has the right checksum; null if none begins."""
     parts = [section(c) for c in cells]
     return pd.Series([None if p is None else _whole(p) and crc32_mpeg(p) == 0 for p in parts], dtype="boolean")
 
 
-@_on_call("string")
+@on_call("string")
 def audio_kind(descriptors: pd.Series) -> pd.Series:
     return pd.Series([audio_kind_of(d) for d in descriptors], dtype=object)
 
 
-@_on_call("boolean")
+@on_call("boolean")
 def is_text_service(descriptors: pd.Series) -> pd.Series:
     return pd.Series([any(tag in TEXT_TAGS for tag, _ in _descriptors(d)) for d in descriptors], dtype=bool)
 
 
-@_on_call("string")
+@on_call("string")
 def language(descriptors: pd.Series) -> pd.Series:
     return pd.Series([language_of(d) for d in descriptors], dtype=object)

@@ -1,8 +1,8 @@
-"""Captured datagrams as tables and streams (S1, S2), and recordings on disk."""
+"""Captured datagrams as tables and streams (S1, S2), and recordings on disk and played again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -63,3 +63,13 @@ def retained(segments: DataFrame, keys: list[str], most_bytes: int) -> DataFrame
     newest = Window.partitionBy(*keys).orderBy(F.desc("segment_id"))
     total = F.sum("bytes").over(newest.rowsBetween(Window.unboundedPreceding, 0))
     return segments.select(*keys, "segment_id", ((total <= most_bytes) | (F.row_number().over(newest) == 1)).alias("keep"))
+
+
+def replayed(cells: DataFrame, clips: DataFrame, keys: list[str], pts: str, speed: Column, span: int) -> DataFrame:
+    """The cells of each clip (clip_id, keys, start_pts, to_pts), both ends included, with due_us, when
+    each is played from the clip's start on at ``speed`` (over 0, to 1). Clips meet cells by the spans of
+    ``span`` ticks they reach over, so none is held against a whole recording."""
+    first, last = F.floor(F.col("start_pts") / span), F.floor(F.col("to_pts") / span)
+    asked = clips.where("start_pts <= to_pts").select("clip_id", *keys, "start_pts", "to_pts", F.explode(F.sequence(first, last)).alias("_span"))
+    met = cells.withColumn("_span", F.floor(F.col(pts) / span)).join(asked, [*keys, "_span"]).where(F.col(pts).between(F.col("start_pts"), F.col("to_pts")))
+    return met.withColumn("due_us", F.round((F.col(pts) - F.col("start_pts")) * 100 / (9 * speed)).cast("long")).drop("_span", "start_pts", "to_pts")
