@@ -23,43 +23,64 @@ def sorted_lists(rows: np.ndarray) -> np.ndarray:
     return np.argsort(-rows, axis=0, kind="stable").astype(np.int32)
 
 
-def nra(rows: np.ndarray, order: np.ndarray, ids: np.ndarray, own: int, query: np.ndarray, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """The indices and scores of the query's k best rows, best first, ties to smaller ids; ``own`` is
-    the row that is the query itself, or -1.
+def nra(rows: np.ndarray, order: np.ndarray, ids: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``nra_many`` for one query."""
+    return nra_many(rows, order, ids, np.array([own]), query[None], k)[0]
+
+
+def nra_many(rows: np.ndarray, order: np.ndarray, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the indices and scores of its k best rows, best first, ties to smaller ids;
+    ``own`` has the row that each query is itself, or -1.
 
     Each dimension's list (``order``, see ``sorted_lists``) is read in sequence, all to the same depth,
-    from its top for a positive component of the query and from its end for a negative one. What is read
-    adds to a row's lower bound; what isn't lies between the last value read of its list and the list's
-    end, which gives the upper bound. Reading stops when the rows whose upper bound reaches the k-th
-    lower bound are 4 k at most, so that no other row can qualify; their scores are then resolved."""
+    which doubles from a sixteenth of the list on: from its top for positive components of queries and
+    from its end for negative ones. What is newly read is added to the lower bounds of the queries that
+    are still open, all at once; what isn't read lies between the last value read of its list and the
+    list's end, which gives the upper bound. A query is closed when the rows whose upper bound reaches
+    its k-th lower bound are 4 k at most, so that no other row can qualify; their scores are then resolved."""
     n, width = rows.shape
-    if float(np.abs(rows).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(width, 1) >= EXACT:
-        score = np.clip(rows.astype(object) @ query.astype(object), -(1 << 63), (1 << 63) - 1).astype("int64")
-        left = np.flatnonzero(np.arange(n) != own)
-        best = _best(ids[left], score[left], k)
-        return left[best], score[left[best]]
-    lists = np.flatnonzero(query)
-    part = query[lists].astype(float)
-    up = part > 0
-    ends = np.where(up, order[-1, lists], order[0, lists]) if n else np.zeros(0, int)
-    least = rows[ends, lists] * part
-    low = np.full(n, least.sum())
-    read = np.zeros((n, len(lists)), bool)
-    left, depth = np.flatnonzero(np.arange(n) != own), 0
-    while len(left) > 4 * k and depth < n:
-        to = min(n, depth + step)
-        at = np.where(up, order[depth:to, lists], order[n - to : n - depth, lists][::-1])
-        got = rows[at, lists] * part
-        low += np.bincount(at.ravel(), weights=(got - least).ravel(), minlength=n)
-        read[at, np.arange(len(lists))] = True
-        depth, step = to, step + step // 2
-        gap = got[-1] - least
-        high = low[left] + gap.sum() - read[left] @ gap
-        kth = np.partition(low[left], len(left) - k)[len(left) - k]
-        left = left[high >= kth]
-    score = rows[left] @ query
-    best = _best(ids[left], score, k)
-    return left[best], score[best]
+    if 4.0 * float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1) >= EXACT:
+        found = []
+        for mine, query in zip(own, queries, strict=True):
+            score = np.clip(rows.astype(object) @ query.astype(object), -(1 << 63), (1 << 63) - 1).astype("int64")
+            left = np.flatnonzero(np.arange(n) != mine)
+            best = _best(ids[left], score[left], k)
+            found.append((left[best], score[left[best]]))
+        return found
+    values, lists = rows.astype(float), np.arange(width)
+    up, down = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
+    top, end = (values[order[0], lists], values[order[-1], lists]) if n else (np.zeros(width), np.zeros(width))
+    low = np.repeat((up @ end + down @ top)[:, None], n, axis=1)
+    mine = np.flatnonzero(own >= 0)
+    low[mine, own[mine]] = -np.inf
+    read_up, read_down = np.zeros((n, width)), np.zeros((n, width))
+    found, open_, depth = [None] * len(queries), np.arange(len(queries)), 0
+    while len(open_):
+        to = min(n, 2 * depth or max(1, n // 16))
+        first, last = order[depth:to], order[n - to : n - depth]
+        new_up, new_down = np.zeros((n, width)), np.zeros((n, width))
+        new_up[first, lists], new_down[last, lists] = values[first, lists] - end, values[last, lists] - top
+        read_up[first, lists], read_down[last, lists] = 1, 1
+        low += up @ new_up.T
+        low += down @ new_down.T
+        depth = to
+        if depth < n:
+            gap_up, gap_down = up * (values[order[depth - 1], lists] - end), down * (values[order[n - depth], lists] - top)
+            high = low + (gap_up.sum(1) + gap_down.sum(1))[:, None]
+            high -= gap_up @ read_up.T
+            high -= gap_down @ read_down.T
+        else:
+            high = low
+        kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+        left = (high >= kth[:, None]) & (high > -np.inf)
+        done = (left.sum(1) <= 4 * k) | (depth == n)
+        for i in np.flatnonzero(done):
+            at = np.flatnonzero(left[i])
+            score = rows[at] @ queries[open_[i]]
+            best = _best(ids[at], score, k)
+            found[open_[i]] = (at[best], score[best])
+        open_, low, up, down = open_[~done], low[~done], up[~done], down[~done]
+    return found
 
 
 def exact_top_k(vectors: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, scale: int = 1024, block: int = 4096, query_block: int = 512) -> DataFrame:
@@ -97,9 +118,9 @@ def exact_top_k(vectors: DataFrame, k: int = 10, vec_id: str = "vec_id", embeddi
             of = block_.iloc[0]
             uids, ids = np.asarray(of["uids"]), np.asarray(of["ids"])
             rows, order = np.asarray(of["rows"]).reshape(len(ids), -1), np.asarray(of["order"]).reshape(len(ids), -1)
-            for uid, id_, v in zip(wanted["uid"], wanted["id"], wanted["v"], strict=True):
-                at = int(np.searchsorted(uids, uid))
-                found, score = nra(rows, order, ids, at if at < len(uids) and uids[at] == uid else -1, np.asarray(v, "int64"), k)
+            at = np.searchsorted(uids, wanted["uid"])
+            own = np.where(uids[np.minimum(at, len(uids) - 1)] == wanted["uid"], at, -1)
+            for uid, id_, (found, score) in zip(wanted["uid"], wanted["id"], nra_many(rows, order, ids, own, stack(wanted["v"]), k), strict=True):
                 out.append(pd.DataFrame({"query_uid": uid, "query_id": id_, "vec_id": ids[found], "score": score}))
         return pd.concat(out)
 
