@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.plans.binding import legs, packets
-from tidegauge.streaming import live
+from tidegauge.operators import alarms, timers
+from tidegauge.operators.fold import ordered_fold
+from tidegauge.streaming import live, machines
 
 
 def streamed(spark, rows, operator):
@@ -46,3 +48,20 @@ def test_two_legs(spark, sf_dir):
     want = {tuple(r) for r in a.join(b, ["flow_id", "vseq"], "full_outer").select("flow_id", "vseq", "a_at", "b_at").collect()}
     # every pair is out, and of those without a partner only such as the watermark has passed
     assert got <= want and {r for r in want if r[2] and r[3]} <= got
+
+
+@pytest.mark.parametrize("start,step,schema", [
+    (lambda: alarms.Escalation(2000, 6000, 2), lambda s, r: [(r.flow_id, r.vseq, s.add(r.cents))], "flow_id long, vseq long, state int"),
+    (timers.DrainRate, lambda s, r: [(r.flow_id, r.vseq, s.measure(r.pcr27, r.bytes))], "flow_id long, vseq long, rate long"),
+])
+def test_machines_keep_their_state_between_batches(spark, sf_dir, start, step, schema):
+    rows = packets(spark, sf_dir).select("flow_id", "vseq", "cents", "pcr27", "bytes")
+    path, name = tempfile.mkdtemp(prefix="spark-"), "machine_" + schema.split()[-2]
+    for part in ("vseq < 20", "vseq between 20 and 45", "vseq > 45"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = machines.stream_fold(stream, ["flow_id"], ["vseq"], start, step, schema)
+    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).start().awaitTermination()
+    want = ordered_fold(rows, ["flow_id"], ["vseq"], start, step, schema)
+    got = sorted(map(tuple, spark.table(name).collect()))
+    assert got and got == sorted(map(tuple, want.collect()))
