@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fold import ordered_fold
+
 
 def lagged(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str) -> DataFrame:
     return rows.withColumn(name, F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
@@ -75,6 +77,30 @@ def over_limit_runs(rates: DataFrame, keys: list[str], order: str, over: Column,
     return runs.where(F.col("n") >= grace).drop("_i")
 
 
+def held_for(rows: DataFrame, keys: list[str], time: str, on: Column, hold_us: int) -> DataFrame:
+    """Stretches of rows for which ``on`` holds that last ``hold_us`` at least: (keys, begin_us,
+    alarm_us, until_us); the alarm comes with the first row that is so much after the beginning."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    marked = rows.select(*keys, time, F.coalesce(on, F.lit(False)).alias("_o"))
+    marked = marked.withColumn("_i", F.sum(F.when(F.col("_o"), 0).otherwise(1)).over(w)).where("_o")
+    timed = marked.withColumn("_b", F.min(time).over(Window.partitionBy(*keys, "_i").orderBy(time)))
+    late = F.when(F.col(time) - F.col("_b") >= hold_us, F.col(time))
+    return timed.groupBy(*keys, "_i").agg(F.min(time).alias("begin_us"), F.min(late).alias("alarm_us"), F.max(time).alias("until_us")).where("alarm_us IS NOT NULL").drop("_i")
+
+
+def silent(loudness: Column, bitrate: Column) -> Column:
+    """H8: whether a block is silent: by its loudness, or where no decoder gives one by its bitrate. A
+    loudness that isn't finite is no silence."""
+    finite = ~F.isnan(loudness) & (F.abs(loudness) != float("inf"))
+    return F.when(loudness.isNotNull(), finite & (loudness <= -60)).otherwise(bitrate < 1000)
+
+
+def hard_mutes(frames: DataFrame, keys: list[str], order: str, channels: str, sample_rate: int) -> DataFrame:
+    """H8: runs of frames in which all channels are exactly zero, of 40 ms or more."""
+    rate = sample_rate or 48_000
+    return over_limit_runs(frames, keys, order, F.forall(channels, lambda x: x == 0), max(rate * 40 // 1000, 1))
+
+
 def sliding_ratio(rows: DataFrame, keys: list[str], order: str, part: str, whole: str, size: int, floor: int, least: float) -> DataFrame:
     """A10: part / whole over the last ``size`` rows, and whether it is at least ``least`` with at
     least ``floor`` in whole."""
@@ -189,6 +215,24 @@ def levels(frames: DataFrame, samples: str, floor_db: float = -90.0) -> DataFram
     return frames.withColumn("peak_dbfs", db(peak)).withColumn("rms_dbfs", db(F.sqrt(square / F.size(samples))))
 
 
+class PeakHold:
+    """The peak shown stays until one as high comes or it has stood for ``hold_us``."""
+
+    def __init__(self, hold_us: int = 1_500_000):
+        self.hold_us, self.shown, self.until = hold_us, float("-inf"), 0
+
+    def add(self, now_us: int, peak: float) -> float:
+        if peak >= self.shown or now_us >= self.until:
+            self.shown, self.until = peak, now_us + self.hold_us
+        return self.shown
+
+
+def peak_hold(blocks: DataFrame, time: str, peak: str, hold_us: int = 1_500_000) -> DataFrame:
+    """(flow_id, pid, event_id, shown) over the blocks of each flow_id and pid."""
+    rows = blocks.select("flow_id", "pid", F.col(time).alias("at"), "event_id", F.col(peak).cast("double").alias("peak"))
+    return ordered_fold(rows, ["flow_id", "pid"], ["at", "event_id"], lambda: PeakHold(hold_us), lambda s, r: [(r.flow_id, r.pid, r.event_id, s.add(r.at, r.peak))], "flow_id long, pid long, event_id long, shown double")
+
+
 #: Cost of a flow, in units. Fixed values.
 COST_BASE = 1
 COST = {

@@ -180,9 +180,34 @@ def leg_merge_counts(legs: DataFrame, hold_us: int) -> DataFrame:
 
 
 def leg_down(legs: DataFrame, silent_us: int = 1_000_000) -> DataFrame:
-    """Q5: intervals in which a leg was silent for longer."""
+    """Q5: intervals in which a leg was silent for longer; up_us is null for a leg that is still silent at
+    its flow's last arrival."""
     before = F.lag("recv_leg_us").over(Window.partitionBy("flow_id", "leg").orderBy("recv_leg_us", "event_id"))
-    return legs.withColumn("from_us", before).where(F.col("recv_leg_us") - F.col("from_us") > silent_us).select("flow_id", "leg", (F.col("from_us") + silent_us).alias("down_us"), F.col("recv_leg_us").alias("up_us"))
+    gaps = legs.select("flow_id", "leg", before.alias("from_us"), F.col("recv_leg_us").alias("up_us"))
+    last = legs.groupBy("flow_id", "leg").agg(F.max("recv_leg_us").alias("from_us"))
+    open_ = last.join(last.groupBy("flow_id").agg(F.max("from_us").alias("until_us")), "flow_id").where(F.col("until_us") - F.col("from_us") > silent_us)
+    closed = gaps.where(F.col("up_us") - F.col("from_us") > silent_us)
+    return closed.unionAll(open_.select("flow_id", "leg", "from_us", F.lit(None).cast("long"))).select("flow_id", "leg", (F.col("from_us") + silent_us).alias("down_us"), "up_us")
+
+
+def red_blue(legs: DataFrame) -> DataFrame:
+    """Q15: of each leg what came, what was passed on as a number's first copy, what was a duplicate, and
+    how often the output changed over to it."""
+    firsts = legs.groupBy("flow_id", "vseq").agg(F.min(F.struct("recv_leg_us", "leg")).alias("f"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("leg") == 0).alias("red"))
+    last = F.lag("f.leg").over(Window.partitionBy("flow_id").orderBy("f.recv_leg_us", "f.leg", "vseq"))
+    won = firsts.withColumn("switched", F.coalesce(F.col("f.leg") != last, F.lit(False)))
+    seen = won.withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("came", F.when(F.col("leg") == 0, F.col("red")).otherwise(F.col("n") - F.col("red")))
+    mine = F.col("leg") == F.col("f.leg")
+    counts = seen.groupBy("flow_id", "leg").agg(F.sum("came").alias("received"), F.count_if(mine).alias("forwarded"), F.count_if(mine & F.col("switched")).alias("switches"))
+    return counts.where("received > 0").select("flow_id", "leg", "received", "forwarded", (F.col("received") - F.col("forwarded")).alias("duplicates"), "switches")
+
+
+def realigned(base: Column, new_base: Column, seqs: Column, size: int) -> Column:
+    """Q14: where the packets of a matrix of ``size`` cells lie once its first number is ``new_base``: their
+    new places, or null if the new first number is a matrix or more away. Those outside are given up."""
+    ahead = lambda a, b: F.pmod(a - b, F.lit(65536))
+    places = F.filter(F.transform(seqs, lambda s: ahead(s, new_base)), lambda x: x < size)
+    return F.when((ahead(new_base, base) < size) | (ahead(base, new_base) < size), places)
 
 
 def ssrc_mismatches(rows: DataFrame, ssrc: str) -> DataFrame:

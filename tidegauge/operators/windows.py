@@ -262,10 +262,19 @@ def projected_clock(rows: DataFrame, anchors: DataFrame, rate: float = 27.0) ->
     return found.select("flow_id", "event_id", now.alias("now_27mhz"))
 
 
-def slot_stalls(units: DataFrame, keys: list[str], time: str, stall_us: int) -> DataFrame:
-    """Intervals without a unit for ``stall_us``: (keys, stalled_at, resumed_at)."""
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    return units.select(*keys, time, before.alias("b")).where(F.col(time) - F.col("b") >= stall_us).select(*keys, (F.col("b") + stall_us).alias("stalled_at"), F.col(time).alias("resumed_at"))
+def slot_stalls(units: DataFrame, slots: DataFrame, keys: list[str], time: str, scan_us: int = 1_000_000, stall: int = 5, grace: int = 10) -> DataFrame:
+    """(keys, stalled_at, resumed_at) in scans since the start, for slots (keys, start_us, until_us,
+    continuous). A scan each ``scan_us`` sees which slots got units since the last. A slot that got none for
+    ``stall`` scans, or none since the start, stalls once, though not before ``grace`` scans; resumed_at is
+    null if nothing came by until_us. Slots of sparse streams are never judged."""
+    judged = slots.where("continuous")
+    scan = lambda at: F.ceil((F.col(at) - F.col("start_us")) / scan_us)
+    data = units.join(judged, keys).select(*keys, scan(time).alias("scan"), scan("until_us").alias("until"))
+    moved = data.unionAll(judged.select(*keys, F.lit(0).cast("long").alias("scan"), scan("until_us").alias("until"))).distinct()
+    after = F.lead("scan").over(Window.partitionBy(*keys).orderBy("scan"))
+    stalled = F.greatest(F.col("scan") + stall, F.lit(grace))
+    found = moved.withColumn("resumed_at", after).where(stalled < F.coalesce("resumed_at", F.col("until") + 1))
+    return found.select(*keys, stalled.alias("stalled_at"), "resumed_at")
 
 
 def timecode_breaks(rows: DataFrame, keys: list[str], order: str, frames: str, day: int, back: int = 5) -> DataFrame:

@@ -86,10 +86,21 @@ def h7(spark, d):
     return alarms.frozen(packets(spark, d), ["flow_id"], "vseq", "event_type", 15, F.col("cents") % 11 == 0)
 
 
-@query("h8_silence", """SELECT flow_id, min(vseq) AS begin, max(CASE WHEN n = 3 THEN vseq END) AS alarm_at, max(vseq) AS until, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, run ORDER BY vseq) AS n FROM (
-  SELECT *, sum((cents >= 1500)::INT) OVER (PARTITION BY flow_id ORDER BY vseq) AS run FROM p) WHERE cents < 1500) GROUP BY flow_id, run HAVING count(*) >= 3""")
+HELD = """SELECT flow_id, min(recv_us) AS begin_us, min(CASE WHEN recv_us - b >= {hold} THEN recv_us END) AS alarm_us, max(recv_us) AS until_us FROM (SELECT *, min(recv_us) OVER (PARTITION BY flow_id, run) AS b FROM (
+  SELECT *, sum((NOT o)::INT) OVER (PARTITION BY flow_id ORDER BY recv_us) AS run FROM (SELECT *, {on} AS o FROM p)) WHERE o) GROUP BY flow_id, run HAVING max(recv_us) - min(recv_us) >= {hold}"""
+
+
+@query("h8_silence", HELD.format(hold=80_000, on="CASE WHEN event_type <> 'view' THEN cents % 10000 >= 6000 ELSE bytes * 200 / 188 < 1000 END"))
 def h8(spark, d):
-    return aggregates.over_limit_runs(packets(spark, d), ["flow_id"], "vseq", F.col("cents") < 1500, 3)
+    loudness, bitrate = F.when(F.col("event_type") != "view", -(F.col("cents") % 10000) / 100.0), F.col("bytes") * 200 / 188
+    return aggregates.held_for(packets(spark, d), ["flow_id"], "recv_us", aggregates.silent(loudness, bitrate), 80_000)
+
+
+@query("h8_hard_mute", """SELECT flow_id, min(vseq) AS begin, max(CASE WHEN n = 2 THEN vseq END) AS alarm_at, max(vseq) AS until, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, run ORDER BY vseq) AS n FROM (
+  SELECT *, sum((cents % 2 + cents % 3 // 2 > 0)::INT) OVER (PARTITION BY flow_id ORDER BY vseq) AS run FROM p) WHERE cents % 2 + cents % 3 // 2 = 0) GROUP BY flow_id, run HAVING count(*) >= 2""")
+def h8_mute(spark, d):
+    channels = F.array(F.col("cents") % 2, F.expr("cents % 3 div 2"))
+    return aggregates.hard_mutes(packets(spark, d).withColumn("channels", channels), ["flow_id"], "vseq", "channels", 50)
 
 
 @query("h9_bars", """SELECT event_id, CASE WHEN a IS NULL OR b IS NULL THEN coalesce(a, b) ELSE least(a, b) END AS bars FROM (SELECT event_id,
@@ -116,10 +127,9 @@ def h11(spark, d):
     return met.select("o_custkey", "o_orderkey", "boundary", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("h12_stale_cadence", """SELECT flow_id, min(vseq) AS begin, max(CASE WHEN n = 4 THEN vseq END) AS alarm_at, max(vseq) AS until, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, run ORDER BY vseq) AS n FROM (
-  SELECT *, sum((cents % 5000 <= 1000)::INT) OVER (PARTITION BY flow_id ORDER BY vseq) AS run FROM p) WHERE cents % 5000 > 1000) GROUP BY flow_id, run HAVING count(*) >= 4""")
+@query("h12_stale_cadence", HELD.format(hold=120_000, on="cents % 5000 > 1000"))
 def h12(spark, d):
-    return aggregates.over_limit_runs(packets(spark, d), ["flow_id"], "vseq", F.col("cents") % 5000 > 1000, 4)
+    return aggregates.held_for(packets(spark, d), ["flow_id"], "recv_us", F.col("cents") % 5000 > 1000, 120_000)
 
 
 @query("h13_clock_threshold", """SELECT flow_id, event_id, state FROM (SELECT *, lag(state, 1, 0) OVER (PARTITION BY flow_id ORDER BY vseq, event_id) AS b FROM s) WHERE state <> b""", """s AS (SELECT flow_id, vseq, event_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY vseq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state

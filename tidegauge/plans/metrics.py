@@ -316,6 +316,14 @@ def a26(spark, d):
     return a.levels(table(spark, d, "embeddings"), "embedding").select("vec_id", F.round("peak_dbfs", 6).alias("peak_dbfs"), F.round("rms_dbfs", 6).alias("rms_dbfs"))
 
 
+@query("a26_peak_hold", """SELECT flow_id, pid, event_id, shown FROM r""", """m AS MATERIALIZED (SELECT flow_id, pid, event_id, recv_us, (-(cents % 90))::DOUBLE AS peak, row_number() OVER (PARTITION BY flow_id, pid ORDER BY recv_us, event_id) AS n FROM p),
+r AS (SELECT flow_id, pid, n, event_id, peak AS shown, recv_us + 1500000 AS until FROM m WHERE n = 1 UNION ALL
+  SELECT m.flow_id, m.pid, m.n, m.event_id, CASE WHEN m.peak >= r.shown OR m.recv_us >= r.until THEN m.peak ELSE r.shown END, CASE WHEN m.peak >= r.shown OR m.recv_us >= r.until THEN m.recv_us + 1500000 ELSE r.until END
+  FROM r JOIN m ON m.flow_id = r.flow_id AND m.pid = r.pid AND m.n = r.n + 1)""")
+def a26_hold(spark, d):
+    return a.peak_hold(packets(spark, d).withColumn("peak", -(F.col("cents") % 90)), "recv_us", "peak")
+
+
 @query("a28_programs", "SELECT flow_id, program, sum(b)::BIGINT AS bitrate, string_agg(pid || ':' || b, ',' ORDER BY pid) AS streams FROM (SELECT flow_id, pid % 3 AS program, pid, (sum(bytes) * 8)::BIGINT AS b FROM p GROUP BY ALL) GROUP BY ALL")
 def a28(spark, d):
     streams = packets(spark, d).groupBy("flow_id", "pid").agg((F.sum("bytes") * 8).alias("bitrate")).withColumn("program", F.col("pid") % 3)
@@ -429,9 +437,13 @@ def w20(spark, d):
     return packets(spark, d).select("event_id", clock.source_index("vseq", 30000, 1001, 25, 1).alias("source"))
 
 
-@query("w21_slot_stalls", "SELECT flow_id, pid, b + 1000000 AS stalled_at, recv_us AS resumed_at FROM (SELECT *, lag(recv_us) OVER (PARTITION BY flow_id, pid ORDER BY recv_us) AS b FROM p) WHERE recv_us - b >= 1000000")
+@query("w21_slot_stalls", """SELECT flow_id, pid, greatest(scan + 5, 10) AS stalled_at, resumed_at FROM (SELECT *, lead(scan) OVER (PARTITION BY flow_id, pid ORDER BY scan) AS resumed_at FROM m) WHERE greatest(scan + 5, 10) < coalesce(resumed_at, until + 1)""", """u AS (SELECT flow_id, max(recv_us) AS until_us FROM p GROUP BY 1),
+m AS (SELECT p.flow_id, pid, CAST(ceil(recv_us / 100000) AS BIGINT) AS scan, CAST(ceil(until_us / 100000) AS BIGINT) AS until FROM p JOIN u ON u.flow_id = p.flow_id WHERE kind <> 'data' UNION SELECT p.flow_id, pid, 0, CAST(ceil(until_us / 100000) AS BIGINT) FROM p JOIN u ON u.flow_id = p.flow_id WHERE kind <> 'data')""")
 def w21(spark, d):
-    return windows.slot_stalls(packets(spark, d), ["flow_id", "pid"], "recv_us", 1_000_000)
+    p = packets(spark, d)
+    ends = p.groupBy("flow_id").agg(F.lit(0).cast("long").alias("start_us"), F.max("recv_us").alias("until_us"))
+    slots = p.select("flow_id", "pid", (F.col("kind") != "data").alias("continuous")).distinct().join(ends, "flow_id")
+    return windows.slot_stalls(p.select("flow_id", "pid", "recv_us"), slots, ["flow_id", "pid"], "recv_us", 100_000)
 
 
 @query("w23_av_skew", """SELECT event_id, skew_ms, max(abs(skew_ms)) OVER (PARTITION BY flow_id ORDER BY vseq) AS worst_ms FROM (SELECT *, trunc((a - v) / 90)::BIGINT AS skew_ms FROM (SELECT *, last_value(CASE WHEN kind = 'audio' THEN pts90 END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN kind = 'video' THEN pts90 END IGNORE NULLS) OVER w AS v

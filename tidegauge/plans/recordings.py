@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as a
-from ..sources import export
+from ..sources import export, library
 from .binding import packets, table
 from .registry import query
 
@@ -70,3 +70,36 @@ def k16(spark, d):
 @query("k18_json_lines", """SELECT '{"event_id":' || event_id || ',"flow_id":' || flow_id || ',"event_type":"' || event_type || '"}' AS line FROM p WHERE event_type = 'error'""")
 def k18(spark, d):
     return export.json_lines(packets(spark, d).where("event_type = 'error'"), "event_id", "flow_id", "event_type")
+
+
+@query("k19_event_channel", """SELECT flow_id, event_id, sent, dropped FROM r""", """m AS MATERIALIZED (SELECT flow_id, event_id, recv_us, row_number() OVER (PARTITION BY flow_id ORDER BY recv_us, event_id) AS n FROM p),
+r AS (SELECT flow_id, n, event_id, recv_us, true AS sent, 1000000::BIGINT AS held, 0::BIGINT AS dropped FROM m WHERE n = 1 UNION ALL
+  SELECT flow_id, n, event_id, recv_us, left_ + 1000000 <= 8000000, left_ + CASE WHEN left_ + 1000000 <= 8000000 THEN 1000000 ELSE 0 END, dropped + (left_ + 1000000 > 8000000)::INT
+  FROM (SELECT m.*, r.dropped, greatest(r.held - (m.recv_us - r.recv_us) * 20, 0) AS left_ FROM r JOIN m ON m.flow_id = r.flow_id AND m.n = r.n + 1))""")
+def k19(spark, d):
+    return export.bounded_channel(packets(spark, d), "flow_id", "recv_us", 8, 20)
+
+
+def configs(spark, d):
+    """A configuration as JSON text for each flow, whose pids are its inputs."""
+    pids = packets(spark, d).groupBy("flow_id", "pid", "kind").agg(F.count_if("has_payload").alias("n"))
+    one = F.struct(F.col("pid").cast("string").alias("id"), F.concat(F.lit("in-"), "kind").alias("name"), F.col("kind").alias("type"))
+    own = pids.groupBy("flow_id").agg(F.array_sort(F.collect_list(one)).alias("inputs"), F.sum("n").alias("n"))
+    flow = F.struct(F.col("flow_id").cast("string").alias("id"), F.concat(F.lit("flow "), "flow_id").alias("name"), (F.col("n") % 2 == 0).alias("enabled"), F.transform("inputs", lambda x: x["id"]).alias("input_ids"))
+    text = F.to_json(F.struct(F.array(flow).alias("flows"), "inputs", F.lit("passed over").alias("comment")))
+    return own.select(F.col("flow_id").cast("string").alias("node"), library.parse_config(text).alias("config"))
+
+
+@query("t2_flows", """SELECT flow_id::VARCHAR AS node, flow_id::VARCHAR AS id, 'flow ' || flow_id AS name, count_if(has_payload) % 2 = 0 AS enabled, count(DISTINCT pid) AS inputs FROM p GROUP BY flow_id""")
+def t2(spark, d):
+    return library.dimension(configs(spark, d), "flows").select("node", "id", "name", "enabled", F.size("input_ids").cast("long").alias("inputs"))
+
+
+@query("t6_inputs", """SELECT DISTINCT flow_id::VARCHAR AS node, pid::VARCHAR AS id, 'in-' || kind AS name, kind AS type FROM p WHERE pid = 257""")
+def t6(spark, d):
+    return library.dimension(configs(spark, d), "inputs", "257")
+
+
+@query("s19_media_library")
+def s19(spark, d):
+    return library.library_use(library.media_files(spark, d))

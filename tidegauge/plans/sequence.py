@@ -42,7 +42,8 @@ def q4(spark, d):
     return q.leg_merge_counts(legs(spark, d), 20_000)
 
 
-@query("q5_leg_down", """SELECT flow_id, leg, last + 100000 AS down_us, recv_leg_us AS up_us FROM (SELECT *, lag(recv_leg_us) OVER (PARTITION BY flow_id, leg ORDER BY recv_leg_us, event_id) AS last FROM legs) WHERE recv_leg_us - last > 100000""")
+@query("q5_leg_down", """SELECT flow_id, leg, last + 100000 AS down_us, recv_leg_us AS up_us FROM (SELECT *, lag(recv_leg_us) OVER (PARTITION BY flow_id, leg ORDER BY recv_leg_us, event_id) AS last FROM legs) WHERE recv_leg_us - last > 100000
+  UNION ALL SELECT a.flow_id, leg, max(recv_leg_us) + 100000, NULL FROM legs a JOIN (SELECT flow_id, max(recv_leg_us) AS until FROM legs GROUP BY 1) b ON a.flow_id = b.flow_id GROUP BY a.flow_id, leg, until HAVING until - max(recv_leg_us) > 100000""")
 def q5(spark, d):
     return q.leg_down(legs(spark, d), 100_000)
 
@@ -86,15 +87,19 @@ def q13(spark, d):
     return q.recover(p.where("event_id % 13 != 0"), q.parity(p, 5, 4, ["cents"]), 5, 4, "cents")
 
 
-@query("q15_red_blue", """SELECT l.flow_id, l.leg, count(*) AS received, count(f.event_id) AS forwarded, count(*) - count(f.event_id) AS duplicates FROM legs l LEFT JOIN
-  (SELECT *, row_number() OVER (PARTITION BY flow_id, vseq ORDER BY recv_leg_us, leg) AS n FROM legs) f ON f.n = 1 AND f.event_id = l.event_id AND f.leg = l.leg GROUP BY l.flow_id, l.leg""")
+@query("q14_realign", """SELECT flow_id, m, CASE WHEN (new_base - base + 65536) % 65536 < 20 OR (base - new_base + 65536) % 65536 < 20 THEN array_to_string(list_filter(list_transform(seqs, lambda s: (s - new_base + 65536) % 65536), lambda x: x < 20), ',') END AS places
+  FROM (SELECT flow_id, vseq // 20 AS m, min(vseq) % 65536 AS base, (min(vseq) + arg_min(cents, vseq) % 60 - 30 + 65536) % 65536 AS new_base, list(seq ORDER BY vseq) AS seqs FROM p GROUP BY ALL)""")
+def q14(spark, d):
+    one = packets(spark, d).groupBy("flow_id", F.expr("vseq div 20").alias("m"))
+    cells = one.agg((F.min("vseq") % 65536).alias("base"), F.min_by("cents", "vseq").alias("off"), F.transform(F.array_sort(F.collect_list(F.struct("vseq", "seq"))), lambda x: x["seq"]).alias("seqs"), F.min("vseq").alias("first"))
+    places = q.realigned(F.col("base"), F.pmod(F.col("first") + F.col("off") % 60 - 30, F.lit(65536)), F.col("seqs"), 20)
+    return cells.select("flow_id", "m", F.array_join(places, ",").alias("places"))
+
+
+@query("q15_red_blue", """SELECT l.flow_id, l.leg, count(*) AS received, count(f.event_id) AS forwarded, count(*) - count(f.event_id) AS duplicates, count_if(f.leg <> f.last) AS switches FROM legs l LEFT JOIN
+  (SELECT *, lag(leg) OVER (PARTITION BY flow_id ORDER BY recv_leg_us, leg, vseq) AS last FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, vseq ORDER BY recv_leg_us, leg) AS n FROM legs) WHERE n = 1) f ON f.event_id = l.event_id AND f.leg = l.leg GROUP BY l.flow_id, l.leg""")
 def q15(spark, d):
-    rows = legs(spark, d)
-    first = F.min(F.struct("recv_leg_us", "leg")).alias("first")
-    # legs of one number meet once; the winner is known from the group
-    seen = rows.groupBy("flow_id", "vseq").agg(first, F.collect_set("leg").alias("legs")).select("flow_id", "first", F.explode("legs").alias("leg"))
-    won = F.col("leg") == F.col("first.leg")
-    return seen.groupBy("flow_id", "leg").agg(F.count(F.lit(1)).alias("received"), F.count_if(won).alias("forwarded"), F.count_if(~won).alias("duplicates"))
+    return q.red_blue(legs(spark, d))
 
 
 CC = """SELECT flow_id, pid, count(*) AS cells, count_if(step NOT IN ({ok})) AS errors FROM (SELECT *, (cc - lag(cc) OVER (PARTITION BY flow_id, pid ORDER BY vseq) + 16) % 16 AS step FROM p WHERE has_payload) GROUP BY flow_id, pid"""

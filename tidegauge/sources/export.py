@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.fold import ordered_fold
+
 
 def live_playlist(segments: DataFrame, key: str, window: int = 6) -> DataFrame:
     """K6/K7: the media playlist of the last ``window`` segments (segment_id, duration_ms) per key.
@@ -72,3 +74,32 @@ def json_lines(rows: DataFrame, *columns: str) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("append").text(path)
+
+
+class Channel:
+    """A queue of ``capacity`` events whose reader takes ``per_second``; what comes while it is full is
+    dropped."""
+
+    def __init__(self, capacity: int, per_second: int):
+        self.capacity, self.per_second, self.held, self.last, self.dropped = capacity * 1_000_000, per_second, 0, None, 0
+
+    def send(self, now_us: int) -> bool:
+        if self.last is not None:
+            self.held = max(self.held - (now_us - self.last) * self.per_second, 0)
+        self.last = now_us
+        if self.held + 1_000_000 > self.capacity:
+            self.dropped += 1
+            return False
+        self.held += 1_000_000
+        return True
+
+
+def bounded_channel(events: DataFrame, key: str, time: str, capacity: int = 4096, per_second: int = 1000) -> DataFrame:
+    """(key, event_id, sent, dropped) with the drops so far, for each sender."""
+    def step(s: Channel, r) -> list[tuple]:
+        sent = s.send(r.at)
+        return [(r.sender, r.event_id, sent, s.dropped)]
+
+    rows = events.select(F.col(key).alias("sender"), F.col(time).alias("at"), "event_id")
+    told = ordered_fold(rows, ["sender"], ["at", "event_id"], lambda: Channel(capacity, per_second), step, "sender long, event_id long, sent boolean, dropped long")
+    return told.withColumnRenamed("sender", key)
