@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import free_name, without
 
 CHUNK = 1 << 18
 
@@ -144,4 +144,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([predict_one(t, shared.value) for t in texts], columns=["lang_pred", "score"])
 
-    return without(docs, ["lang_pred", "score", "predicted"]).withColumn("predicted", predicted(F.col(text))).select("*", "predicted.lang_pred", "predicted.score").drop("predicted")
+    of = free_name(docs, "predicted")
+    return without(docs, ["lang_pred", "score"]).withColumn(of, predicted(F.col(text))).select("*", f"{of}.lang_pred", f"{of}.score").drop(of)

@@ -57,12 +57,14 @@ Schedule = tuple[Callable[[DataFrame], DataFrame], list[str]] | None
 
 
 def _counted(ranged: DataFrame, at: str) -> tuple[DataFrame, Column]:
-    """``ranged``, a written table numbered in its partitions by ``at``, with columns part, before
-    and all; and a row's place in the whole order with the count of all rows."""
+    """``ranged``, a written table numbered in its partitions by ``at``, with three columns more; and a
+    row's place in the whole order with the count of all rows."""
+    own, prior, whole = (free_name(ranged, name) for name in ("part", "before", "all"))
     part, total = F.shiftright(at, 33), Window.orderBy("part")
-    before = ranged.groupBy(part.alias("part")).count().select("part", (F.sum("count").over(total) - F.col("count")).alias("before"), F.sum("count").over(total.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    place = F.struct((F.col("before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias("p"), F.col("all").alias("n"))
-    return ranged.join(F.broadcast(before), part == F.col("part")), place
+    counts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = counts.select(F.col("part").alias(own), (F.sum("rows").over(total) - F.col("rows")).alias(prior), F.sum("rows").over(total.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(whole))
+    place = F.struct((F.col(prior) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias("p"), F.col(whole).alias("n"))
+    return ranged.join(F.broadcast(before), part == F.col(own)), place
 
 
 def shard_by_curve(docs: DataFrame, cells: list[Column], bits: int, shards: int, order: list[str], slots_by: Schedule = None) -> DataFrame:

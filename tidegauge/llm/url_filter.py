@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import free_name, without
 
 #: Only A-Z are lower-cased: other letters part tokens, whatever their case.
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,7 +107,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     all rows, and as only tokens of rules are counted it is no longer than the rule list. Null or
     malformed urls get the rules for an empty host, so usually ``default``; repeated rows get equal results; no rows give no rows. Rules are a list in the
     driver, and go to the executors as they are."""
-    at = without(with_host_and_path(pages, url), ["rule", "verdict", "n_tried", "judged"])
+    at = without(with_host_and_path(pages, url), ["rule", "verdict", "n_tried"])
     tokens = sorted(set().union(*map(literal_tokens, rules)))
     spark = pages.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(t,) for t in tokens], "token string"))
@@ -123,4 +123,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
         for hosts, paths in batches:
             yield pd.DataFrame([index.judge(h, p, default) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict", "n_tried"])
 
-    return at.withColumn("judged", judged("host", "path")).select("*", "judged.rule", "judged.verdict", "judged.n_tried").drop("judged")
+    of = free_name(at, "judged")
+    return at.withColumn(of, judged("host", "path")).select("*", f"{of}.rule", f"{of}.verdict", f"{of}.n_tried").drop(of)
