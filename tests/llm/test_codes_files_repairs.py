@@ -1,0 +1,266 @@
+"""Vector codes, token files and conversation repair against plain versions, and on awkward rows."""
+
+import itertools
+import random
+import zlib
+from hashlib import sha256
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import same_rows
+from tidegauge.llm import conversation_repair as repair
+from tidegauge.llm import queries, token_file, vector_codes
+from tidegauge.llm.common import read
+
+
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op13_conversation_repair"])
+def test_against_sql(spark, duck, sf_dir, name):
+    assert same_rows(queries.QUERIES[name](spark, sf_dir), duck, queries.SQL[name]) >= 20
+
+
+# vector codes
+
+
+def plain_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """The contract of encode, over lists, a vector at a time."""
+    kept = [(i, [int(np.floor(float(x) * scale)) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    kept = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    width = len(kept[0][1]) // parts
+    cut = [[r[1][k * width : (k + 1) * width] for k in range(parts)] for r in kept]
+    books = [[c[k] for c in cut[:entries]] for k in range(parts)]
+
+    def nearest(k, part):
+        return min((sum((a - b) ** 2 for a, b in zip(part, e)), j) for j, e in enumerate(books[k]))
+
+    for _ in range(rounds):
+        for k in range(parts):
+            groups = {}
+            for c in cut:
+                groups.setdefault(nearest(k, c[k])[1], []).append(c[k])
+            for j, own in groups.items():
+                books[k][j] = [sum(x) // len(own) for x in zip(*own)]
+    found = [[nearest(k, c[k]) for k in range(parts)] for c in cut]
+    errors = [sum(e for e, _ in f) for f in found]
+    labels = {}
+    for r, e in zip(kept, errors):
+        labels[r[2]] = labels.get(r[2], 0) + e
+    return [(r[0], "".join(f"{j:02x}" for _, j in f), e, labels[r[2]]) for r, f, e in zip(kept, found, errors)], books
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, label, "x", 1) for i, v, label in rows], "vec_id long, embedding array<float>, label int, code string, uid long")
+
+
+def awkward_vectors():
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(16)], i % 3 or None) for i in range(60)]
+    rows = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in rows]
+    same = rows[7][1]
+    rows += [(100 + i % 7, same, 1) for i in range(90)]  # copies, with repeated ids
+    return rows + [(None, rows[3][1], 2), (200, None, 1), (201, [None] + rows[0][1][1:], 1), (202, [float("nan")] * 16, 1), (203, [float("inf")] * 16, None)]
+
+
+def test_codes_of_awkward_vectors(spark):
+    rows = awkward_vectors()
+    got, books = vector_codes.encode(vectors(spark, rows))
+    want, plain_books = plain_codes(rows)
+    assert books.tolist() == plain_books
+    assert sorted(map(str, [(r["vec_id"], r["code"], r["error"], r["label_error"]) for r in got.collect()])) == sorted(map(str, want))
+
+
+def test_few_and_no_vectors(spark):
+    rows = awkward_vectors()[:5]
+    got, books = vector_codes.encode(vectors(spark, rows), entries=16)
+    assert books.shape == (8, 5, 2) and sorted(r["code"] for r in got.collect()) == [f"{i:02x}" * 8 for i in range(5)]
+    none, _ = vector_codes.encode(vectors(spark, []))
+    assert none.count() == 0
+    odd, _ = vector_codes.encode(vectors(spark, [*rows, (9, [1.0] * 24, 1), (10, [], 1), (11, [3e9] * 16, 1), (12, [0.5] * 15, 1)]))
+    assert sorted(r["vec_id"] for r in odd.collect()) == [0, 1, 2, 3, 4]
+
+
+# token files
+
+
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_equals_library():
+    """Random strings of all kinds of space, marks, digits, scripts and special strings."""
+    rng = random.Random(3)
+    alphabet = [" ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "​", "a", "Straße", "é", "é", "'s", "'", "'LL", "²", "Ⅷ", "٣", "12", "_", "-", "!?", "漢字", "🙂", "\x00", "<|endoftext|>", "<|endof", "ing", "The"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 25))) for _ in range(3000)] + ["", " ", "\n", "x" * 5000, "ab " * 4000]
+    with open(vocabulary(), encoding="utf-8") as f:
+        encoder = token_file.TokenEncoder(f.read(), "<u2")
+    assert encoder.cuts
+    for text, ids in zip(texts, library_ids(texts), strict=True):
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == ids, repr(text)
+
+
+def test_cache_that_is_full(monkeypatch):
+    monkeypatch.setattr(token_file, "CACHE", 3)
+    with open(vocabulary(), encoding="utf-8") as f:
+        encoder = token_file.TokenEncoder(f.read(), "<u4")
+    texts = [f"one two{i} three, four{i % 3} one" for i in range(30)]
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == library_ids(texts)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 1000])
+def test_pack_and_unpack(n):
+    rng = np.random.default_rng(n)
+    ranks = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 32, n, dtype=np.uint64)).astype(np.uint32)
+    control, data = token_file.pack(ranks)
+    assert len(control) == -(-n // 4) and len(data) == sum(max(1, (int(r).bit_length() + 7) // 8) for r in ranks)
+    assert token_file.unpack(control, data, n).tolist() == ranks.tolist()
+
+
+def written(spark, docs, end, digest=False):
+    path = token_file.fresh_path(spark)
+    token_file.write_tokens(docs, vocabulary(), path, end)
+    return path, token_file.read_tokens(spark, path, digest)
+
+
+def test_file_of_whole_table(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    path, back = written(spark, docs, 2)
+    rows = sorted(docs.select("doc_id", "text").collect())
+    start, want = 0, {}
+    for r, ids in zip(rows, library_ids(r["text"] for r in rows), strict=True):
+        want[r["doc_id"]] = (start, len(ids) + 1, [*ids, 2])
+        start += len(ids) + 1
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids"]) for r in back.collect()} == want
+    digests = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_file.read_tokens(spark, path, digest=True).collect()}
+    assert digests == {d: (s, n, zlib.crc32(np.array(ids, "<u4").tobytes())) for d, (s, n, ids) in want.items()}
+    stored = spark.read.parquet(f"{path}/blocks").select(F.sum(F.octet_length("control") + F.octet_length("data"))).first()[0]
+    assert stored < 2 * start  # most ids take one byte and two bits
+    counts = np.bincount(np.concatenate([ids for _, _, ids in want.values()]))
+    order = spark.read.parquet(f"{path}/ranks").first()["ids"]
+    assert order == sorted(np.flatnonzero(counts).tolist(), key=lambda i: (-counts[i], i))
+
+
+def test_file_of_awkward_rows(spark):
+    texts = [(5, "five"), (None, "no id"), (2, None), (5, "five"), (1, ""), (None, "other"), (3, "word " * 20_000), (5, "six")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, part string, start long")
+    for end in (None, 2):
+        _, back = written(spark, docs.repartition(5), end)
+        got = back.orderBy("start", "n_tokens").collect()
+        assert [r["doc_id"] for r in got if r["n_tokens"]] == [i for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)) if t or end is not None]
+        starts = list(itertools.accumulate([r["n_tokens"] for r in got], initial=0))[:-1]
+        assert [r["start"] for r in got] == starts
+        tail = [] if end is None else [end]
+        want = [(i, [*ids, *tail]) for (i, _), ids in zip(texts, library_ids(t for _, t in texts), strict=True)]
+        assert sorted(map(repr, ((r["doc_id"], r["ids"]) for r in got))) == sorted(map(repr, want))
+    _, back = written(spark, docs.limit(0), 2, digest=True)
+    assert back.count() == 0
+
+
+# conversation repair
+
+
+def plain_plan(rows):
+    """Every edit sequence that could be cheapest, by breadth over (cost, audit) for each state and place."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        body = text.strip(repair.BLANK)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    best = {0: (0, "", [])}
+
+    def inserted(best):
+        best = dict(best)
+        for _ in range(3):
+            for s, (c, a, out) in list(best.items()):
+                to, role = (3, "assistant") if s == 2 else (2, "user")
+                best[to] = min(best.get(to, (10**9, "", [])), (c + 3, a + "I", [*out, f"{role}:"]))
+        return best
+
+    for (_, role, text), fault in zip(rows, faults):
+        now = {}
+        for s, (c, a, out) in inserted(best).items():
+            ways = [(s, c + 4, a + "D", out)]
+            if fault not in ("blank", "duplicate"):
+                more = 3 * (fault == "truncated")
+                to, name = (3, "assistant") if s == 2 else (2, "user")
+                ways.append((to, c + 3 + more, a + "R", [*out, f"{name}:{text}"]))
+                if role[:1] == name[0] or (role[:1] == "s" and s == 0):
+                    ways.append((1 if role[:1] == "s" else to, c + more, a + "K", [*out, f"{role}:{text}"]))
+            for to, *way in ways:
+                now[to] = min(now.get(to, (10**9, "", [])), tuple(way))
+        best = now
+    best = inserted(best)
+    cost, audit, out = min(best[s] for s in (0, 3) if s in best)
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    broken = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), broken, cost, audit, sha256("\n".join(out).encode()).hexdigest()
+
+
+def repairs(spark, conversations):
+    rows = repair.as_rows(conversations)
+    plans = repair.plans(rows)
+    hashes = {r["conv"]: r["repaired_sha256"] for r in repair.hashes(repair.repaired(rows, plans)).collect()}
+    return {r["conv"]: (*r[1:], hashes.get(r["conv"], sha256(b"").hexdigest())) for r in plans.collect()}
+
+
+def built(seed, n, long=0):
+    rng = random.Random(seed)
+    roles, texts = ["user", "assistant", "system", "tool", "", None, "User"], ["Yes.", "No!", "cut off", "", " \t", None, "Why? ", "end.\n"]
+    rows = []
+    for conv in [None, *range(n)]:
+        for turn in range(long if conv == 3 and long else rng.randint(1, 9)):
+            text = rng.choice(texts) if rng.random() < 0.5 or conv != 3 else f"line {rng.random()}."
+            rows.append((conv, turn if rng.random() < 0.95 else None if rng.random() < 0.3 else turn + 1, rng.choices(roles, [6, 6, 1, 1, 1, 1, 1])[0], text))
+    return rows
+
+
+def by_conversation(spark, rows):
+    """Sorted as the operator does: null turns first, then role, then hash of the text."""
+    from hashlib import md5
+
+    out = {}
+    for conv, turn, role, text in rows:
+        out.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    return {c: sorted(r, key=lambda x: (x[0] is not None, x[0] or 0, x[1], md5(x[2].encode()).hexdigest())) for c, r in out.items()}
+
+
+def test_repairs_equal_a_plain_version(spark):
+    rows = built(1, 400)
+    got = repairs(spark, spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, conv long"))
+    want = {c: plain_plan(r) for c, r in by_conversation(spark, rows).items()}
+    assert got == want
+
+
+def test_a_conversation_across_many_partitions(spark):
+    rows = built(2, 20, long=3000)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = repairs(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {c: plain_plan(r) for c, r in by_conversation(spark, rows).items()}
+
+
+def test_every_short_conversation():
+    """All sequences of up to four kinds: the tree's cost and audit are those of a search over all edits."""
+    text = {"s": ("system", "a."), "u": ("user", "b."), "a": ("assistant", "c."), "x": ("tool", "d."), "U": ("user", "e"), "A": ("assistant", "f"), "d": ("user", "")}
+    for n in range(5):
+        for kinds in itertools.product(text, repeat=n):
+            rows = [(i, text[k][0], f"{i}{text[k][1]}" if text[k][1] else "") for i, k in enumerate(kinds)]
+            assert repair.cheapest(repair.product("".join(kinds))) == plain_plan(rows)[5:7], kinds
+
+
+def test_no_conversations(spark):
+    assert repairs(spark, spark.createDataFrame([], "conv_id string, turn long, role string, text string")) == {}

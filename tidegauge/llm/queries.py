@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, mixing, near_dedup, secret_scan, sharding, token_count, topk, url_filter
+from . import conversation_repair, decontaminate, language, line_dedup, mixing, near_dedup, secret_scan, sharding, token_count, token_file, topk, url_filter, vector_codes
 from .common import materialise, read
 
 
@@ -140,6 +140,96 @@ FROM s QUALIFY rank <= 10
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.encode(read(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _op11_sql() -> str:
+    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, len(embedding) // 8 AS d,
+    list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+    "p AS MATERIALIZED (SELECT r, vec_id, label, k, v[k * d + 1 : (k + 1) * d] AS part FROM v, range(8) t(k))",
+    "b0 AS MATERIALIZED (SELECT k, r - 1 AS j, part AS entry FROM p WHERE r <= 16)"]
+    for i in range(7):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, label, k, part, min(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 16 + j) AS m
+    FROM p JOIN b{i} USING (k) GROUP BY ALL)""")
+        if i < 6:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (SELECT k, j, coalesce(moved, entry) AS entry FROM b{i} LEFT JOIN (
+    SELECT k, j, list(mean ORDER BY c) AS moved FROM (SELECT k, m % 16 AS j, c, floor(sum(part[c]) / count(*))::BIGINT AS mean
+        FROM a{i}, range(1, 100) t(c) WHERE c <= len(part) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (k, j))""")
+    return f"""WITH {", ".join(steps)},
+e AS (SELECT vec_id, label, string_agg(printf('%02x', m % 16), '' ORDER BY k) AS code, sum(m // 16)::BIGINT AS error FROM a6 GROUP BY r, vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY k, j)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e, h"""
+
+
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_file.fresh_path(spark)
+    token_file.write_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path, end=2)
+    return token_file.read_tokens(spark, path, digest=True)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversation_repair.as_rows(*conversation_repair.damage(conversations))
+    plans = conversation_repair.plans(rows)
+    found = plans.join(conversation_repair.hashes(conversation_repair.repaired(rows, plans)).withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")), "left")
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _op13_sql() -> str:
+    """States 0 to 3 hold the best {c: cost, a: audit, t: text} so far; s, u and a are the columns of a row."""
+
+    def add(state: str, cost: str, edit: str, line: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}} END"
+
+    def best(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    inserts_u = best("s2", *(add(f"s{k}", "3", "I", user) for k in (0, 1, 3)))
+    inserts_a = best("s3", add("s2", "3", "I", assistant))
+    more, own = "3 * (fault = 'truncated')::BIGINT", "chr(10) || role || ':' || text"
+    stays = "CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {} END"
+    keep = "CASE WHEN initial = '{}' THEN {} END"
+    gone = [add(f"s{k}", "4", "D", "''") for k in range(4)]
+    to_u = [x for k in (0, 1, 3) for x in (stays.format(keep.format("u", add(f"s{k}", more, "K", own))), stays.format(add(f"s{k}", f"3 + {more}", "R", f"{user} || text")))]
+    to_a = [stays.format(keep.format("a", add("s2", more, "K", own))), stays.format(add("s2", f"3 + {more}", "R", f"{assistant} || text"))]
+    to_s = [stays.format(keep.format("s", add("s0", more, "K", own)))]
+
+    def closed(rows: str) -> str:
+        return f"SELECT * REPLACE ({inserts_a} AS s3) FROM (SELECT * REPLACE ({inserts_u} AS s2) FROM ({rows}))"
+
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+m AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 AS mark FROM k, tab),
+d AS (SELECT conv_id, turn, CASE mark WHEN 4 THEN 'user' ELSE role END AS role, CASE mark WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM m, range(2) r(copy) WHERE mark <> 0 AND (copy = 0 OR mark = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM d),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, n, left(role, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS trimmed,
+    CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+         WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS rows
+    FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM f) GROUP BY conv_id),
+walk(conv_id, n, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 't': ''}}, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) FROM c
+  UNION ALL
+  SELECT conv_id, n, {gone[0]}, {best(gone[1], *to_s)}, {best(gone[2], *to_u)}, {best(gone[3], *to_a)}
+  FROM ({closed("SELECT w.conv_id, f.n, role, text, initial, fault, s0, s1, s2, s3 FROM walk w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = w.n + 1")})),
+done AS (SELECT conv_id, {best("s0", "s3")} AS b FROM ({closed("SELECT walk.* FROM walk JOIN c ON walk.conv_id IS NOT DISTINCT FROM c.conv_id AND walk.n = c.rows")}))
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN c ON i.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON i.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_line_dedup": op3_line_dedup,
@@ -151,6 +241,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_file": op12_token_file,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-SQL = {"op5_mix_sources": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+SQL = {"op5_mix_sources": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_exact_top_k": OP9_SQL, "op11_vector_codes": _op11_sql(), "op13_conversation_repair": _op13_sql()}
