@@ -99,7 +99,7 @@ def library_ids(texts):
 def test_encoder_equals_library():
     """Random strings of all kinds of space, marks, digits, scripts and special strings."""
     rng = random.Random(3)
-    alphabet = [" ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "​", "a", "Straße", "é", "é", "'s", "'", "'LL", "²", "Ⅷ", "٣", "12", "_", "-", "!?", "漢字", "🙂", "\x00", "<|endoftext|>", "<|endof", "ing", "The"]
+    alphabet = [" ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "​", "a", "Straße", "é", "é", "'s", "'", "'LL", "²", "Ⅷ", "٣", "12", "_", "-", ".\n", "end.\nNext", "a\nb", "!?", "漢字", "🙂", "\x00", "<|endoftext|>", "<|endof", "ing", "The"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 25))) for _ in range(3000)] + ["", " ", "\n", "x" * 5000, "ab " * 4000]
     with open(vocabulary(), encoding="utf-8") as f:
         encoder = token_file.TokenEncoder(f.read(), "<u2")

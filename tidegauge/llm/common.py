@@ -24,13 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage and survives lost executors. The folder has a fresh name each time;
     whoever owns the shared folder clears it when the job's output has been written."""
     path = f"{shared_dir(df.sparkSession)}/tidegauge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

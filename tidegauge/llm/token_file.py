@@ -13,9 +13,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ from pyspark.sql.window import Window
 
 from .common import materialise, shared_dir
 
-#: Distinct pieces, and distinct pre-tokens, whose ids a worker keeps.
-CACHE = 1 << 18
+#: Distinct words whose ids a worker keeps (and a third as many other pre-tokens), twice: those seen since it
+#: was last full, and those before. When the new ones are full they become the old ones.
+CACHE = 3 << 17
 #: A block is closed by the first document that ends at so many ids or more.
 BLOCK = 1 << 13
 
@@ -39,22 +43,42 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CUT = re.compile(r" (?=\S)").split
 
 
+class Remembered:
+    """Values for strings, of which the often used ones stay."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.new, self.old = make, most, {}, {}
+
+    def find(self, key: str) -> bytes:
+        """For a key that isn't in ``new``."""
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = found
+        return found
+
+    def __call__(self, key: str) -> bytes:
+        return self.new.get(key) or self.find(key)
+
+
 class TokenEncoder:
     """The ids of a text as the tokenizers library gives them, without special tokens added, as bytes of
-    ``dtype``. Texts are cut at spaces and the pieces' ids remembered; the library's merges run once for
-    each distinct pre-token only. Vocabularies of another kind are encoded text by text."""
+    ``dtype``. Texts are cut at spaces; the library's merges run once for each distinct word, and pre-token of
+    other pieces, that is remembered. Vocabularies of another kind are encoded text by text."""
 
     def __init__(self, vocabulary: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.dtype, self.known, self.merged = Tokenizer.from_str(vocabulary), np.dtype(dtype), {}, {}
+        self.tokenizer, self.code = Tokenizer.from_str(vocabulary), "H" if np.dtype(dtype).itemsize == 2 else "I"
         kind = json.loads(vocabulary)
         split = kind.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         added = kind.get("added_tokens", [])
         self.cuts = plain and kind["model"]["type"] == "BPE" and not kind.get("normalizer") and not kind["model"].get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
-        self.find, self.merge = regex.compile(SPLIT).findall, self.tokenizer.model.tokenize
+        self.split, self.merge = regex.compile(SPLIT).findall, self.tokenizer.model.tokenize
         special = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.special_ids = {t["content"]: self._bytes([t["id"]]) for t in added}
@@ -62,33 +86,45 @@ class TokenEncoder:
         # one character for each byte, from characters that between them have all bytes of UTF-8
         some = [*map(chr, range(0x800)), *(chr(c) for c in range(0x800, 0x110000, 0x400) if not 0xD800 <= c < 0xE000)]
         self.letters = {b: c for x in some for b, c in zip(x.encode(), level.pre_tokenize_str(x)[0][0], strict=True)}
+        self.words, self.tokens = Remembered(lambda word: self._merged(f" {word}"), CACHE), Remembered(self._merged, CACHE // 3)
+        self.marks = {c: self._merged(c) for c in string.punctuation + "\n"} if self.cuts else {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
-    def _pre_token(self, token: str) -> bytes:
-        found = self.merged.get(token)
-        if found is None:
-            if len(self.merged) >= CACHE:
-                self.merged.clear()
-            letters = token.encode().decode("latin-1").translate(self.letters)
-            found = self.merged[token] = self._bytes([t.id for t in self.merge(letters)])
-        return found
+    def _merged(self, token: str) -> bytes:
+        return self._bytes([t.id for t in self.merge(token.encode().decode("latin-1").translate(self.letters))])
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self._pre_token, self.find(piece)))
+        return b"".join(map(self.tokens, self.split(piece)))
+
+    def _after_space(self, part: str) -> bytes:
+        """The ids of a space and ``part``, which begins with no space and isn't among the new words. Letters
+        are one pre-token with the space before them, and a mark after them is one more."""
+        if part.isalpha():
+            return self.words.find(part)
+        if part[-1] in self.marks and part[:-1].isalpha():
+            return self.words(part[:-1]) + self.marks[part[-1]]
+        first, line, second = part.partition("\n")  # a line end between letters and marks is a pre-token
+        if line and first[:-1].isalpha() and first[-1] in self.marks and second.isalpha():
+            return self.words(first[:-1]) + self.marks[first[-1]] + self.marks[line] + self.tokens(second)
+        return self._piece(f" {part}")
+
+    def _joined(self, parts: list[str]) -> bytes | None:
+        """None if some part but the first begins with space, where a text may not be cut."""
+        out = [self._piece(parts[0]), *map(self.words.new.get, parts[1:])]
+        at = 0
+        try:
+            while True:
+                at = out.index(None, at)
+                if not parts[at] or parts[at][0].isspace():
+                    return None
+                out[at] = self._after_space(parts[at])
+        except ValueError:
+            return b"".join(out)
 
     def _plain(self, text: str) -> bytes:
-        first, *rest = CUT(text)
-        known = self.known
-        out = [self._piece(first), *map(known.get, rest)]
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    out[i] = known[rest[i - 1]] = self._piece(f" {rest[i - 1]}")
-        return b"".join(out)
+        return self._joined(text.split(" ")) or self._joined(CUT(text))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -101,6 +137,12 @@ class TokenEncoder:
         return self._plain(text)
 
 
+@lru_cache(maxsize=2)
+def _worker_encoder(shared, dtype: str) -> TokenEncoder:
+    """One a worker, which keeps what it remembers from task to task."""
+    return TokenEncoder(shared.value, dtype)
+
+
 def id_type(vocabulary: str, end: int) -> str:
     """Two bytes an id where all fit, else four."""
     kind = json.loads(vocabulary)
@@ -119,12 +161,16 @@ _THERE = np.where(np.arange(4) < _LENGTHS[:, :, None], 255, 0).astype(np.uint8).
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes; the last control byte counts absent ranks as zeros of one byte,
     which aren't in the data."""
-    whole = np.zeros(-(-len(ranks) // 4) * 4, "<u4")
-    whole[: len(ranks)] = ranks
-    more = (whole > 0xFF).astype(np.uint8) + (whole > 0xFFFF) + (whole > 0xFFFFFF)
-    control = (more.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    there = np.arange(4) <= more[: len(ranks), None]
-    return control.tobytes(), whole[: len(ranks)].view(np.uint8).reshape(-1, 4)[there].tobytes()
+    n, width = len(ranks), 2 if int(ranks.max(initial=0)) <= 0xFFFF else 4
+    whole = np.zeros(-(-n // 4) * 4, f"<u{width}")
+    whole[:n] = ranks
+    more = (whole > 0xFF).astype(np.uint8)
+    if width == 4:
+        more += (whole > 0xFFFF).astype(np.uint8) + (whole > 0xFFFFFF)
+    quads = more.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    there = np.arange(width, dtype=np.uint8) <= more[:n, None]
+    return control.tobytes(), whole[:n].view(np.uint8).reshape(-1, width)[there].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -156,8 +202,8 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str, end: int | No
     place, other columns are left out, no rows give a folder without blocks. A text is never cut, so a block has
     as many ids as its last document makes it have.
 
-    Texts are encoded once; the ids are written, counted for the ranks (a row for each id of the vocabulary
-    comes to the driver), ranged by document and packed."""
+    Texts are encoded once; the ids are written, and what each task has counted, which gives the ranks (a row for
+    each id of the vocabulary comes to the driver); then ids are ranged by document and packed."""
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read()
@@ -165,28 +211,31 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str, end: int | No
     tail, shared, width = (np.array([end], dtype).tobytes() if end is not None else b""), spark.sparkContext.broadcast(vocabulary), np.dtype(dtype).itemsize
     keys = ["doc_id", "crc", "uid"]
 
+    names = ["doc_id", "crc", "ids", "counts"]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TokenEncoder(shared.value, dtype)
+        encoder, seen = _worker_encoder(shared, dtype), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 ids = [encoder.encode(t.as_py()) + tail for t in some.column("text")]
+                new = np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(seen))
+                new[: len(seen)] += seen
+                seen = new
                 crcs = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), crcs, pa.array(ids, pa.binary())], names=["doc_id", "crc", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), crcs, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                new = np.bincount(np.frombuffer(ids.as_py(), dtype), minlength=len(seen))
-                new[: len(seen)] += seen
-                seen = new
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["id", "n"])
-
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, crc long, ids binary")
-    encoded = materialise(encoded.withColumn("uid", F.monotonically_increasing_id()), "ids")
-    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for counts in batch.column("counts"):
+                n = np.frombuffer(counts.as_py(), np.int64)
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["id", "n"])
+
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, crc long, ids binary, counts binary")
+    encoded = materialise(encoded.withColumn("uid", F.monotonically_increasing_id()), "ids", compression="zstd")
+    counts = encoded.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -212,7 +261,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, path: str, end: int | No
 
     names = ["part", "block", "first", "doc_ids", "lengths", "control", "data"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    ranged = encoded.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    ranged = encoded.where("ids IS NOT NULL").drop("counts").repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     written = ranged.mapInArrow(lambda b: _batches(blocks(b), names, types, 64), "part int, block long, first long, doc_ids array<long>, lengths array<long>, control binary, data binary")
     written.write.option("compression", "none").parquet(f"{path}/blocks")
 
