@@ -14,7 +14,8 @@ DATA_ONLY = [0x05, 0x0B, 0x0C, 0x0D, 0x14]
 def uint(data: Column, at, size: int) -> Column:
     """Unsigned big-endian integer of up to seven bytes; null beyond the end."""
     part = F.substring(data, (at if isinstance(at, Column) else F.lit(at)) + 1, F.lit(size))
-    return F.when(F.length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
+    value = F.conv(F.hex(part), 16, 10).cast("long")
+    return value if size == 1 else F.when(F.length(part) == size, value)
 
 
 def uint_le(data: Column, at: int, size: int) -> Column:

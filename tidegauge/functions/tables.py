@@ -63,7 +63,11 @@ def _whole(part: bytes) -> bool:
 def programs(cell: bytes | None) -> list[tuple[int, int]]:
     """(program, pid of its map) of an association table; program 0, which names the network
     table, is left out. None for other cells."""
-    part = section(cell)
+    return listed_programs(section(cell))
+
+
+def listed_programs(part: bytes | None) -> list[tuple[int, int]]:
+    """``programs`` of a section."""
     if part is None or len(part) < 8 or part[0] != 0:
         return []
     body = part[8 : len(part) - 4]
@@ -73,7 +77,11 @@ def programs(cell: bytes | None) -> list[tuple[int, int]]:
 
 def program_map(cell: bytes | None):
     """(program, version, clock pid, streams (type, pid, descriptors)) of a programme map, else null."""
-    part = section(cell)
+    return mapped_streams(section(cell))
+
+
+def mapped_streams(part: bytes | None):
+    """``program_map`` of a section."""
     if part is None or len(part) < 16 or part[0] != 2:
         return None
     at, end, streams = 12 + (int.from_bytes(part[10:12], "big") & 0x0FFF), len(part) - 4, []
@@ -117,10 +125,49 @@ def _cell_of(pid: int, cc: int, body: bytes) -> bytes:
     return (head + body + crc32_mpeg(body).to_bytes(4, "big")).ljust(CELL, b"\xff")
 
 
-def association_cell(entries: list[tuple[int, int]], version: int, cc: int) -> bytes:
-    """An association table of (program, pid) in one cell."""
+def association_body(entries: list[tuple[int, int]], version: int, stream: int = 1) -> bytes:
     body = b"".join(p.to_bytes(2, "big") + (0xE000 | pid & 0x1FFF).to_bytes(2, "big") for p, pid in entries)
-    return _cell_of(0, cc, bytes([0]) + (0xB000 | 9 + len(body)).to_bytes(2, "big") + bytes([0, 1, 0xC1 | (version & 0x1F) << 1, 0, 0]) + body)
+    return bytes([0]) + (0xB000 | 9 + len(body)).to_bytes(2, "big") + stream.to_bytes(2, "big") + bytes([0xC1 | (version & 0x1F) << 1, 0, 0]) + body
+
+
+def association_cell(entries: list[tuple[int, int]], version: int, cc: int, stream: int = 1) -> bytes:
+    """An association table of (program, pid) in one cell."""
+    return _cell_of(0, cc, association_body(entries, version, stream))
+
+
+def with_mapped_pids(part: bytes, pids: dict[int, int]) -> bytes:
+    """A table's section with every pid that it names looked up in ``pids``, and its checksum made anew;
+    the network table's pid stays, and so do sections of other tables."""
+    out = bytearray(part)
+
+    def move(at: int) -> None:
+        word = int.from_bytes(out[at : at + 2], "big")
+        out[at : at + 2] = (word & 0xE000 | pids.get(word & 0x1FFF, word & 0x1FFF)).to_bytes(2, "big")
+
+    end = len(out) - 4
+    if len(out) >= 12 and out[0] == 0:
+        for at in range(8, end - 3, 4):
+            if out[at : at + 2] != b"\0\0":
+                move(at + 2)
+    elif len(out) >= 16 and out[0] == 2:
+        move(8)
+        at = 12 + (int.from_bytes(out[10:12], "big") & 0x0FFF)
+        while at + 5 <= end:
+            move(at + 1)
+            at += 5 + (int.from_bytes(out[at + 3 : at + 5], "big") & 0x0FFF)
+    else:
+        return part
+    out[end:] = crc32_mpeg(bytes(out[:end])).to_bytes(4, "big")
+    return bytes(out)
+
+
+def cells_of(pid: int, first_cc: int, body: bytes) -> list[bytes]:
+    """A section with its checksum over as many cells as it takes."""
+    whole, out = b"\0" + body + crc32_mpeg(body).to_bytes(4, "big"), []
+    for i in range(0, len(whole), CELL - 4):
+        head = bytes([0x47, (0x40 if i == 0 else 0) | pid >> 8 & 0x1F, pid & 0xFF, 0x10 | first_cc + len(out) & 0x0F])
+        out.append((head + whole[i : i + CELL - 4]).ljust(CELL, b"\xff"))
+    return out
 
 
 def map_cell(program: int, pid: int, clock_pid: int, streams: list[tuple[int, int, bytes]], version: int, cc: int) -> bytes:
@@ -152,6 +199,27 @@ def pmt(cells: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(named, columns=["program", "version", "clock_pid", "streams"]).astype({"program": "Int32", "version": "Int32", "clock_pid": "Int32"})
 
 
+@on_call("struct<table_stream:int,version:int,programs:array<struct<program:int,pid:int>>>")
+def association(sections: pd.Series) -> pd.DataFrame:
+    """P9 of assembled sections; null for sections of other tables."""
+    good = [s is not None and len(s) >= 8 and s[0] == 0 for s in sections]
+    rows = [(int.from_bytes(s[3:5], "big"), s[5] >> 1 & 0x1F, [{"program": p, "pid": pid} for p, pid in listed_programs(s)]) if g else (None, None, None) for s, g in zip(sections, good, strict=True)]
+    return pd.DataFrame(rows, columns=["table_stream", "version", "programs"]).astype({"table_stream": "Int32", "version": "Int32"})
+
+
+@on_call("struct<program:int,version:int,clock_pid:int,streams:array<struct<stream_type:int,pid:int,descriptors:binary>>>")
+def stream_map(sections: pd.Series) -> pd.DataFrame:
+    """``pmt`` of assembled sections."""
+    rows = [mapped_streams(s) or (None, None, None, None) for s in sections]
+    named = [(p, v, c, None if s is None else [{"stream_type": t, "pid": pid, "descriptors": d} for t, pid, d in s]) for p, v, c, s in rows]
+    return pd.DataFrame(named, columns=["program", "version", "clock_pid", "streams"]).astype({"program": "Int32", "version": "Int32", "clock_pid": "Int32"})
+
+
+@on_call("boolean")
+def checksum_ok(sections: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else crc32_mpeg(s) == 0 for s in sections], dtype="boolean")
+
+
 @on_call("boolean")
 def crc_ok(cells: pd.Series) -> pd.Series:
     """Whether the section that begins in the cell ends in it and has the right checksum; null if none begins."""

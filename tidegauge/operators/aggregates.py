@@ -78,7 +78,7 @@ def over_limit_runs(rates: DataFrame, keys: list[str], order: str, over: Column,
 
 
 def held_for(rows: DataFrame, keys: list[str], time: str, on: Column, hold_us: int) -> DataFrame:
-    """Stretches of rows for which ``on`` holds that last ``hold_us`` at least: (keys, begin_us,
+    """H8: stretches of rows for which ``on`` holds that last ``hold_us`` at least: (keys, begin_us,
     alarm_us, until_us); the alarm comes with the first row that is so much after the beginning."""
     w = Window.partitionBy(*keys).orderBy(time)
     marked = rows.select(*keys, time, F.coalesce(on, F.lit(False)).alias("_o"))
@@ -88,6 +88,30 @@ def held_for(rows: DataFrame, keys: list[str], time: str, on: Column, hold_us: i
     return timed.groupBy(*keys, "_i").agg(F.min(time).alias("begin_us"), F.min(late).alias("alarm_us"), F.max(time).alias("until_us")).where("alarm_us IS NOT NULL").drop("_i")
 
 
+class Dwell:
+    """Fires with the first row that is stale so long after the first stale one, and then begins anew
+    with the stale row after it."""
+
+    def __init__(self, hold_us: int):
+        self.hold, self.since = hold_us, None
+
+    def add(self, stale: bool, at: int) -> bool:
+        fires = stale and self.since is not None and at - self.since >= self.hold
+        self.since = None if fires or not stale else at if self.since is None else self.since
+        return fires
+
+
+def dwells(rows: DataFrame, keys: list[str], time: str, stale: Column, hold_us: int) -> DataFrame:
+    """(keys, time) of the rows at which a stale stretch fires, each time it has lasted ``hold_us``.
+    Rows that aren't stale matter only where they end a stretch, so only stale ones are gone through."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    marked = rows.select(*keys, time, F.coalesce(stale, F.lit(False)).alias("_o"))
+    stretch = marked.withColumn("stretch_nr", F.sum(F.when(F.col("_o"), 0).otherwise(1)).over(w)).where("_o")
+    by = [*keys, "stretch_nr"]
+    schema = ", ".join(f"{c} {dict(stretch.dtypes)[c]}" for c in [*keys, time])
+    return ordered_fold(stretch.drop("_o"), by, [time], lambda: Dwell(hold_us), lambda s, r: [(*(getattr(r, c) for c in [*keys, time]),)] if s.add(True, getattr(r, time)) else [], schema)
+
+
 def silent(loudness: Column, bitrate: Column) -> Column:
     """H8: whether a block is silent: by its loudness, or where no decoder gives one by its bitrate. A
     loudness that isn't finite is no silence."""

@@ -100,19 +100,6 @@ class Hysteresis:
         return self.on
 
 
-class Holdover:
-    """A locked clock falls to holdover above one and a half times the tolerance and comes back at
-    the tolerance or below; between the two nothing changes."""
-
-    def __init__(self, tolerance: float):
-        self.tolerance, self.held = tolerance, False
-
-    def add(self, offset: float) -> bool:
-        size = abs(offset)
-        self.held = size > 1.5 * self.tolerance if not self.held else size > self.tolerance
-        return self.held
-
-
 def marked_transitions(rows: DataFrame, order: list[str], mark: Column) -> DataFrame:
     """(flow_id, event_id, state) at each row that changes the state, which is the last
     ``mark`` (1 on, 0 off, null: as it was); off before the first."""
@@ -133,9 +120,26 @@ def hysteresis_mark(value: Column, enter: float, leave: float, order: list[str],
     return F.when(below, 0).when(above, 1).otherwise(gone)
 
 
-def holdover_mark(offset: Column, tolerance: float) -> Column:
-    """``Holdover`` as a mark."""
-    return F.when(F.abs(offset) > 1.5 * tolerance, 1).when(F.abs(offset) <= tolerance, 0)
+#: Port states of a clock that follows none as it is the master, and of one that follows. Fixed values.
+MASTER, SLAVE = 6, 9
+
+
+def clock_states(rows: DataFrame, keys: list[str], order: list[str], port: str, offset: str, tolerance: int) -> DataFrame:
+    """``rows`` with state: unknown without a port state, master, acquiring in any other port state but
+    that of a slave. A slave is locked within the tolerance and else in holdover; one that was locked the row
+    before leaves only beyond one and a half times the tolerance.
+
+    Among rows of a slave in a row, what is within the tolerance or beyond the wider limit decides at
+    once, the first row by the tolerance alone, and what lies between stays as it was."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    size, slave = F.abs(F.col(offset)), F.coalesce(F.col(port) == SLAVE, F.lit(False))
+    begins = slave & ~F.coalesce(F.lag(slave).over(w), F.lit(False))
+    plain = F.when(size <= tolerance, "locked").otherwise("holdover")
+    mark = F.when(begins | (size <= tolerance) | (size > tolerance * 3 // 2), plain)
+    held = rows.withColumns({"_m": F.when(slave, mark), "_r": F.sum(begins.cast("long")).over(w)})
+    last = F.last("_m", True).over(Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    state = F.when(F.col(port).isNull(), "unknown").when(F.col(port) == MASTER, "master").when(slave, last).otherwise("acquiring")
+    return held.withColumn("state", state).drop("_m", "_r")
 
 
 def transitions(rows: DataFrame, order: list[str], value: str, start, schema_key: str = "flow_id") -> DataFrame:

@@ -147,16 +147,15 @@ class Realign:
         return out + self.drain()
 
     def drain(self, all_: bool = False) -> list:
-        out = []
-        while self.held:
-            pts = self.held[0][0]
-            reached = self.video is not None and self._ms(self.video, pts) >= -self.LEAD_MS
-            late = self.clock is not None and self._ms(pts, self.clock) <= self.FLOOR_MS
-            stalled = self._ms(self.audio, pts) > self.HOLD_MS
-            if not (all_ or reached or late or stalled or len(self.held) > self.MOST):
-                break
-            out.append(self.held.popleft()[1])
-        return out
+        """The units that leave: as many from the front as have one of their bounds reached."""
+        ahead = [(mark, ms) for mark, ms in ((self.video, self.LEAD_MS), (self.clock, self.FLOOR_MS)) if mark is not None]
+        surplus = len(self.held) - self.MOST
+
+        def waits(place: int, pts: int) -> bool:
+            return place >= surplus and self._ms(self.audio, pts) <= self.HOLD_MS and all(self._ms(pts, mark) > ms for mark, ms in ahead)
+
+        n = len(self.held) if all_ else next((i for i, (pts, _) in enumerate(self.held) if waits(i, pts)), len(self.held))
+        return [self.held.popleft()[1] for _ in range(n)]
 
 
 def realign(units: DataFrame) -> DataFrame:

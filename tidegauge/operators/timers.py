@@ -18,22 +18,41 @@ TIMERS = {
 }
 
 
-def timer_errors(rows: DataFrame, keys: list[str], kind: str, time: str, until: Column | None = None) -> DataFrame:
-    """(keys, kind, errors, si_repetition) of rows (keys, kind, time), one each time a kind was seen.
+#: Kinds that are watched for each pid of their own. Fixed values.
+BY_PID = ["pmt", "es", "pcr", "pts"]
+#: How long after the first association table a pid that tables name may stay unseen. Fixed value.
+GRACE_US = 1_000_000
 
-    Sweeps come every SWEEP_US from a key's first row of any kind to its last (or ``until``). si_repetition
-    counts the errors of sdt alone. Kinds that aren't in TIMERS are left out."""
+
+def timer_errors(rows: DataFrame, keys: list[str], kind: str, time: str, until: Column | None = None, pid: str = "pid", named: DataFrame | None = None) -> DataFrame:
+    """(keys, kind, errors, si_repetition) of rows (keys, kind, pid, time), one each time a kind was seen.
+
+    Sweeps come every SWEEP_US from a key's first row of any kind to its last (or ``until``); none counts
+    before the first pat, so a key without one has no errors. Kinds of BY_PID are watched for each pid. Of the
+    pids that tables name (``named``: keys, kind, pid, time of the table) one that is unseen has an error at
+    the first sweep over GRACE_US after the first pat. si_repetition counts the errors of sdt alone. Kinds
+    that aren't in TIMERS are left out; a kind whose errors are none is listed if it was seen or named."""
     limits = F.create_map(*[F.lit(x) for k, (us, _) in TIMERS.items() for x in (k, us)])
     modes = F.create_map(*[F.lit(x) for k, (_, mode) in TIMERS.items() for x in (k, mode)])
-    whole = Window.partitionBy(*keys)
-    placed = rows.where(F.col(kind).isin(list(TIMERS))).withColumns({"_f": F.min(time).over(whole), "_e": F.max(time).over(whole) if until is None else until})
-    after = F.lead(time).over(Window.partitionBy(*keys, kind).orderBy(time))
-    spans = placed.withColumn("_n", F.coalesce(after, F.col("_e") + 1))
+    known = rows.where(F.col(kind).isin(list(TIMERS)))
+    ends = known.groupBy(*keys).agg(F.min(time).alias("_f"), F.max(time if until is None else until).alias("_e"), F.min(F.when(F.col(kind) == "pat", F.col(time))).alias("_p"))
     sweep = lambda t: F.floor((t - F.col("_f")) / SWEEP_US)
-    stale = F.greatest(sweep(F.col("_n") - 1) - sweep(F.col(time) + limits[F.col(kind)]), F.lit(0))
+    one = F.when(F.col(kind).isin(BY_PID), F.col(pid)).alias("_pid")
+    seen = known.select(*keys, kind, one, F.col(time).alias("_t"))
+    after = F.lead("_t").over(Window.partitionBy(*keys, kind, "_pid").orderBy("_t"))
+    spans = seen.withColumn("_n", after).join(ends, keys)
+    begins = F.greatest(sweep(F.col("_t") + limits[F.col(kind)]), F.ceil((F.col("_p") - F.col("_f")) / SWEEP_US) - 1)
+    stale = F.greatest(sweep(F.coalesce("_n", F.col("_e") + 1) - 1) - begins, F.lit(0))
     mode = modes[F.col(kind)]
-    errors = F.when(mode == "latch", F.least(stale, F.lit(1))).when(mode == "anchor", F.ceil(stale / 2)).otherwise(stale)
-    out = spans.withColumn("_n", errors).groupBy(*keys, kind).agg(F.sum("_n").alias("errors"))
+    errors = F.when(F.col("_p").isNull(), 0).when(mode == "latch", F.least(stale, F.lit(1))).when(mode == "anchor", F.ceil(stale / 2)).otherwise(stale)
+    told = spans.select(*keys, kind, errors.cast("long").alias("n"))
+    if named is not None:
+        first = seen.groupBy(*keys, kind, "_pid").agg(F.min("_t").alias("_s"))
+        due = named.groupBy(*keys, kind, F.col(pid).alias("_pid")).agg(F.min(time).alias("_a")).join(first, [*keys, kind, "_pid"], "left").join(ends, keys)
+        begins = F.greatest(sweep(F.col("_p") + GRACE_US), F.ceil((F.col("_a") - F.col("_f")) / SWEEP_US) - 1)
+        missed = sweep(F.coalesce("_s", F.col("_e") + 1) - 1) > begins
+        told = told.unionByName(due.select(*keys, kind, F.when(F.col("_p").isNotNull() & missed, 1).otherwise(0).cast("long").alias("n")))
+    out = told.groupBy(*keys, kind).agg(F.sum("n").alias("errors"))
     return out.withColumn("si_repetition", F.when(F.col(kind) == "sdt", F.col("errors")).otherwise(0))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.clock import PCR_WRAP, forward_gap, pts_delta_ms, signed_pcr_delta
+from ..functions.clock import PCR_WRAP, PTS_WRAP, forward_gap, pts_delta_ms
 from .fold import ordered_fold
 
 MOST_STEP_US = 500_000
@@ -119,8 +119,9 @@ def pcr_accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pcr_discontinuities(rows: DataFrame, keys: list[str], most_us: int = 100_000) -> DataFrame:
-    """Steps backward or of over 100 ms, unless the cell says so (column discontinuity)."""
-    step = signed_pcr_delta(F.col("pcr27"), F.lag("pcr27").over(Window.partitionBy(*keys).orderBy("vseq")))
+    """Steps backward or of over 100 ms, unless the cell says so (column discontinuity). Values are
+    compared as they are, so a clock that wraps goes backward."""
+    step = F.col("pcr27") - F.lag("pcr27").over(Window.partitionBy(*keys).orderBy("vseq"))
     said = F.col("discontinuity") if "discontinuity" in rows.columns else F.lit(False)
     return rows.withColumn("step", step).withColumn("jump", F.coalesce(((F.col("step") < 0) | (F.col("step") > most_us * 27)) & ~said, F.lit(False)))
 
@@ -131,17 +132,6 @@ def repetition_errors(rows: DataFrame, keys: list[str], time: str, most_us: int)
     return rows.select(*keys, time).withColumn("gap", gap).groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("gap") > most_us).alias("errors"))
 
 
-def sweep_errors(rows: DataFrame, keys: list[str], time: str, most_us: int, sweep_us: int = 500_000) -> DataFrame:
-    """W10, kinds that fire at every sweep while stale: sweeps, on a grid from the key's first row, that
-    find the last row older than allowed."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    first = F.min(time).over(Window.partitionBy(*keys))
-    spans = rows.select(*keys, time, first.alias("f"), F.lead(time).over(w).alias("n"))
-    # sweeps f + k * sweep in (time + most, next)
-    low, high = F.floor((F.col(time) + most_us - F.col("f")) / sweep_us), F.floor((F.col("n") - 1 - F.col("f")) / sweep_us)
-    return spans.groupBy(*keys).agg(F.coalesce(F.sum(F.greatest(high - low, F.lit(0))), F.lit(0)).alias("errors"))
-
-
 class DelayFactor:
     """Windows that open at the first packet a second or more after the last opened; the arrival
     over the edge belongs to none."""
@@ -294,15 +284,26 @@ def av_skew(units: DataFrame, trim_90k: int = 0) -> DataFrame:
     return skew.withColumn("worst_ms", F.max(F.abs("skew_ms")).over(Window.partitionBy("flow_id").orderBy("vseq"))).drop("a", "v")
 
 
-def timeline(essences: DataFrame, wrap_a: int, wrap_b: int, reach: int = 16) -> DataFrame:
-    """For (id, at, base, elapsed): the wrap counts (j, m), each within ``reach``, whose resolved
-    place is nearest to the elapsed time; more than ten seconds off falls back to elapsed."""
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    pairs = F.flatten(F.transform(span, lambda j: F.transform(span, lambda m: F.struct(j.alias("j"), m.alias("m")))))
-    placed = essences.withColumn("_p", F.transform(pairs, lambda x: F.struct(F.abs(F.col("at") - F.col("base") + x["j"] * wrap_a + x["m"] * wrap_b - F.col("elapsed")).alias("off"), x["j"].alias("j"), x["m"].alias("m"))))
-    best = placed.withColumn("_b", F.array_min("_p"))
-    at = F.when(F.col("_b.off") > 10_000_000, F.col("elapsed")).otherwise(F.col("at") - F.col("base") + F.col("_b.j") * wrap_a + F.col("_b.m") * wrap_b)
-    return best.withColumn("resolved", at).drop("_p", "_b")
+def timeline(essences: DataFrame, reach: int = 16, base_90k: int = 900_000, trust_90k: int = 900_000) -> DataFrame:
+    """Where each essence joins its flow's timeline, in 90 kHz ticks: ``essences`` (raw, wrap, anchor_raw,
+    anchor_wrap, elapsed), all but elapsed null for the anchor itself, which is at ``base_90k``, get resolved.
+
+    Stamps are cut off by their own wrap (k and j turns) and the source's clock by its own (m turns), so the
+    offset from the anchor is raw + k wrap + m 2**33 - anchor_raw - j anchor_wrap. Of all j and m within
+    ``reach``, each with the k that comes nearest, the offset nearest to the time elapsed is taken (first the
+    lowest j, then m); if none is within ``trust_90k`` of it, the time elapsed."""
+    turns = F.sequence(F.lit(-reach), F.lit(reach))
+    elapsed = F.col("elapsed").cast("double")
+
+    def offset(j: Column, m: Column) -> Column:
+        whole = F.col("raw") + m * float(PTS_WRAP) - (F.col("anchor_raw") + j * F.col("anchor_wrap"))
+        return F.round(whole + F.round((elapsed - whole) / F.col("wrap")) * F.col("wrap")).cast("long")
+
+    ways = F.flatten(F.transform(turns, lambda j: F.transform(turns, lambda m: F.struct(F.abs(offset(j, m) - F.col("elapsed")).alias("off"), j.alias("j"), m.alias("m"), offset(j, m).alias("d")))))
+    best = F.array_min(ways)
+    found = essences.withColumn("_b", F.when(F.col("anchor_raw").isNotNull(), best))
+    joined = F.when(F.col("_b.off") <= trust_90k, F.col("_b.d")).otherwise(F.col("elapsed"))
+    return found.withColumn("resolved", base_90k + F.when(F.col("anchor_raw").isNull(), 0).otherwise(joined)).drop("_b")
 
 
 def frame_rate(units: DataFrame, keys: list[str], order: str, stamp: str, least: int = 30) -> DataFrame:

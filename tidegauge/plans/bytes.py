@@ -30,7 +30,10 @@ def capture(spark, d) -> DataFrame:
     head = [(0x47, 1), (F.col("pid") + F.when(F.col("has_payload"), 0x4000).otherwise(0), 2), (F.when(F.col("has_payload"), 0x30).otherwise(0x20) + F.col("cc"), 1), (7, 1), (0x10, 1), *clock]
     cell = F.rpad(F.concat(_bytes(*head), F.when(F.col("has_payload"), _bytes((1, 3), (0xE0, 1), (0, 2), (0x80, 1), (0x80, 1), (5, 1), *stamp)).otherwise(F.lit(b""))), 188, F.lit(b"\xff"))
     rtp = _bytes((0x80, 1), (33, 1), (F.col("seq"), 2), (F.col("rtp_ts"), 4), (0x12345678, 4))
-    return p.select("flow_id", F.lit(0).alias("leg"), "recv_us", F.concat(rtp, cell).alias("data"))
+    # captures that are read have their bytes as they are; a column that isn't deterministic keeps Spark from
+    # pasting all that makes them here into each filter on them
+    as_read = F.col("recv_us") + 0 * F.monotonically_increasing_id()
+    return p.select("flow_id", F.lit(0).alias("leg"), as_read.alias("recv_us"), F.concat(rtp, cell).alias("data"))
 
 
 @query("s1_datagrams", """SELECT flow_id, recv_us, seq, rtp_ts, pid, cc, has_payload AS pusi, has_payload, pcr27, CASE WHEN has_payload THEN pts90 END AS pts90 FROM p""")
@@ -81,13 +84,20 @@ _KINDS = list(timers.TIMERS)
 _W10 = ", ".join(f"({i}, '{k}', {us}, '{mode}')" for i, (k, (us, mode)) in enumerate(timers.TIMERS.items()))
 
 
-@query("w10_timers", """SELECT flow_id, kind, sum(CASE mode WHEN 'latch' THEN least(stale, 1) WHEN 'anchor' THEN (stale + 1) // 2 ELSE stale END)::BIGINT AS errors,
-  (CASE WHEN kind = 'sdt' THEN sum(stale) ELSE 0 END)::BIGINT AS si_repetition FROM (SELECT flow_id, kind, mode, (SELECT count(*) FROM range(0, 100000) g(i) WHERE f + i * 500000 > t + most AND f + i * 500000 < n) AS stale
-  FROM (SELECT *, coalesce(lead(t) OVER (PARTITION BY flow_id, kind ORDER BY t), e + 1) AS n FROM s)) GROUP BY flow_id, kind""",
-    f"k(i, kind, most, mode) AS (VALUES {_W10}), s AS (SELECT flow_id, k.kind, mode, most, recv_us AS t, min(recv_us) OVER (PARTITION BY flow_id) AS f, max(recv_us) OVER (PARTITION BY flow_id) AS e FROM p JOIN k ON k.i = cents % 11)")
+@query("w10_timers", """SELECT flow_id, kind, sum(n)::BIGINT AS errors, (CASE WHEN kind = 'sdt' THEN sum(n) ELSE 0 END)::BIGINT AS si_repetition FROM (
+  SELECT flow_id, kind, CASE mode WHEN 'latch' THEN least(stale, 1) WHEN 'anchor' THEN (stale + 1) // 2 ELSE stale END AS n
+  FROM (SELECT flow_id, kind, mode, (SELECT count(*) FROM range(0, 100000) g(i) WHERE f + i * 500000 >= a AND f + i * 500000 > t + most AND f + i * 500000 < n) AS stale
+    FROM (SELECT *, coalesce(lead(t) OVER (PARTITION BY flow_id, kind, one ORDER BY t), e + 1) AS n FROM s JOIN x USING (flow_id)))
+  UNION ALL SELECT flow_id, kind, (SELECT count(*) > 0 FROM range(0, 100000) g(i) WHERE f + i * 500000 >= said AND f + i * 500000 > a + 1000000 AND f + i * 500000 < coalesce(first, e + 1))::BIGINT
+    FROM (SELECT flow_id, v.kind, pid, min(recv_us) AS said FROM p, (VALUES ('pmt'), ('es')) v(kind) WHERE event_type = 'signup' GROUP BY ALL) JOIN x USING (flow_id)
+    LEFT JOIN (SELECT flow_id, kind, one AS pid, min(t) AS first FROM s GROUP BY ALL) USING (flow_id, kind, pid)) GROUP BY flow_id, kind""",
+    f"""k(i, kind, most, mode) AS (VALUES {_W10}), s AS (SELECT flow_id, k.kind, mode, most, recv_us AS t, CASE WHEN k.kind IN ('pmt', 'es', 'pcr', 'pts') THEN pid END AS one FROM p JOIN k ON k.i = cents % 11),
+x AS (SELECT flow_id, min(t) AS f, max(t) AS e, min(t) FILTER (kind = 'pat') AS a FROM s GROUP BY flow_id)""")
 def w10_timers(spark, d):
-    named = packets(spark, d).withColumn("kind", F.get(F.array(*map(F.lit, _KINDS)), (F.col("cents") % 11).cast("int")))
-    return timers.timer_errors(named, ["flow_id"], "kind", "recv_us")
+    p = packets(spark, d)
+    seen = p.withColumn("kind", F.get(F.array(*map(F.lit, _KINDS)), (F.col("cents") % 11).cast("int")))
+    named = p.where("event_type = 'signup'").select("flow_id", "pid", "recv_us", F.explode(F.array(F.lit("pmt"), F.lit("es"))).alias("kind"))
+    return timers.timer_errors(seen, ["flow_id"], "kind", "recv_us", named=named)
 
 
 @query("q9_drain_rate", "SELECT flow_id, event_id, rate FROM r", """m AS MATERIALIZED (SELECT flow_id, vseq, event_id, pcr27, bytes FROM p),

@@ -112,19 +112,17 @@ def p24(spark, d):
     return packets(spark, d).select("event_id", F.hex(ten).alias("ten"), eight.alias("e")).select("event_id", "ten", listed(F.col("e.y")).alias("luma"), listed(F.col("e.cb")).alias("blue"))
 
 
-@query("k7_dash_manifest", r"""SELECT recording_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<MPD' || chr(10) || '  xmlns="urn:mpeg:dash:schema:mpd:2011"' || chr(10) || '  xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"' || chr(10)
-  || '  xsi:schemaLocation="urn:mpeg:dash:schema:mpd:2011 DASH-MPD.xsd"' || chr(10) || '  type="dynamic"' || chr(10) || '  profiles="urn:mpeg:dash:profile:cmaf:2019,urn:mpeg:dash:profile:isoff-live:2011"' || chr(10)
-  || '  availabilityStartTime="' || strftime(make_timestamp((1704067200 + recording_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '"' || chr(10) || '  minimumUpdatePeriod="PT4.0S"' || chr(10) || '  minBufferTime="PT6.0S"' || chr(10)
-  || '  timeShiftBufferDepth="PT' || greatest(n * 4, 30) || 'S"' || chr(10) || CASE WHEN recording_id % 2 = 1 THEN '  suggestedPresentationDelay="PT1.5S"' || chr(10) ELSE '' END || '  >' || chr(10) || '  <Period id="0" start="PT0S">' || chr(10)
-  || '    <AdaptationSet contentType="video" segmentAlignment="true" startWithSAP="1" mimeType="video/mp4" codecs="avc1.64001F">' || chr(10) || '      <Representation id="video" bandwidth="' || bytes || '" width="1280" height="720" frameRate="30">' || chr(10)
-  || '        <SegmentTemplate timescale="90000" duration="360000" startNumber="' || greatest(latest, 1) || '" initialization="init.mp4" media="seg-$Number%05d$.m4s"' || late || '/>' || chr(10) || '      </Representation>' || chr(10) || '    </AdaptationSet>' || chr(10)
-  || '    <AdaptationSet contentType="audio" segmentAlignment="true" startWithSAP="1" mimeType="audio/mp4" codecs="mp4a.40.2" lang="und">' || chr(10) || '      <AudioChannelConfiguration schemeIdUri="urn:mpeg:mpegB:cicp:ChannelConfiguration" value="2"/>' || chr(10)
-  || '      <Representation id="audio" bandwidth="128000" audioSamplingRate="48000">' || chr(10) || '        <SegmentTemplate timescale="48000" duration="192000" startNumber="' || greatest(latest, 1) || '" initialization="init.mp4" media="aud-$Number%05d$.m4s"' || late || '/>' || chr(10)
-  || '      </Representation>' || chr(10) || '    </AdaptationSet>' || chr(10) || '  </Period>' || chr(10) || '</MPD>' || chr(10) AS manifest
-  FROM (SELECT recording_id, count(*) AS n, max(segment_id) AS latest, sum(bytes)::BIGINT AS bytes, CASE WHEN recording_id % 2 = 1 THEN ' availabilityTimeOffset="0.500" availabilityTimeComplete="false"' ELSE '' END AS late FROM seg GROUP BY recording_id)""", SEGMENTS)
+@query("k7_dash_manifest", """SELECT recording_id, '<?xml version="1.0" encoding="UTF-8"?><MPD availabilityStartTime="' || strftime(make_timestamp((1704067200 + recording_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
+  || '" minBufferTime="PT6.0S" minimumUpdatePeriod="PT4.0S" profiles="urn:mpeg:dash:profile:cmaf:2019,urn:mpeg:dash:profile:isoff-live:2011"' || CASE WHEN recording_id % 2 = 1 THEN ' suggestedPresentationDelay="PT1.5S"' ELSE '' END
+  || ' timeShiftBufferDepth="PT' || greatest(n * 4, 30) || 'S" type="dynamic" xmlns="urn:mpeg:dash:schema:mpd:2011" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="urn:mpeg:dash:schema:mpd:2011 DASH-MPD.xsd"><Period id="0" start="PT0S">'
+  || '<AdaptationSet codecs="avc1.64001F" contentType="video" mimeType="video/mp4" segmentAlignment="true" startWithSAP="1"><Representation bandwidth="' || bytes || '" frameRate="25" height="720" id="video" width="1280"><SegmentTemplate' || late
+  || ' duration="360000" initialization="init.mp4" media="seg-$Number%05d$.m4s" startNumber="' || greatest(latest, 1) || '" timescale="90000"></SegmentTemplate></Representation></AdaptationSet>'
+  || '<AdaptationSet codecs="mp4a.40.2" contentType="audio" lang="und" mimeType="audio/mp4" segmentAlignment="true" startWithSAP="1"><Representation audioSamplingRate="48000" bandwidth="128000" id="audio"><AudioChannelConfiguration schemeIdUri="urn:mpeg:mpegB:cicp:ChannelConfiguration" value="2"></AudioChannelConfiguration><SegmentTemplate' || late
+  || ' duration="192000" initialization="init.mp4" media="aud-$Number%05d$.m4s" startNumber="' || greatest(latest, 1) || '" timescale="48000"></SegmentTemplate></Representation></AdaptationSet></Period></MPD>' AS manifest
+  FROM (SELECT recording_id, count(*) AS n, max(segment_id) AS latest, sum(bytes)::BIGINT AS bytes, CASE WHEN recording_id % 2 = 1 THEN ' availabilityTimeComplete="false" availabilityTimeOffset="0.500"' ELSE '' END AS late FROM seg GROUP BY recording_id)""", SEGMENTS)
 def k7(spark, d):
     live = segments(spark, d).groupBy("recording_id").agg(F.count(F.lit(1)).alias("available"), F.max("segment_id").alias("latest"), F.sum("bytes").alias("bytes"))
-    video = F.struct(F.lit("avc1.64001F").alias("codecs"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit(90_000).alias("timescale"), F.col("bytes").alias("bandwidth"))
+    video = F.struct(F.lit("avc1.64001F").alias("codecs"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit("25").alias("frame_rate"), F.lit(90_000).alias("timescale"), F.col("bytes").alias("bandwidth"))
     audio = F.struct(F.lit("mp4a.40.2").alias("codecs"), F.lit(2).alias("channels"), F.lit(48_000).alias("sample_rate"), F.lit(128_000).alias("bandwidth"))
     given = live.withColumns({"start_s": 1_704_067_200 + F.col("recording_id"), "target_s": F.lit(4.0), "offset_s": F.col("recording_id") % 2 * 0.5, "video": video, "audio": audio})
     return given.select("recording_id", export.dash_manifest().alias("manifest"))

@@ -127,9 +127,12 @@ def h11(spark, d):
     return met.select("o_custkey", "o_orderkey", "boundary", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("h12_stale_cadence", HELD.format(hold=120_000, on="cents % 5000 > 1000"))
+@query("h12_stale_cadence", "SELECT flow_id, recv_us FROM o WHERE fired", """o0 AS MATERIALIZED (SELECT flow_id, vseq, recv_us, cents % 5000 > 1000 AS stale FROM p),
+o AS (SELECT flow_id, vseq, recv_us, CASE WHEN stale THEN recv_us END AS since, false AS fired FROM o0 WHERE vseq = 0 UNION ALL
+  SELECT n.flow_id, n.vseq, n.recv_us, CASE WHEN n.stale AND NOT coalesce(n.recv_us - o.since >= 120000, false) THEN coalesce(o.since, n.recv_us) END, n.stale AND coalesce(n.recv_us - o.since >= 120000, false)
+  FROM o JOIN o0 n ON n.flow_id = o.flow_id AND n.vseq = o.vseq + 1)""")
 def h12(spark, d):
-    return aggregates.held_for(packets(spark, d), ["flow_id"], "recv_us", F.col("cents") % 5000 > 1000, 120_000)
+    return aggregates.dwells(packets(spark, d), ["flow_id"], "recv_us", F.col("cents") % 5000 > 1000, 120_000)
 
 
 @query("h13_clock_threshold", """SELECT flow_id, event_id, state FROM (SELECT *, lag(state, 1, 0) OVER (PARTITION BY flow_id ORDER BY vseq, event_id) AS b FROM s) WHERE state <> b""", """s AS (SELECT flow_id, vseq, event_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY vseq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state
@@ -138,10 +141,14 @@ def h13(spark, d):
     return alarms.marked_transitions(packets(spark, d), ["vseq", "event_id"], alarms.hysteresis_mark(F.col("cents"), 3000, 2400, ["vseq", "event_id"], inclusive=True))
 
 
-@query("h14_holdover", """SELECT flow_id, event_id, state FROM (SELECT *, lag(state, 1, 0) OVER (PARTITION BY flow_id ORDER BY vseq, event_id) AS b FROM s) WHERE state <> b""", """s AS (SELECT flow_id, vseq, event_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY vseq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state
-  FROM (SELECT *, CASE WHEN cents > 3000 THEN 1 WHEN cents <= 2000 THEN 0 END AS mark FROM p))""")
+@query("h14_holdover", "SELECT flow_id, event_id, state FROM w", """c0 AS MATERIALIZED (SELECT flow_id, vseq, event_id, cents AS offset_ns, CASE event_id % 23 WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN NULL ELSE 9 END AS port FROM p),
+c AS MATERIALIZED (SELECT *, CASE WHEN port IS NULL THEN 'unknown' WHEN port = 6 THEN 'master' WHEN port <> 9 THEN 'acquiring' WHEN abs(offset_ns) <= 2000 THEN 'locked' ELSE 'holdover' END AS raw FROM c0),
+w AS (SELECT flow_id, vseq, event_id, raw AS state FROM c WHERE vseq = 0 UNION ALL
+  SELECT c.flow_id, c.vseq, c.event_id, CASE WHEN c.port = 9 AND w.state = 'locked' THEN CASE WHEN abs(offset_ns) > 3000 THEN 'holdover' ELSE 'locked' END ELSE c.raw END
+  FROM w JOIN c ON c.flow_id = w.flow_id AND c.vseq = w.vseq + 1)""")
 def h14(spark, d):
-    return alarms.marked_transitions(packets(spark, d), ["vseq", "event_id"], alarms.holdover_mark(F.col("cents"), 2000))
+    p = packets(spark, d).withColumn("port", F.when(F.col("event_id") % 23 == 0, 6).when(F.col("event_id") % 23 == 1, 4).when(F.col("event_id") % 23 > 2, 9))
+    return alarms.clock_states(p, ["flow_id"], ["vseq", "event_id"], "port", "cents", 2000).select("flow_id", "event_id", "state")
 
 
 @query("h15_down_for", """SELECT flow_id, CASE WHEN min(recv_us) FILTER (recv_us > coalesce(u, -1)) IS NOT NULL THEN 10000000000 - min(recv_us) FILTER (recv_us > coalesce(u, -1)) END AS down_us FROM (

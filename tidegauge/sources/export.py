@@ -23,36 +23,42 @@ def live_playlist(segments: DataFrame, key: str, window: int = 6) -> DataFrame:
     return found.select(key, F.concat(head, body, F.lit("\n")).alias("playlist"))
 
 
+def _element(name: str, attributes: dict[str, Column | str], *inside: Column) -> Column:
+    """An XML element on no line of its own, attributes by name; those that are null are left out."""
+    told = [F.coalesce(F.concat(F.lit(f' {k}="'), v if isinstance(v, Column) else F.lit(v), F.lit('"')), F.lit("")) for k, v in sorted(attributes.items())]
+    return F.concat(F.lit(f"<{name}"), *told, F.lit(">"), *inside, F.lit(f"</{name}>"))
+
+
+#: Names of the manifest's format. Fixed values.
+DASH, XSI, CHANNELS = "urn:mpeg:dash:schema:mpd:2011", "http://www.w3.org/2001/XMLSchema-instance", "urn:mpeg:mpegB:cicp:ChannelConfiguration"
+PROFILES = "urn:mpeg:dash:profile:cmaf:2019,urn:mpeg:dash:profile:isoff-live:2011"
+
+
 def dash_manifest() -> Column:
-    """K7: the live manifest of a row (start_s, target_s, latest, available, offset_s, video, audio). video
-    (codecs, width, height, timescale, bandwidth) and audio (codecs, channels, sample_rate, bandwidth) are
-    left out where they are null. An offset above 0 announces segments that much before they are whole."""
+    """K7: the live manifest, as one line of XML, of a row (start_s, target_s, latest, available, offset_s, video,
+    audio). video (codecs, width, height, frame_rate, timescale, bandwidth) and audio (codecs, channels,
+    sample_rate, bandwidth) are left out where they are null. An offset above 0 announces segments that
+    much before they are whole."""
     target, offset = F.col("target_s"), F.col("offset_s")
-    early = offset > 0
+    early, text = offset > 0, lambda c: F.col(c).cast("string")
+    seconds = lambda c, digits=1: F.format_string(f"PT%.{digits}fS", c)
+
+    def segments_of(prefix: str, scale: Column) -> Column:
+        told = {"timescale": scale.cast("string"), "duration": F.floor(target * scale).cast("string"), "startNumber": F.greatest("latest", F.lit(1)).cast("string"), "initialization": "init.mp4", "media": f"{prefix}-$Number%05d$.m4s"}
+        return _element("SegmentTemplate", told | {"availabilityTimeOffset": F.when(early, F.format_string("%.3f", offset)), "availabilityTimeComplete": F.when(early, "false")})
+
+    def adaptation(kind: str, representation: Column, more: dict[str, str]) -> Column:
+        told = {"contentType": kind, "mimeType": f"{kind}/mp4", "codecs": F.col(f"{kind}.codecs"), "segmentAlignment": "true", "startWithSAP": "1"}
+        return F.when(F.col(kind).isNotNull(), _element("AdaptationSet", told | more, representation)).otherwise("")
+
+    video = _element("Representation", {"id": "video", "bandwidth": text("video.bandwidth"), "width": text("video.width"), "height": text("video.height"), "frameRate": text("video.frame_rate")}, segments_of("seg", F.col("video.timescale")))
+    channels = _element("AudioChannelConfiguration", {"schemeIdUri": CHANNELS, "value": text("audio.channels")})
+    audio = _element("Representation", {"id": "audio", "bandwidth": text("audio.bandwidth"), "audioSamplingRate": text("audio.sample_rate")}, channels, segments_of("aud", F.col("audio.sample_rate")))
+    period = _element("Period", {"id": "0", "start": "PT0S"}, adaptation("video", video, {}), adaptation("audio", audio, {"lang": "und"}))
     started = F.expr("date_format(timestampadd(SECOND, start_s, timestamp_ntz'1970-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
-    late = F.when(early, F.format_string(' availabilityTimeOffset="%.3f" availabilityTimeComplete="false"', offset)).otherwise("")
-    number = F.greatest(F.col("latest"), F.lit(1))
-
-    def segments_of(kind: str, scale: Column) -> Column:
-        pattern = '        <SegmentTemplate timescale="%d" duration="%d" startNumber="%d" initialization="init.mp4" media="' + kind + '-$Number%%05d$.m4s"%s/>\n'
-        return F.format_string(pattern, scale, F.floor(target * scale), number, late)
-
-    def of(kind: str, extra: str, head: Column, scale: Column) -> Column:
-        opened = F.format_string(f'    <AdaptationSet contentType="{kind}" segmentAlignment="true" startWithSAP="1" mimeType="{kind}/mp4" codecs="%s"{extra}>\n', F.col(f"{kind}.codecs"))
-        return F.when(F.col(kind).isNotNull(), F.concat(opened, head, segments_of("seg" if kind == "video" else "aud", scale), F.lit("      </Representation>\n    </AdaptationSet>\n"))).otherwise("")
-
-    video = F.format_string('      <Representation id="video" bandwidth="%d" width="%d" height="%d" frameRate="30">\n', "video.bandwidth", "video.width", "video.height")
-    audio = F.format_string(
-        '      <AudioChannelConfiguration schemeIdUri="urn:mpeg:mpegB:cicp:ChannelConfiguration" value="%d"/>\n      <Representation id="audio" bandwidth="%d" audioSamplingRate="%d">\n',
-        "audio.channels", "audio.bandwidth", "audio.sample_rate")
-    names = 'xmlns="urn:mpeg:dash:schema:mpd:2011"\n  xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"\n  xsi:schemaLocation="urn:mpeg:dash:schema:mpd:2011 DASH-MPD.xsd"'
-    profiles = "urn:mpeg:dash:profile:cmaf:2019,urn:mpeg:dash:profile:isoff-live:2011"
-    head = F.format_string(
-        f'<?xml version="1.0" encoding="UTF-8"?>\n<MPD\n  {names}\n  type="dynamic"\n  profiles="{profiles}"\n  availabilityStartTime="%s"\n  minimumUpdatePeriod="PT%.1fS"\n  minBufferTime="PT%.1fS"\n  timeShiftBufferDepth="PT%.0fS"\n',
-        started, F.greatest(target, F.lit(1.0)), F.greatest(target * 1.5, F.lit(2.0)), F.greatest(F.col("available") * target, F.lit(30.0)))
-    delay = F.when(early, F.format_string('  suggestedPresentationDelay="PT%.1fS"\n', F.greatest(offset * 3, F.lit(1.5)))).otherwise("")
-    sets = F.concat(of("video", "", video, F.col("video.timescale")), of("audio", ' lang="und"', audio, F.col("audio.sample_rate")))
-    return F.concat(head, delay, F.lit('  >\n  <Period id="0" start="PT0S">\n'), sets, F.lit("  </Period>\n</MPD>\n"))
+    told = {"xmlns": DASH, "xmlns:xsi": XSI, "xsi:schemaLocation": f"{DASH} DASH-MPD.xsd", "type": "dynamic", "profiles": PROFILES, "availabilityStartTime": started}
+    told |= {"minimumUpdatePeriod": seconds(F.greatest(target, F.lit(1.0))), "minBufferTime": seconds(F.greatest(target * 1.5, F.lit(2.0))), "timeShiftBufferDepth": seconds(F.greatest(F.col("available") * target, F.lit(30.0)), 0)}
+    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>'), _element("MPD", told | {"suggestedPresentationDelay": F.when(early, seconds(F.greatest(offset * 3, F.lit(1.5))))}, period))
 
 
 def _escaped(label: Column) -> Column:
