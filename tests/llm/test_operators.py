@@ -53,7 +53,7 @@ def test_awkward_rows(spark, name):
 
 
 #: Names that operators use for columns of their own or in between.
-CLASHING = ["row_key", "fingerprint", "component_id", "lang_pred", "predicted", "judged", "host", "path", "verdict", "n_tried", "n_bytes", "n_tokens", "slot", "mix_class", "at", "h1", "_part", "item_id", "id", "key", "part", "before", "all", "count", "row", "n", "hash", "class", "block", "share"]
+CLASHING = ["row_key", "fingerprint", "component_id", "lang_pred", "predicted", "judged", "host", "path", "verdict", "n_tried", "n_bytes", "n_tokens", "slot", "mix_class", "at", "h1", "_part", "item_id", "id", "key", "part", "before", "all", "count", "row", "n", "hash", "class", "block", "share", "uid_dropped", "dropped_lines", "dropped"]
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

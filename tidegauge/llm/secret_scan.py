@@ -11,11 +11,12 @@ from .common import without
 
 #: Kind, pattern, the group that is measured, and its least length. Patterns find matches from
 #: left to right without overlap; those too short are dropped afterwards, so they still use up
-#: what they cover.
+#: what they cover. Keys and hex runs reach as far as their characters do, so there the least length can
+#: be asked for at once: a shorter one holds no other.
 KINDS = [
     ("assign", r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
 
 #: What must occur for a kind to be looked for at all.
@@ -54,13 +55,14 @@ def _gaps_and_matches(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"))
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """Array of (at, hit): the matches with their first code point's place, in order."""
+def _placed(text: Column, pattern: str, good=lambda hit: F.char_length(hit) > 0) -> Column:
+    """Array of (at, hit): the matches that are ``good`` with their first code point's place, in order. Only
+    these are appended, so the work follows the text's length."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,hit:string>>").alias("out"))
 
     def step(state, x):
         at = state["at"] + F.char_length(x["gap"])
-        found = F.when(F.char_length(x["hit"]) > 0, F.array_append(state["out"], F.struct(at.cast("int").alias("at"), x["hit"].alias("hit")))).otherwise(state["out"])
+        found = F.when(good(x["hit"]), F.array_append(state["out"], F.struct(at.cast("int").alias("at"), x["hit"].alias("hit")))).otherwise(state["out"])
         return F.struct((at + F.char_length(x["hit"])).cast("int").alias("at"), found.alias("out"))
 
     return F.aggregate(_gaps_and_matches(text, pattern), zero, step, lambda s: s["out"])
@@ -69,7 +71,7 @@ def _placed(text: Column, pattern: str) -> Column:
 def _spans(text: Column, kind: int) -> Column:
     name, pattern, group, least = KINDS[kind]
     measured = (lambda hit: F.regexp_extract(hit, f"^{pattern}", group)) if group else (lambda hit: hit)
-    good = F.filter(_placed(text, pattern), lambda x: F.char_length(measured(x["hit"])) >= least)
+    good = _placed(text, pattern, lambda hit: F.char_length(measured(hit)) >= least)
     spans = F.transform(good, lambda x: F.struct(x["at"].alias("start"), F.lit(kind).alias("kind"), (x["at"] + F.char_length(x["hit"])).cast("int").alias("end")))
     return F.when(text.rlike(_HINTS[kind]), spans).otherwise(F.array().cast(_SPANS))
 
