@@ -112,11 +112,11 @@ def dwells(rows: DataFrame, keys: list[str], time: str, stale: Column, hold_us:
     return ordered_fold(stretch.drop("_o"), by, [time], lambda: Dwell(hold_us), lambda s, r: [(*(getattr(r, c) for c in [*keys, time]),)] if s.add(True, getattr(r, time)) else [], schema)
 
 
-def silent(loudness: Column, bitrate: Column) -> Column:
-    """H8: whether a block is silent: by its loudness, or where no decoder gives one by its bitrate. A
+def silent(loudness: Column, bitrate: Column, most: float = -60.0) -> Column:
+    """H8: whether a block is silent: by its loudness, ``most`` at most, or where no decoder gives one by its bitrate. A
     loudness that isn't finite is no silence."""
     finite = ~F.isnan(loudness) & (F.abs(loudness) != float("inf"))
-    return F.when(loudness.isNotNull(), finite & (loudness <= -60)).otherwise(bitrate < 1000)
+    return F.when(loudness.isNotNull(), finite & (loudness <= most)).otherwise(bitrate < 1000)
 
 
 def hard_mutes(frames: DataFrame, keys: list[str], order: str, channels: str, sample_rate: int) -> DataFrame:
