@@ -138,12 +138,12 @@ def q21(spark, d):
     return q.splice_points(switches, p.withColumn("key", F.col("event_type") == "purchase"))
 
 
-@query("q23_assembly", """SELECT out_pid, count(*) AS cells, sum(has_payload::INT)::BIGINT AS payloads, max(cc) AS last_cc FROM (SELECT 4096 + flow_id AS out_pid, has_payload,
-  (sum(has_payload::INT) OVER (PARTITION BY flow_id ORDER BY vseq) % 16)::BIGINT AS cc, row_number() OVER (PARTITION BY flow_id ORDER BY vseq DESC) AS n FROM p WHERE flow_id IN (1, 3) AND kind <> 'data') GROUP BY out_pid""")
+@query("q23_assembly", """SELECT out_pid, count(*) AS cells, sum(has_payload::INT)::BIGINT AS payloads, max(cc) AS last_cc FROM (SELECT flow_id * 2 + (kind = 'audio')::INT AS out_pid, has_payload,
+  (sum(has_payload::INT) OVER (PARTITION BY flow_id, kind ORDER BY vseq) % 16)::BIGINT AS cc FROM p WHERE kind <> 'data') GROUP BY out_pid""")
 def q23(spark, d):
     from ..operators.rewrite import renumber
 
     p = packets(spark, d).where("kind != 'data'")
-    slots = [p.where(F.col("flow_id") == f).withColumn("out_pid", F.lit(4096 + f).cast("long")) for f in (1, 3)]
+    slots = [p.where(F.col("kind") == kind).withColumn("out_pid", F.col("flow_id") * 2 + n) for n, kind in enumerate(("video", "audio"))]
     out = renumber(q.assemble(slots), ["out_pid"], "vseq")
     return out.groupBy("out_pid").agg(F.count(F.lit(1)).alias("cells"), F.count_if("has_payload").alias("payloads"), F.max("out_cc").alias("last_cc"))
