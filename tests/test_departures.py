@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import aggregates, alarms, timers, windows
+from tidegauge.operators import aggregates, alarms, rewrite, sequence, timers, windows
 from tidegauge.plans.binding import PCR_WRAP
 
 SECOND = 1_000_000
@@ -87,3 +87,35 @@ BASE, VIDEO, AUDIO = 900_000, float(1 << 32), float(1 << 32) * 90_000 / 48_000
 def test_timeline(spark, raw, wrap, anchor, anchor_wrap, elapsed, want):
     df = spark.createDataFrame([(raw, wrap, anchor, anchor_wrap, elapsed)], "raw long, wrap double, anchor_raw long, anchor_wrap double, elapsed long")
     assert windows.timeline(df).first()["resolved"] == want
+
+
+def plain_line(packets, delay, most, room):
+    """The line, packet by packet: which are shed."""
+    held, shed = [], set()
+    for i, (at, size) in enumerate(packets):
+        held = [h for h in held if packets[h][0] + delay > at]
+        while held and (len(held) >= most or sum(packets[h][1] for h in held) + size > room):
+            shed.add(held.pop(0))
+        held.append(i)
+    return shed
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_bounded_delay_line(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    packets, at = [], 0
+    for _ in range(300):
+        at += rng.choice([0, 1, 5, 40])
+        packets.append((at, rng.choice([10, 50, 100, 900])))
+    df = spark.createDataFrame([(1, i, *p) for i, p in enumerate(packets)], "flow_id int, event_id int, recv_us long, bytes long")
+    got = {r["event_id"] for r in sequence.delay_line(df, 100, 8, 700).where("shed").collect()}
+    assert got == plain_line(packets, 100, 8, 700) and got
+
+
+def test_bundles_leave_at_ticks(spark):
+    times = [0, 1, 2, 3, 4, 5, 6, 7, 9_999, 10_000, 35_000]
+    df = spark.createDataFrame([(1, n, t) for n, t in enumerate(times)], "k int, n long, t long")
+    got = [(r["datagram"], r["cells"], r["first"], r["last"]) for r in rewrite.bundle(df, ["k"], "n", time="t").orderBy("datagram").collect()]
+    assert got == [(0, 7, 0, 6), (1, 2, 7, 8), (2, 1, 9, 9), (3, 1, 10, 10)]

@@ -118,3 +118,22 @@ def test_pids_in_tables_and_headers(spark):
     joined = got[1][-60:] + got[2][4 : 4 + len(section) - 60]
     assert tables.crc32_mpeg(joined) == 0 and [s[1] for s in tables.mapped_streams(joined)[3]] == [8000, 257, 8000, 257]
     assert got[2][4 + len(section) - 60 :] == cells[2][4 + len(section) - 60 :]
+
+
+#: A splice message of the standard's own examples: time signal with a segmentation descriptor.
+CUE = bytes.fromhex("fc3034000000000000fffff00506fe72bd0050001e021c435545494800008e7fcf0001a599b00808000000002ca0a18a3402009ac9d17e")
+
+
+def test_cues_are_moved(spark):
+    assert tables.crc32_mpeg(CUE) == 0
+    long = CUE[:1] + (0x3000 | 300 - 3).to_bytes(2, "big") + CUE[3:4] + (1 << 39 | (1 << 33) - 5).to_bytes(5, "big") + bytes(287)
+    long += tables.crc32_mpeg(long).to_bytes(4, "big")
+    cells = [*split(CUE, 500), *split(long, 500, cc=1), *split(CUE, 501), cell(256, 0, CUE)]
+    df = frame(spark, cells)
+    pids = spark.createDataFrame([(1, 500)], "flow_id long, pid int")
+    got = [bytes(r["cell"]) for r in programmes.shift_cues(df, pids, 90_000, "nr").orderBy("nr").collect()]
+    assert got[3:] == cells[3:] and [len(c) for c in got] == [188] * 5
+    first, second = (s for _, _, s in found(spark, got[:3]))
+    assert tables.crc32_mpeg(first) == tables.crc32_mpeg(second) == 0
+    assert int.from_bytes(first[4:9], "big") == 90_000 and first[9:-4] == CUE[9:-4] and first[:4] == CUE[:4]
+    assert int.from_bytes(second[4:9], "big") == 1 << 39 | 89_995

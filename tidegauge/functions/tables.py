@@ -161,6 +161,16 @@ def with_mapped_pids(part: bytes, pids: dict[int, int]) -> bytes:
     return bytes(out)
 
 
+def with_later_splice(part: bytes, by_90k: int) -> bytes:
+    """A cue's section with its 33-bit adjustment raised by ``by_90k``; other sections as they are."""
+    if len(part) < 15 or part[0] != 0xFC:
+        return part
+    word = int.from_bytes(part[4:9], "big")
+    word = word >> 33 << 33 | (word + by_90k) % (1 << 33)
+    out = part[:4] + word.to_bytes(5, "big") + part[9:-4]
+    return out + crc32_mpeg(out).to_bytes(4, "big")
+
+
 def cells_of(pid: int, first_cc: int, body: bytes) -> list[bytes]:
     """A section with its checksum over as many cells as it takes."""
     whole, out = b"\0" + body + crc32_mpeg(body).to_bytes(4, "big"), []

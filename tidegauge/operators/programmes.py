@@ -182,6 +182,28 @@ def with_roles(rows: DataFrame, held: DataFrame, order: str) -> DataFrame:
     return met.withColumn("role", F.when(F.col("pid") == F.col("video"), "video").when(F.col("pid") == F.col("audio"), "audio")).drop("video", "audio")
 
 
+def put_back(cells: DataFrame, parts: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """``cells`` with the bytes of rewritten sections (``new``: flow_id, pid, unit, section) in the places that
+    ``parts`` says they came from. A section must have kept its length."""
+    slices = parts.join(new, ["flow_id", "pid", "unit"]).select("flow_id", order, "start", F.substring("section", F.col("before").cast("int") + 1, F.length("part")).alias("_slice")).where(F.length("_slice") > 0)
+    met = cells.join(slices.withColumnRenamed("start", "_start"), ["flow_id", order], "left")
+    written = F.when(F.col("_slice").isNull(), F.col("cell")).otherwise(F.overlay("cell", "_slice", F.col("_start") + 1))
+    return met.withColumn("cell", written).select(*cells.columns)
+
+
+def shift_cues(cells: DataFrame, pids: DataFrame, by_90k: int, order: str, checked: bool = True) -> DataFrame:
+    """``cells`` in which the splice time adjustment of every cue on ``pids`` (flow_id, pid) is ``by_90k``
+    ticks later, modulo 2**33, with its checksum made anew; also of cues that take several cells."""
+    parts = stored(section_parts(cells.join(pids.distinct(), ["flow_id", "pid"], "left_semi"), order, checked), "cue-parts")
+
+    @F.pandas_udf("binary")
+    def shifted(part: pd.Series) -> pd.Series:
+        return pd.Series([tables.with_later_splice(p, by_90k) for p in part])
+
+    new = sections(parts, order).select("flow_id", "pid", "unit", shifted("section").alias("section"))
+    return put_back(cells, parts, new, order)
+
+
 def remap_tables(cells: DataFrame, pids: dict[int, int], order: str, checked: bool = True) -> DataFrame:
     """Every cell with its pid looked up in ``pids``, in its header and in the association and map tables,
     whose checksums are made anew. A table keeps its length, so its bytes go back into the cells that they came
@@ -198,10 +220,8 @@ def remap_tables(cells: DataFrame, pids: dict[int, int], order: str, checked: bo
         return pd.Series([tables.with_mapped_pids(p, pids) for p in part])
 
     new = found.where("pid = 0").unionByName(maps).select("flow_id", "pid", "unit", moved("section").alias("section"))
-    slices = parts.join(new, ["flow_id", "pid", "unit"]).select("flow_id", order, "start", F.substring("section", F.col("before").cast("int") + 1, F.length("part")).alias("slice")).where(F.length("slice") > 0)
-    met = cells.join(slices, ["flow_id", order], "left")
-    with_table = F.when(F.col("slice").isNull(), F.col("cell")).otherwise(F.overlay("cell", "slice", F.col("start") + 1))
+    met = put_back(cells, parts, new, order)
     target = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in pids.items() for x in kv]), F.col("pid").cast("int")), F.col("pid").cast("int")) if pids else F.col("pid").cast("int")
     head = bits.big_endian(bits.bits(bits.uint(F.col("_c"), 1, 2), 0, 0xE000) + target, 2)
     written = F.concat(F.substring("_c", 1, 1), head, F.substring("_c", 4, CELL - 3))
-    return met.withColumn("_c", with_table).withColumn("cell", written).withColumn("pid", target.cast(dict(cells.dtypes)["pid"])).select(*cells.columns)
+    return met.withColumn("_c", F.col("cell")).withColumn("cell", written).withColumn("pid", target.cast(dict(cells.dtypes)["pid"])).select(*cells.columns)

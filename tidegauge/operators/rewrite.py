@@ -90,11 +90,20 @@ def renumber(cells: DataFrame, keys: list[str], order: str) -> DataFrame:
     return cells.withColumn("out_cc", F.sum(F.col("has_payload").cast("long")).over(Window.partitionBy(*keys).orderBy(order)) % 16)
 
 
-def bundle(cells: DataFrame, keys: list[str], order: str, size: int = 7) -> DataFrame:
-    """Datagrams of ``size`` cells: (keys, datagram, cells, first, last); the last may be short."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    numbered = cells.withColumn("datagram", F.floor(n / size))
-    return numbered.groupBy(*keys, "datagram").agg(F.count(F.lit(1)).alias("cells"), F.min(order).alias("first"), F.max(order).alias("last"))
+def bundle(cells: DataFrame, keys: list[str], order: str, size: int = 7, time: str | None = None, flush_us: int = 10_000) -> DataFrame:
+    """Datagrams of ``size`` cells: (keys, datagram, cells, first, last); the last may be short. With ``time``
+    what has gathered leaves at each tick too, one every ``flush_us`` from a key's first cell, so a cell never
+    waits longer, and a window is no longer than a tick."""
+    if time is None:
+        n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+        numbered = cells.withColumn("datagram", F.floor(n / size))
+        return numbered.groupBy(*keys, "datagram").agg(F.count(F.lit(1)).alias("cells"), F.min(order).alias("first"), F.max(order).alias("last"))
+    begin = cells.groupBy(*keys).agg(F.min(time).alias("_begin"))
+    ticked = cells.join(begin, keys).withColumn("_tick", F.floor((F.col(time) - F.col("_begin")) / flush_us))
+    n = F.row_number().over(Window.partitionBy(*keys, "_tick").orderBy(order)) - 1
+    found = ticked.withColumn("_part", F.floor(n / size)).groupBy(*keys, "_tick", "_part").agg(F.count(F.lit(1)).alias("cells"), F.min(order).alias("first"), F.max(order).alias("last"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_tick", "_part")) - 1
+    return found.withColumn("datagram", number.cast("long")).select(*keys, "datagram", "cells", "first", "last")
 
 
 class NullPadder:

@@ -239,9 +239,23 @@ def sequence_loss(rows: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def delay_line(rows: DataFrame, delay_us: int) -> DataFrame:
-    """Q10: when each packet leaves a fixed delay."""
-    return rows.withColumn("release_us", F.col("recv_us") + delay_us)
+def delay_line(rows: DataFrame, delay_us: int, most_packets: int | None = None, most_bytes: int = 64 << 20, keys: tuple[str, ...] = ("flow_id",), order: str = "event_id") -> DataFrame:
+    """Q10: when each packet leaves a fixed delay. With ``most_packets`` also whether it is shed before: a packet
+    that comes pushes the oldest out until it fits among ``most_packets`` and ``most_bytes``; one that is larger
+    than all that has the line for itself.
+
+    What is pushed out is always the front, so a packet is shed just if those that come before its release
+    are, with itself, too many or too large: a difference of running sums at the last of them."""
+    due = rows.withColumn("release_us", F.col("recv_us") + delay_us)
+    if most_packets is None:
+        return due
+    by = Window.partitionBy(*keys)
+    so_far = by.orderBy("recv_us", order).rowsBetween(Window.unboundedPreceding, 0)
+    held = by.orderBy("recv_us").rangeBetween(0, delay_us - 1)
+    summed = due.withColumns({"_n": F.count(F.lit(1)).over(so_far), "_s": F.sum("bytes").over(so_far)})
+    met = summed.withColumns({"_held": F.max("_n").over(held) - F.col("_n") + 1, "_bytes": F.max("_s").over(held) - F.col("_s") + F.col("bytes")})
+    shed = (F.col("_held") > most_packets) | ((F.col("_bytes") > most_bytes) & (F.col("_held") > 1))
+    return met.withColumn("shed", shed).drop("_n", "_s", "_held", "_bytes")
 
 
 def continuity_errors(cells: DataFrame, allow_duplicate: bool = True) -> DataFrame:

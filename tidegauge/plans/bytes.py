@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import bits, media, tables
 from ..operators import timers
-from ..sources import datagrams
+from ..sources import captures, datagrams
+from ..sources.stored import shared_folder
 from .binding import packets, table
 from .registry import query
 
@@ -42,6 +45,20 @@ def s1(spark, d):
     return cells.select("flow_id", "recv_us", "seq", "rtp_ts", "pid", "cc", "pusi", "has_payload", "pcr27", "pts90")
 
 
+@query("s1_capture_files", """SELECT flow_id, recv_us, seq, pid, cc FROM p""")
+def s1_files(spark, d):
+    """Written as capture files, an address a flow, and read again in ranges of a few kilobytes."""
+    captures.register(spark)
+    path = f"{shared_folder(spark)}/tidegauge/captures-{uuid.uuid4().hex}"
+    address = F.concat_ws(".", F.lit("239"), *[F.expr(f"flow_id div {1 << n} % 256").cast("string") for n in (16, 8, 0)])
+    sent = capture(spark, d).select(address.alias("address"), F.lit(5000).alias("port"), "recv_us", "data")
+    sent.write.format("pcap").option("path", path).mode("append").save()
+    read = spark.read.format("pcap").option("splitBytes", 1 << 15).load(path)
+    byte = lambda i: F.split("address", "\\.")[i].cast("long")
+    named = read.select((byte(1) * 65536 + byte(2) * 256 + byte(3)).alias("flow_id"), F.lit(0).alias("leg"), "recv_us", "data")
+    return datagrams.transport_cells(datagrams.rtp_packets(named)).select("flow_id", "recv_us", "seq", "pid", "cc")
+
+
 @query("s2_raw_cells", "SELECT flow_id, pid, count(*) AS cells, count_if(has_payload) AS payloads FROM p GROUP BY ALL")
 def s2(spark, d):
     raw = capture(spark, d).select("flow_id", "recv_us", F.expr("substring(data, 13)").alias("payload"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits, clock
-from ..operators import filters, rewrite, windows
+from ..operators import filters, rewrite, sequence, windows
 from .binding import packets
 from .registry import query
 
@@ -128,3 +128,16 @@ def w24(spark, d):
     wrap = F.when(F.col("pid") % 2 == 0, float(1 << 32)).otherwise(float(1 << 32) * 90_000 / 48_000)
     given = joins.withColumns({"anchor_raw": first, "wrap": wrap, "anchor_wrap": F.lit(float(1 << 32)), "elapsed": F.expr("(recv_us - min(recv_us) OVER (PARTITION BY flow_id ORDER BY vseq)) * 9 div 100")})
     return windows.timeline(given).select("event_id", "resolved")
+
+
+@query("q10_bounded_delay", """SELECT event_id, recv_us + 250000 AS release_us, (h > 5 OR (b > 4000 AND h > 1)) AS shed FROM (SELECT event_id, recv_us, max(n) OVER w - n + 1 AS h, max(s) OVER w - s + bytes AS b
+  FROM (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY recv_us, event_id) AS n, sum(bytes) OVER (PARTITION BY flow_id ORDER BY recv_us, event_id ROWS UNBOUNDED PRECEDING) AS s FROM p)
+  WINDOW w AS (PARTITION BY flow_id ORDER BY recv_us RANGE BETWEEN CURRENT ROW AND 249999 FOLLOWING))""")
+def q10(spark, d):
+    return sequence.delay_line(_p(spark, d), 250_000, 5, 4000).select("event_id", "release_us", "shed")
+
+
+@query("j12_flushed_bundles", """SELECT flow_id, row_number() OVER (PARTITION BY flow_id ORDER BY tick, part) - 1 AS datagram, cells, first, last FROM (SELECT flow_id, tick, part, count(*) AS cells, min(vseq) AS first, max(vseq) AS last FROM (
+  SELECT *, (row_number() OVER (PARTITION BY flow_id, tick ORDER BY vseq) - 1) // 7 AS part FROM (SELECT *, (recv_us - min(recv_us) OVER (PARTITION BY flow_id)) // 200000 AS tick FROM p)) GROUP BY ALL)""")
+def j12(spark, d):
+    return rewrite.bundle(_p(spark, d), ["flow_id"], "vseq", time="recv_us", flush_us=200_000)
