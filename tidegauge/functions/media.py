@@ -53,7 +53,7 @@ def decode_pcm(data: Column, depth: int, channels: int) -> Column:
     level = (lambda v: F.floor(v / 16) / float(1 << 19)) if depth == 20 else (lambda v: v / float(1 << 8 * size - 1))
     one = lambda c: F.transform(F.sequence(F.lit(0), frames.cast("int") - 1), lambda i: level(signed(raw((i * channels + c) * size))))
     some = F.array(*[one(c) for c in range(channels)])
-    return F.when(F.length(data) % (size * channels) != 0, None).when(F.length(data) > 0, some).otherwise(F.array(*[F.array().cast("array<double>")] * channels))
+    return F.when(data.isNull() | (F.length(data) % (size * channels) != 0), None).when(F.length(data) > 0, some).otherwise(F.array(*[F.array().cast("array<double>")] * channels))
 
 
 def mix_channels(planes: Column, preset: str) -> Column:

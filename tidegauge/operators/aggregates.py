@@ -206,24 +206,6 @@ def clipping(frames: DataFrame, samples: str, size: int, level: float = 0.9975)
     return frames.groupBy(F.floor(F.col("frame") / size).alias("bucket")).agg(F.sum(n).alias("clipped"))
 
 
-def luma_metrics(frames: DataFrame, plane: str, width: int, height: int) -> DataFrame:
-    """Mean, variance of the Laplacian, blockiness on 8x8 edges' analogue at half the width, and
-    black rows at top and bottom, as array expressions over one plane."""
-    at = lambda x, y: F.get(plane, y * width + x)
-    inner = [4 * at(x, y) - at(x - 1, y) - at(x + 1, y) - at(x, y - 1) - at(x, y + 1) for y in range(1, height - 1) for x in range(1, width - 1)]
-    lap = F.array(*inner)
-    mean = lambda a, n: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    out = frames.withColumn("mean_luma", mean(F.col(plane), width * height)).withColumn("_l", lap).withColumn("_m", mean(F.col("_l"), len(inner)))
-    variance = F.aggregate("_l", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / len(inner)
-    half = width // 2
-    edge = F.array(*[F.abs(at(half, y) - at(half - 1, y)) for y in range(height)])
-    dark = lambda y: F.aggregate(F.slice(F.col(plane), y * width + 1, width), F.lit(True), lambda ok, x: ok & (x < 16))
-    top = F.lit(0)
-    for y in reversed(range(height)):
-        top = F.when(dark(y), top + 1).otherwise(0)
-    return out.withColumn("laplacian_variance", variance).withColumn("edge_step", mean(edge, height)).withColumn("dark_rows_top", top).drop("_l", "_m")
-
-
 def frame_difference(frames: DataFrame, plane: str, order: str, keys: list[str]) -> DataFrame:
     """Mean absolute difference to the previous frame."""
     before = F.lag(plane).over(Window.partitionBy(*keys).orderBy(order))
