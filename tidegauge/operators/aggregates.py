@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .fold import ordered_fold
+from .joins import met_in_spans
 
 
 def lagged(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -169,11 +170,12 @@ def recordings(segments: DataFrame, clips: DataFrame) -> DataFrame:
     return s.join(clips.groupBy("recording_id").agg(F.count(F.lit(1)).alias("clips")), "recording_id", "left").withColumn("clips", F.coalesce("clips", F.lit(0)))
 
 
-def bytes_in_range(segments: DataFrame, ranges: DataFrame) -> DataFrame:
+def bytes_in_range(segments: DataFrame, ranges: DataFrame, span: int = 64) -> DataFrame:
     """For each range (range_id, recording_id, from_segment, from_offset, to_segment, to_offset)
-    the bytes between."""
-    met = ranges.join(segments, "recording_id").where(F.col("segment_id").between(F.col("from_segment"), F.col("to_segment")))
-    end = F.when(F.col("segment_id") == F.col("to_segment"), F.col("to_offset")).otherwise(F.col("bytes"))
+    the bytes between; a range without segments isn't listed."""
+    sized = segments.select("recording_id", "segment_id", F.col("bytes").alias("segment_bytes"))
+    met = met_in_spans(ranges, sized, ["recording_id"], F.col("from_segment"), F.col("to_segment"), F.col("segment_id"), span, "inner")
+    end = F.when(F.col("segment_id") == F.col("to_segment"), F.col("to_offset")).otherwise(F.col("segment_bytes"))
     begin = F.when(F.col("segment_id") == F.col("from_segment"), F.col("from_offset")).otherwise(0)
     return met.groupBy("range_id").agg(F.sum(F.greatest(end - begin, F.lit(0))).alias("bytes"))
 

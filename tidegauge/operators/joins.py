@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,12 +56,23 @@ def av_pairs(units: DataFrame) -> DataFrame:
     return both.withColumn("other_pts", other).where(F.col("kind").isin("audio", "video") & F.col("other_pts").isNotNull()).drop("a", "v")
 
 
-def clip_ranges(clips: DataFrame, index: DataFrame, key: str, at: str) -> DataFrame:
+def met_in_spans(ranges: DataFrame, rows: DataFrame, keys: list[str], low: Column, high: Column, at: Column, span: int, how: str = "left") -> DataFrame:
+    """``ranges`` with each of the ``rows`` whose ``at`` is from ``low`` to ``high``, both ends included; a
+    range comes once for each span that it reaches over, without columns of rows where nothing in it is met.
+
+    Both are listed by the spans of ``span`` they touch, so a range never meets a whole key's rows, and a key's
+    rows spread over many tasks. rows must have names of their own, but for the keys."""
+    listed = ranges.withColumn("_span", F.explode_outer(F.sequence(F.floor(low / span), F.greatest(F.floor(high / span), F.floor(low / span)))))
+    placed = rows.withColumns({"_at_span": F.floor(at / span), "_at_place": at}).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k) == F.col(f"_of_{k}") for k in keys] + [F.col("_span") == F.col("_at_span"), F.col("_at_place").between(low, high)]
+    return listed.join(placed, reduce(lambda a, b: a & b, same), how).drop("_span", "_at_span", "_at_place", *[f"_of_{k}" for k in keys])
+
+
+def clip_ranges(clips: DataFrame, index: DataFrame, key: str, at: str, span: int = 5_400_000) -> DataFrame:
     """Index rows of each clip (clip_id, key, in_pts, out_pts), the start snapped to the last row at
     or before it; the end is floored too, so rows after the last one at or before out_pts stay out."""
     starts = floor_lookup(clips, index, key, at, "in_pts", [at]).withColumnRenamed(f"found_{at}", "start_pts")
-    i = index.select(F.col(key).alias("_k"), F.col(at).alias("_at"))
-    met = starts.join(i, (F.col(key) == F.col("_k")) & (F.col("_at") >= F.col("start_pts")) & (F.col("_at") <= F.col("out_pts")), "left")
+    met = met_in_spans(starts, index.select(key, F.col(at).alias("_at")), [key], F.col("start_pts"), F.col("out_pts"), F.col("_at"), span)
     return met.groupBy("clip_id", key, "start_pts").agg(F.count("_at").alias("entries"), F.max("_at").alias("end_pts"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .fold import ordered_fold
+from .joins import met_in_spans
 
 HALF = 0x8000
 
@@ -170,10 +171,9 @@ def leg_merge_counts(legs: DataFrame, hold_us: int) -> DataFrame:
     """Q4 by grouping: a second copy within the hold is a duplicate seen by both legs, a later one is
     late."""
     apart = F.max("recv_leg_us") - F.min("recv_leg_us")
-    one = legs.groupBy("flow_id", "vseq").agg(F.expr("bit_or(1 << leg)").alias("legs"), apart.alias("apart"), F.count(F.lit(1)).alias("n"))
+    one = legs.groupBy("flow_id", "vseq").agg(F.expr("bit_or(1 << leg)").alias("legs"), apart.alias("apart"), F.min_by("leg", F.struct("recv_leg_us", "leg")).alias("first"))
     both = (F.col("legs") == 3) & (F.col("apart") < hold_us)
-    first = legs.groupBy("flow_id", "vseq").agg(F.min_by("leg", F.struct("recv_leg_us", "leg")).alias("first"))
-    return one.join(first, ["flow_id", "vseq"]).groupBy("flow_id").agg(
+    return one.groupBy("flow_id").agg(
         F.count(F.lit(1)).alias("emitted"), F.count_if(both).alias("via_both"), F.count_if(~both & (F.col("first") == 0)).alias("leg0_only"), F.count_if(~both & (F.col("first") == 1)).alias("leg1_only"),
         F.count_if((F.col("legs") == 3) & (F.col("apart") >= hold_us)).alias("late_dropped"), F.coalesce(F.max(F.when(both, F.col("apart"))), F.lit(0)).alias("max_path_us"),
     )
@@ -338,13 +338,14 @@ def recover(rows: DataFrame, parities: DataFrame, columns: int, depth: int, valu
     return media.unionByName(checks).groupBy("flow_id", "cycle").applyInPandas(solve, "flow_id long, cycle long, cell long, value long")
 
 
-def splice_points(switches: DataFrame, units: DataFrame) -> DataFrame:
-    """Q21: for each switch (switch_id, flow_id, at_us, pts) the first unit (flow_id, recv_us, pts90,
+def splice_points(switches: DataFrame, units: DataFrame, span_us: int = 1_000_000) -> DataFrame:
+    """Q21: for each switch (switch_id, flow_id, at_us, pts, timeout_us) the first unit (flow_id, recv_us, pts90,
     key) of the flow after it whose stamp has reached the switch's (modulo 2**33, half range ahead)
     and that is a key unit; switches without one within timeout_us are timed out."""
-    ahead = F.pmod(F.col("u.pts90") - F.col("s.pts"), F.lit(1 << 33)) < (1 << 32)
-    met = switches.alias("s").join(units.alias("u"), (F.col("s.flow_id") == F.col("u.flow_id")) & (F.col("u.recv_us") >= F.col("s.at_us")) & (F.col("u.recv_us") <= F.col("s.at_us") + F.col("s.timeout_us")) & ahead & F.col("u.key"), "left")
-    return met.groupBy("s.switch_id", "s.flow_id").agg(F.min("u.recv_us").alias("splice_us")).withColumn("timed_out", F.col("splice_us").isNull())
+    keys = units.where("key").select("flow_id", F.col("recv_us").alias("unit_us"), "pts90")
+    met = met_in_spans(switches, keys, ["flow_id"], F.col("at_us"), F.col("at_us") + F.col("timeout_us"), F.col("unit_us"), span_us)
+    ahead = F.pmod(F.col("pts90") - F.col("pts"), F.lit(1 << 33)) < (1 << 32)
+    return met.groupBy("switch_id", "flow_id").agg(F.min(F.when(ahead, F.col("unit_us"))).alias("splice_us")).withColumn("timed_out", F.col("splice_us").isNull())
 
 
 def assemble(parts: list[DataFrame]) -> DataFrame:

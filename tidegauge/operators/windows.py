@@ -89,12 +89,11 @@ def trust(drifts: DataFrame, keys: list[str], reservoir: int = 4096, short: int
     """Percentiles over the last ``reservoir`` drifts and the last ``short``; the mean is over
     all of them."""
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("vseq")))
-    total = drifts.groupBy(*keys).agg(F.count(F.lit(1)).alias("cumulative_samples"), F.floor(F.sum("drift_us") / F.count(F.lit(1))).alias("avg_us"))
+    among = lambda n: F.when(F.col("back") <= n, F.col("drift_us"))
+    ranked = drifts.withColumn("back", back).withColumns({"held": among(reservoir), "recent": among(short)})
     p = lambda c, q: F.round(F.percentile(c, q)).cast("long")
-    last = drifts.withColumn("back", back).where(F.col("back") <= reservoir)
-    recent = F.when(F.col("back") <= short, F.col("drift_us"))
-    stats = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), p("drift_us", 0.5).alias("p50_us"), p("drift_us", 0.95).alias("p95_us"), p("drift_us", 0.99).alias("p99_us"), F.max("drift_us").alias("max_us"), p(recent, 0.95).alias("window_p95_us"))
-    return total.join(stats, keys)
+    mean = F.floor(F.sum("drift_us") / F.count(F.lit(1)))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("cumulative_samples"), mean.alias("avg_us"), F.count("held").alias("samples"), p("held", 0.5).alias("p50_us"), p("held", 0.95).alias("p95_us"), p("held", 0.99).alias("p99_us"), F.max("held").alias("max_us"), p("recent", 0.95).alias("window_p95_us"))
 
 
 def running_percentile(rows: DataFrame, keys: list[str], order: str, value: str, size: int, p: float) -> DataFrame:

@@ -180,7 +180,7 @@ s AS (SELECT clip_id, coalesce((SELECT max(vseq) FROM i WHERE i.flow_id = c.flow
 def l6(spark, d):
     p = packets(spark, d)
     clips = p.where("event_type = 'signup'").select(F.col("event_id").alias("clip_id"), "flow_id", F.col("vseq").alias("in_pts"), (F.col("vseq") + 60).alias("out_pts"))
-    return joins.clip_ranges(clips, p.where("event_type = 'purchase'"), "flow_id", "vseq")
+    return joins.clip_ranges(clips, p.where("event_type = 'purchase'"), "flow_id", "vseq", span=64)
 
 
 @query("l8_unreferenced_pids", "SELECT DISTINCT flow_id, pid FROM p WHERE (flow_id, pid) NOT IN (SELECT flow_id, pid FROM p WHERE kind = 'video')")
