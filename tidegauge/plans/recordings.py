@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as a
-from ..sources import export, library
+from ..sources import export, fragments, library
 from .binding import packets, table
 from .registry import query
 
@@ -103,3 +103,11 @@ def t6(spark, d):
 @query("s19_media_library")
 def s19(spark, d):
     return library.library_use(library.media_files(spark, d))
+
+
+@query("k6_media_segments", """SELECT flow_id, segment_id, count(*) AS samples, (min(vseq) * 3600)::BIGINT AS first_dts, (count(*) * 3600)::BIGINT AS duration, (24 + 8 + 16 + 8 + 16 + 20 + 20 + 16 * count(*) + 8 + sum(bytes // 188))::INTEGER AS size
+  FROM (SELECT *, vseq // 50 AS segment_id FROM p) GROUP BY flow_id, segment_id""")
+def k6_segments(spark, d):
+    p = packets(spark, d).withColumns({"segment_id": F.expr("vseq div 50"), "dts": F.col("vseq") * 3600, "duration": F.lit(3600).cast("long"), "offset": F.lit(0).cast("long"), "key": F.col("vseq") % 50 == 0})
+    made = fragments.media_segments(p.withColumn("data", F.encode(F.repeat(F.lit("x"), F.expr("int(bytes div 188)")), "utf-8")), ["flow_id"])
+    return made.select("flow_id", "segment_id", "samples", "first_dts", "duration", F.length("data").alias("size"))
