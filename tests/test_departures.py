@@ -119,3 +119,49 @@ def test_bundles_leave_at_ticks(spark):
     df = spark.createDataFrame([(1, n, t) for n, t in enumerate(times)], "k int, n long, t long")
     got = [(r["datagram"], r["cells"], r["first"], r["last"]) for r in rewrite.bundle(df, ["k"], "n", time="t").orderBy("datagram").collect()]
     assert got == [(0, 7, 0, 6), (1, 2, 7, 8), (2, 1, 9, 9), (3, 1, 10, 10)]
+
+
+def plain_shares(members, capacity):
+    """Tier by tier, member by member in order of cap / weight."""
+    out, left = {}, capacity
+    for tier in sorted({m[3] for m in members}):
+        own = sorted(((min(d, h) / w, i, min(d, h), w) for i, d, h, t, w in members if t == tier))
+        weights, rest = sum(m[3] for m in own), left
+        for _, i, cap, w in own:
+            out[i] = min(cap, rest * w / weights)
+            rest, weights = rest - out[i], weights - w
+        left = max(rest, 0.0)
+    return out
+
+
+@pytest.mark.parametrize("capacity", [0.0, 1.0, 57.0, 150.0, 1e9])
+def test_shares(spark, capacity):
+    import random
+
+    rng = random.Random(int(capacity))
+    members = [(i, rng.uniform(0, 30), rng.choice([5.0, 20.0, 100.0]), rng.randint(0, 2), rng.choice([1.0, 2.0, 5.0])) for i in range(12)]
+    df = spark.createDataFrame([(1, *m) for m in members], "leg_id long, member_id long, demand double, hard_cap double, tier int, weight double")
+    caps = spark.createDataFrame([(1, capacity)], "leg_id long, capacity double")
+    got = {r["member_id"]: r["share"] for r in aggregates.max_min_shares(df, caps).collect()}
+    want = plain_shares(members, capacity)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("lost_of_ten", [1, 3, 5])
+def test_recovery_is_right_and_complete(spark, lost_of_ten):
+    """Whatever is restored is what was lost, and no line is left that lacks a single cell."""
+    import random
+
+    rng = random.Random(lost_of_ten)
+    rows = [(1, n, rng.randint(0, 1 << 40)) for n in range(400)]
+    df = spark.createDataFrame(rows, "flow_id long, vseq long, v long")
+    kept = [r for r in rows if rng.random() * 10 >= lost_of_ten]
+    parities = sequence.parity(df, 5, 4, ["v"])
+    got = {(r["cycle"], r["cell"]): r["value"] for r in sequence.recover(spark.createDataFrame(kept, df.schema), parities, 5, 4, "v").collect()}
+    truth = {divmod(n, 20): v for _, n, v in rows}
+    have = {divmod(n, 20) for _, n, _ in kept}
+    assert all(truth[k] == v and k not in have for k, v in got.items()) and got
+    have |= set(got)
+    for cycle in range(20):
+        for line in [[c + 5 * r for r in range(4)] for c in range(5)] + [[r * 5 + c for c in range(5)] for r in range(4)]:
+            assert sum((cycle, cell) not in have for cell in line) != 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -274,21 +273,18 @@ def programs(streams: DataFrame) -> DataFrame:
 
 def max_min_shares(members: DataFrame, capacities: DataFrame) -> DataFrame:
     """(leg_id, member_id, share) by strict tiers (tier 0 first) and, within a tier, weighted
-    max-min fairness: members in order of cap / weight take the smaller of their cap and their
-    weight's part of what is left. caps are min(demand, hard_cap). A leg is one group, of its
-    members."""
-    def share(group: pd.DataFrame) -> pd.DataFrame:
-        left = float(group["capacity"].iloc[0])
-        group = group.assign(share=0.0, cap=group[["demand", "hard_cap"]].min(axis=1).clip(lower=0), weight=group["weight"].clip(lower=1e-9))
-        if not 0 < left < float("inf"):
-            left = 0.0
-        for _, tier in group.groupby("tier"):
-            weights, rest = tier["weight"].sum(), left
-            for i, m in tier.assign(fill=tier["cap"] / tier["weight"]).sort_values(["fill", "member_id"]).iterrows():
-                given = min(m["cap"], rest * m["weight"] / weights) if weights > 0 else 0.0
-                group.loc[i, "share"] = given
-                rest, weights = rest - given, weights - m["weight"]
-            left = max(rest, 0.0)
-        return group[["leg_id", "member_id", "share"]]
-
-    return members.join(capacities, "leg_id").groupBy("leg_id").applyInPandas(share, "leg_id long, member_id long, share double")
+    max-min fairness. caps are min(demand, hard_cap), 0 at least; a capacity that isn't positive and finite is 0.
+
+    A tier gets what the caps of those before it leave. Its level is the largest, over members in order of
+    cap / weight, of (what is left less the caps before) / (weights from here on): it rises as long as caps
+    stay below it and falls after. Every share is the smaller of the cap and the weight times that level."""
+    capacity = F.when((F.col("capacity") > 0) & (F.col("capacity") < float("inf")), F.col("capacity").cast("double")).otherwise(0.0)
+    given = members.join(capacities, "leg_id").withColumns({"left": capacity, "cap": F.greatest(F.least("demand", "hard_cap"), F.lit(0.0)), "w": F.greatest("weight", F.lit(1e-9))})
+    tier, leg = Window.partitionBy("leg_id", "tier"), Window.partitionBy("leg_id").orderBy("tier")
+    used = F.sum("cap").over(leg.rangeBetween(Window.unboundedPreceding, -1))
+    filled = given.withColumn("left", F.greatest(F.col("left") - F.coalesce(used, F.lit(0.0)), F.lit(0.0)))
+    by_fill = tier.orderBy(F.col("cap") / F.col("w"), "member_id")
+    before = F.coalesce(F.sum("cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    here_on = F.sum("w").over(by_fill.rowsBetween(0, Window.unboundedFollowing))
+    level = filled.withColumn("g", (F.col("left") - before) / here_on).withColumn("level", F.max("g").over(tier))
+    return level.select("leg_id", "member_id", F.least(F.col("cap"), F.greatest(F.col("level"), F.lit(0.0)) * F.col("w")).alias("share"))

@@ -330,9 +330,12 @@ def a28(spark, d):
     return a.programs(streams)
 
 
-@query("a24_max_min_shares")
+@query("a24_max_min_shares", """SELECT leg_id, member_id, round(least(cap, greatest(level, 0) * w), 6) AS share FROM (SELECT *, max((rest - before) / here_on) OVER (PARTITION BY leg_id, tier) AS level FROM (
+  SELECT *, greatest(50000 - coalesce(used, 0), 0) AS rest, coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here_on
+  FROM (SELECT *, sum(cap) OVER (PARTITION BY leg_id ORDER BY tier RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM mem) WINDOW f AS (PARTITION BY leg_id, tier ORDER BY cap / w, member_id)))""",
+    "mem AS (SELECT flow_id AS leg_id, pid AS member_id, least(sum(bytes), 40000)::DOUBLE AS cap, (1 + max(cents) % 3)::DOUBLE AS w, (pid % 3)::INTEGER AS tier FROM p GROUP BY flow_id, pid)")
 def a24(spark, d):
-    members = packets(spark, d).groupBy(F.col("flow_id").alias("leg_id"), F.col("pid").alias("member_id")).agg(F.sum("bytes").cast("double").alias("demand"), F.lit(40_000.0).alias("hard_cap"), (1 + F.max("cents") % 3).cast("double").alias("weight"), (F.first("pid") % 3).cast("int").alias("tier"))
+    members = packets(spark, d).groupBy(F.col("flow_id").alias("leg_id"), F.col("pid").alias("member_id")).agg(F.sum("bytes").cast("double").alias("demand"), F.lit(40_000.0).alias("hard_cap"), (1 + F.max("cents") % 3).cast("double").alias("weight"), (F.max("pid") % 3).cast("int").alias("tier"))
     return a.max_min_shares(members, members.select("leg_id").distinct().withColumn("capacity", F.lit(50_000.0))).withColumn("share", F.round("share", 6))
 
 
