@@ -287,6 +287,29 @@ def test_lines_with_changed_words_and_letters(spark):
     assert list(line_dedup.line_decisions(df, "uid").first()["dropped"]) == want and len(want) > 30
 
 
+def test_lines_with_letters_changed_all_over(spark):
+    """Lines of which each second or third word has a letter changed, added or taken away (an edit similarity
+    of 0.94 and more): no run of three whole words is left. Lines of other words stay."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
+    rows, pairs = [], 0
+    for n in (8, 12, 18, 30, 60):
+        for every in (2, 3):
+            for put, skip in (("#", 1), ("#", 0), ("", 1)):
+                for _ in range(6):
+                    words = [word() for _ in range(n)]
+                    other = list(words)
+                    for i in range(0, n, every):
+                        at = int(rng.integers(0, 8))
+                        other[i] = other[i][:at] + put + other[i][at + skip:]
+                    rows.append((pairs, "\n".join([" ".join(words), " ".join(other), " ".join(word() for _ in range(n))])))
+                    pairs += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.col("doc_id"))
+    got = [list(r["dropped"]) for r in line_dedup.line_decisions(df, "uid").collect()]
+    assert all(x in ([], [1]) for x in got)
+    assert got.count([1]) >= 0.95 * pairs, got.count([1])
+
+
 def test_near_duplicates(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     out = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op4_simhash_near_dedup(spark, sf_dir).collect()}
