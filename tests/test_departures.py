@@ -165,3 +165,39 @@ def test_recovery_is_right_and_complete(spark, lost_of_ten):
     for cycle in range(20):
         for line in [[c + 5 * r for r in range(4)] for c in range(5)] + [[r * 5 + c for c in range(5)] for r in range(4)]:
             assert sum((cycle, cell) not in have for cell in line) != 1
+
+
+@pytest.mark.parametrize("lost_of_ten", [1, 3, 5])
+def test_byte_recovery_is_that_of_a_plain_loop(spark, lost_of_ten, monkeypatch):
+    """Payloads of any length, an empty one included, from matrices that begin at odd bases, first packets and
+    parities lost, in slices of a few matrices."""
+    import random
+
+    from tidegauge.operators import erasure
+
+    monkeypatch.setattr(erasure, "AT_ONCE", 3000)
+    rng = random.Random(lost_of_ten)
+    sent = {(f, n): rng.randbytes(rng.choice([0, 1, 7, 40])) for f in (1, 2) for n in range(200)}
+    rows = [(f, n, bytearray(data)) for (f, n), data in sent.items()]
+    bases = [(f, b) for f in (1, 2) for b in range(f, 200, 12)]
+    media = spark.createDataFrame(rows, "flow_id long, vseq long, payload binary")
+    parities = erasure.byte_parity(media, spark.createDataFrame(bases, "flow_id long, base long"), 4, 3)
+    told = parities.collect()
+    assert len(told) == 7 * sum(b + 12 <= 200 for _, b in bases)
+    checks = [r for r in told if rng.random() > 0.1]
+    kept = {k: v for k, v in sent.items() if rng.random() * 10 >= lost_of_ten}
+    arrived = spark.createDataFrame([(*k, bytearray(v)) for k, v in kept.items()], media.schema)
+    got = {(r["flow_id"], r["vseq"]): bytes(r["payload"]) for r in erasure.recover_bytes(arrived, spark.createDataFrame(checks, parities.schema), 4, 3).collect()}
+    lines = [{(r["flow_id"], r["base"] + (r["index"] + 4 * i if r["is_column"] else 4 * r["index"] + i)) for i in range(3 if r["is_column"] else 4)} for r in checks]
+    have = set(kept)
+    while more := {next(iter(line - have)) for line in lines if len(line - have) == 1}:
+        have |= more
+    assert got == {k: sent[k] for k in have - set(kept)} and got
+
+
+def test_byte_recovery_of_nothing(spark):
+    from tidegauge.operators import erasure
+
+    media = spark.createDataFrame([], "flow_id long, vseq long, payload binary")
+    parities = erasure.byte_parity(media, spark.createDataFrame([(1, 0)], "flow_id long, base long"), 4, 3)
+    assert parities.count() == 0 and erasure.recover_bytes(media, parities, 4, 3).count() == 0

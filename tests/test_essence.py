@@ -35,6 +35,50 @@ def test_h264_parameters(spark):
     assert tuple(one(spark, unit, essence.picture_parameters)) == got
 
 
+def code(value):
+    digits = f"{value + 1:b}"
+    return "0" * (len(digits) - 1) + digits
+
+
+def h265_unit(below=0, told=(), chroma=1, window=None, scaling="0", tools="000", sets=None, long_term="0", vui="0"):
+    """A parameter set as its bits, written field by field."""
+    bits = "0000" + f"{below:03b}" + "1" + "00" + "1" + "00010" + "0" * 80 + f"{123:08b}"
+    if below:
+        bits += "".join(told) + "00" * (8 - below) + "".join("1" * (88 * int(t[0]) + 8 * int(t[1])) for t in told)
+    bits += code(0) + code(chroma) + ("0" if chroma == 3 else "") + code(1920) + code(1088)
+    bits += "1" + "".join(map(code, window)) if window else "0"
+    bits += code(2) * 2 + code(4) + "1" + code(3) * 3 * (below + 1) + code(0) * 6 + scaling + tools + (sets or code(0)) + long_term + "11" + vui
+    data = int(bits + "1" + "0" * (-len(bits) - 1 & 7), 2).to_bytes((len(bits) + 8) // 8, "big")
+    escaped, zeros = b"\x42\1", 0
+    for byte in data:
+        if zeros >= 2 and byte < 4:
+            escaped, zeros = escaped + b"\3", 0
+        escaped, zeros = escaped + bytes([byte]), zeros + 1 if byte == 0 else 0
+    return escaped
+
+
+RATE = "1" + "1" + "11111111" + "0" * 32 + "11" + "1" + "0" * 4 + "1" + "0" * 24 + "1" + "11" + "000" + "1" + "1" * 4 + "1" + f"{1001:032b}{60000:032b}"
+SETS = code(4) + code(1) + code(2) + code(0) + "1" + code(1) + "1" + code(0) + "0" + "1" + "1" + code(0) + "1" + "01" + "00" + "1" + "0" + code(0) * 2 + "1" + "0" + code(4) + "1"
+LISTS = "11" + ("0" + code(0)) * 5 + "1" + code(3) * 16 + ("0" + code(1)) * 5 + "1" + code(2) * 64 + ("0" + code(0)) * 5 + "1" + code(1) * 65 + "0" + code(0) + "1" + code(0) * 65
+
+
+@pytest.mark.parametrize("fields,want", [
+    ({}, (1920, 1088, None)), ({"window": (0, 0, 0, 4)}, (1920, 1080, None)), ({"chroma": 2, "window": (1, 2, 3, 4)}, (1914, 1081, None)),
+    ({"chroma": 3, "window": (1, 2, 3, 4), "vui": RATE}, (1917, 1081, 60000 / 1001)), ({"vui": RATE, "below": 2, "told": ("10", "11")}, (1920, 1088, 60000 / 1001)),
+    ({"vui": RATE, "scaling": LISTS}, (1920, 1088, 60000 / 1001)), ({"vui": RATE, "tools": "111" + "0" * 8 + code(1) * 2 + "1"}, (1920, 1088, 60000 / 1001)),
+    ({"vui": RATE, "sets": SETS, "long_term": "1" + code(2) + "010101011" * 2}, (1920, 1088, 60000 / 1001)), ({"vui": RATE[:-40]}, (1920, 1088, None)),
+])
+def test_h265_parameters(fields, want):
+    stream = b"\0\0\0\1\x40\1\x0c\0\0\1" + h265_unit(**fields) + b"\0\0\1\x44\1"
+    assert essence.h265_parameters_of(stream) == (*want, "Main 10", "4.1")
+
+
+def test_h265_sets_that_end_early():
+    unit = h265_unit()
+    assert all(essence.h265_parameters_of(unit[:n]) is None for n in range(18)) and essence.h265_parameters_of(None) is None
+    assert essence.h265_parameters_of(b"\0\0\1\x67\x64\0\x1f\xac") is None
+
+
 def test_mpeg2_extension():
     head = b"\0\0\1\xb3" + ((3840 - 4096 * 0) << 20 | 64 << 8 | 0x13).to_bytes(4, "big") + b"\xff\xff\xe0\0"
     extension = b"\0\0\1\xb5" + (1 << 20 | 0x44 << 12 | 1 << 11 | 1 << 9 | 0 << 7 | 1 << 5).to_bytes(3, "big") + bytes(4)

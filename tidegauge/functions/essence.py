@@ -30,6 +30,9 @@ MPEG2_LEVELS = {4: "High", 6: "High-1440", 8: "Main", 10: "Low"}
 H264_PROFILES = {66: "Baseline", 77: "Main", 88: "Extended", 100: "High", 110: "High 10", 122: "High 4:2:2", 244: "High 4:4:4 Predictive"}
 H264_WITH_CHROMA = (100, 110, 122, 244, 44, 83, 86, 118, 128, 138, 139, 134, 135)
 
+#: Names of H.265 profiles. Fixed values.
+H265_PROFILES = {1: "Main", 2: "Main 10", 3: "Main Still Picture", 4: "Range Extensions", 5: "High Throughput"}
+
 
 def _one_of(values: list, index: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
@@ -167,6 +170,111 @@ def h264_parameters(unit: bytes):
     return columns * 16 - x * (left + right), fields * rows * 16 - y * (top + bottom), rate, H264_PROFILES.get(profile, "Unknown"), f"{level // 10}.{level % 10}"
 
 
+def _h265_layers(b: Bits, below: int) -> tuple[int, int]:
+    """Profile and level that hold for all layers; what each of the ``below`` lower ones says is passed over."""
+    profile = b.read(8) & 31
+    b.read(80)
+    level = b.read(8)
+    if below:
+        told = [b.read(2) for _ in range(8)]
+        b.read(sum(88 * (t >> 1) + 8 * (t & 1) for t in told[:below]))
+    return profile, level
+
+
+def _h265_scaling(b: Bits) -> None:
+    for step in range(4):
+        for _ in range(6 if step < 3 else 2):
+            if b.read():
+                for _ in range(min(64, 16 << 2 * step) + (step > 1)):
+                    b.signed()
+            else:
+                b.unsigned()
+
+
+def _h265_reference_sets(b: Bits) -> None:
+    """Short-term sets of pictures that are referred to, each by its distances (before, then after, nearest first);
+    a set may be told by what it takes over from the one before it."""
+    last: list[int] = []
+    for n in range(b.unsigned()):
+        if n and b.read():
+            shift = (-1) ** b.read() * (b.unsigned() + 1)
+            moved = [d + shift for d in [*last, 0] if b.read() or b.read()]
+            last = sorted((d for d in moved if d < 0), reverse=True) + sorted(d for d in moved if d > 0)
+        else:
+            counts, last = (b.unsigned(), b.unsigned()), []
+            for count, sign in zip(counts, (-1, 1), strict=True):
+                at = 0
+                for _ in range(count):
+                    at += sign * (b.unsigned() + 1)
+                    b.read()
+                    last.append(at)
+
+
+def _h265_rate(b: Bits, below: int) -> float | None:
+    """Pictures a second, from all that comes after the size; null where it isn't told or the set ends too early."""
+    try:
+        b.unsigned(), b.unsigned()
+        order_bits = b.unsigned() + 4
+        for _ in range(3 * (below + 1 if b.read() else 1) + 6):
+            b.unsigned()
+        if b.read() and b.read():
+            _h265_scaling(b)
+        b.read(2)
+        if b.read():
+            b.read(8), b.unsigned(), b.unsigned(), b.read()
+        _h265_reference_sets(b)
+        if b.read():
+            b.read(b.unsigned() * (order_bits + 1))
+        b.read(2)
+        if not b.read():
+            return None
+        if b.read() and b.read(8) == 255:
+            b.read(32)
+        if b.read():
+            b.read()
+        if b.read():
+            b.read(4)
+            b.read(24 * b.read())
+        if b.read():
+            b.unsigned(), b.unsigned()
+        b.read(3)
+        for _ in range(4 * b.read()):
+            b.unsigned()
+        if b.read():
+            tick, scale = b.read(32), b.read(32)
+            return scale / tick if tick and scale else None
+    except EOFError:
+        pass
+    return None
+
+
+def h265_parameters(unit: bytes):
+    """(width, height, frame_rate, profile, level) of an H.265 sequence parameter set, its two first bytes
+    included; null if it ends before the size is told."""
+    b = Bits(unescaped(unit)[2:])
+    try:
+        below = b.read(8) >> 1 & 7
+        profile, level = _h265_layers(b, below)
+        b.unsigned()
+        chroma = b.unsigned()
+        b.read(chroma == 3)
+        width, height = b.unsigned(), b.unsigned()
+        left, right, top, bottom = [b.unsigned() for _ in range(4)] if b.read() else [0] * 4
+    except EOFError:
+        return None
+    width -= (2 if chroma in (1, 2) else 1) * (left + right)
+    height -= (2 if chroma == 1 else 1) * (top + bottom)
+    return (width, height, _h265_rate(b, below), H265_PROFILES.get(profile, "Unknown"), f"{level // 30}.{level % 30 // 3}") if width > 0 and height > 0 else None
+
+
+def h265_parameters_of(data: bytes | None):
+    """Of the first H.265 sequence parameter set (type 33) in a stream."""
+    for unit in re.split(b"\0\0\1", data or b""):
+        if len(unit) >= 4 and unit[0] >> 1 & 0x3F == 33:
+            return h265_parameters(unit)
+    return None
+
+
 def mpeg2_parameters(data: bytes):
     """The same of the first sequence header, with its extension if that comes next."""
     at = data.find(b"\0\0\1\xb3")
@@ -196,7 +304,15 @@ def parameters_of(data: bytes | None):
     return mpeg2_parameters(data)
 
 
+def _pictures(found) -> pd.DataFrame:
+    return pd.DataFrame([f or (None,) * 5 for f in found], columns=["width", "height", "frame_rate", "profile", "level"]).astype({"width": "Int32", "height": "Int32", "frame_rate": "float64"})
+
+
 @on_call("struct<width:int,height:int,frame_rate:double,profile:string,level:string>")
 def picture_parameters(data: pd.Series) -> pd.DataFrame:
-    found = [parameters_of(d) or (None,) * 5 for d in data]
-    return pd.DataFrame(found, columns=["width", "height", "frame_rate", "profile", "level"]).astype({"width": "Int32", "height": "Int32", "frame_rate": "float64"})
+    return _pictures(map(parameters_of, data))
+
+
+@on_call("struct<width:int,height:int,frame_rate:double,profile:string,level:string>")
+def picture_parameters_h265(data: pd.Series) -> pd.DataFrame:
+    return _pictures(map(h265_parameters_of, data))

@@ -59,6 +59,29 @@ def p16_h264(spark, d):
     return packets(spark, d).select("event_id", essence.picture_parameters(unit).alias("a")).select("event_id", "a.width", "a.height", "a.profile", "a.level")
 
 
+@query("p16_h265", """SELECT event_id, (cents % 3840 + 9 - 2 * (cents % 4))::INTEGER AS width, (cents % 2160 + 9 - 2 * (cents % 3))::INTEGER AS height, round((cents % 120 + 1) * 1000 / 1001::DOUBLE, 6) AS frame_rate,
+  CASE WHEN event_type = 'view' THEN 'Main 10' ELSE 'Main' END AS profile, (cents % 4 + 3) || '.' || cents % 2 AS level FROM p""")
+def p16_h265(spark, d):
+    """Sets with one lower layer where events are views, each escaped as streams are."""
+    def code(value):
+        digits = F.bin(value + 1)
+        return F.lpad(digits, 2 * F.length(digits) - 1, "0")
+
+    fixed = lambda value, n: F.lpad(F.bin(value), n, "0")
+    view, ones = F.col("event_type") == "view", F.lit("1" * 80)
+    level = (_cents() % 4 + 3) * 30 + _cents() % 2 * 3
+    layers = F.concat(fixed(F.when(view, 2).otherwise(1), 8), ones, fixed(level, 8), F.when(view, F.concat(F.lit("11" + "0" * 14 + "00000010"), ones, F.lit("01011101"))).otherwise(""))
+    size = F.concat(F.lit("1" + "010"), code(_cents() % 3840 + 9), code(_cents() % 2160 + 9), F.lit("1"), code(_cents() % 4), F.lit("1"), code(_cents() % 3), F.lit("1"))
+    middle = F.concat(F.lit("111" + "1"), F.when(view, F.lit("1" * 6)).otherwise("1" * 3), F.lit("1" * 6 + "0" * 4), F.lit("1" + "0" * 3))
+    rate = F.concat(F.lit("1" + "0000" + "000" + "0" + "1"), fixed(F.lit(1001), 32), fixed((_cents() % 120 + 1) * 1000, 32), F.lit("1"))
+    bits = F.concat(F.when(view, "00000011").otherwise("00000001"), layers, size, middle, rate)
+    octets = F.transform(F.sequence(F.lit(0), F.floor((F.length(bits) - 1) / 8).cast("int")), lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, i * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0"))
+    escaped = F.regexp_replace(F.array_join(octets, ""), r"\G((?:..)*?)0000(?=0[0-3])", "$1000003")
+    unit = F.concat(F.lit(b"\0\0\0\1\x40\1\x0c\1\0\0\1\x42\1"), F.unhex(escaped))
+    told = packets(spark, d).select("event_id", essence.picture_parameters_h265(unit).alias("a"))
+    return told.select("event_id", "a.width", "a.height", F.round("a.frame_rate", 6).alias("frame_rate"), "a.profile", "a.level")
+
+
 @query("p16_mpeg2", """SELECT event_id, (cents % 4000 + 1)::INTEGER AS width, (cents % 3000 + 1)::INTEGER AS height, CASE WHEN cents % 16 BETWEEN 1 AND 8 THEN round([24000 / 1001::DOUBLE, 24, 25, 30000 / 1001::DOUBLE, 30, 50, 60000 / 1001::DOUBLE, 60][cents % 16], 6) END AS frame_rate FROM p""")
 def p16_mpeg2(spark, d):
     data = F.concat(F.lit(b"\0\0\1\xb3"), big_endian((_cents() % 4000 + 1) * (1 << 20) + (_cents() % 3000 + 1) * 256 + 16 + _cents() % 16, 4), F.lit(b"\xff" * 4))

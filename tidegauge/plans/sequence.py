@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import erasure
 from ..operators import sequence as q
 from .binding import legs, packets
 from .registry import query
@@ -87,6 +88,28 @@ def q13(spark, d):
     return q.recover(p.where("event_id % 13 != 0"), q.parity(p, 5, 4, ["cents"]), 5, 4, "cents")
 
 
+def _sent(spark, d):
+    """Packets with payloads of one to some 20 bytes, and the bases of matrices that begin at another number in each flow."""
+    sent = packets(spark, d).select("event_id", "flow_id", "vseq", F.repeat(F.hex("cents"), 1 + (F.col("event_id") % 3).cast("int")).cast("binary").alias("payload"))
+    last = sent.groupBy("flow_id").agg(F.max("vseq").alias("last"))
+    return sent, last.select("flow_id", F.explode(F.sequence(F.col("flow_id") % 20, F.col("last") + F.col("flow_id") % 20, F.lit(20).cast("long"))).alias("base"))
+
+
+@query("q12_byte_parity", """SELECT flow_id, base, count_if(is_column) AS columns, count_if(NOT is_column) AS rows FROM (SELECT flow_id, base, unnest([true, true, true, true, true, false, false, false, false]) AS is_column FROM (
+  SELECT flow_id, (vseq - flow_id % 20) // 20 * 20 + flow_id % 20 AS base FROM p WHERE vseq >= flow_id % 20 GROUP BY ALL HAVING count(DISTINCT vseq) = 20)) GROUP BY ALL""")
+def q12_bytes(spark, d):
+    sent, bases = _sent(spark, d)
+    return erasure.byte_parity(sent, bases, 5, 4).groupBy("flow_id", "base").agg(F.count_if("is_column").alias("columns"), F.count_if(~F.col("is_column")).alias("rows"))
+
+
+@query("q13_byte_recovery")
+def q13_bytes(spark, d):
+    """Packets lost on the way that parity restores; one parity packet in eleven is lost too."""
+    sent, bases = _sent(spark, d)
+    arrived = erasure.byte_parity(sent, bases, 5, 4).where((F.col("base") + F.col("index")) % 11 != 0)
+    return erasure.recover_bytes(sent.where("event_id % 7 != 0"), arrived, 5, 4).select("flow_id", "vseq", F.col("payload").cast("string").alias("payload"))
+
+
 @query("q14_realign", """SELECT flow_id, m, CASE WHEN (new_base - base + 65536) % 65536 < 20 OR (base - new_base + 65536) % 65536 < 20 THEN array_to_string(list_filter(list_transform(seqs, lambda s: (s - new_base + 65536) % 65536), lambda x: x < 20), ',') END AS places
   FROM (SELECT flow_id, vseq // 20 AS m, min(vseq) % 65536 AS base, (min(vseq) + arg_min(cents, vseq) % 60 - 30 + 65536) % 65536 AS new_base, list(seq ORDER BY vseq) AS seqs FROM p GROUP BY ALL)""")
 def q14(spark, d):
