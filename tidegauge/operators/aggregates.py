@@ -41,9 +41,33 @@ def tumbling(rows: DataFrame, keys: list[str], time_us: str, size_us: int, *aggs
     return rows.groupBy(*keys, F.floor(F.col(time_us) / size_us).alias("window")).agg(*aggs)
 
 
+def between_ranks(low: Column, high: Column, place: Column) -> Column:
+    """The value at ``place`` (from 0) between those at the ranks around it, rounded to a whole number; null where
+    there is none. Both take their shares, and the lower one's is added without being rounded first, as SQL's
+    quantile_cont does it: what lies half between two whole numbers comes out on the same side."""
+    share = place - F.floor(place)
+    added = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low.cast("double"), F.floor(place) + 1 - place, high.cast("double") * share)
+    return F.when(low.isNotNull(), F.round(added.cast("double"))).cast("long")
+
+
+def ends_of(values: Column, p: float) -> Column:
+    """(low, high, place) of ``between_ranks`` for an array; nulls are left out."""
+    def of(v):
+        place = (F.size(v) - 1) * F.lit(p)
+        return F.struct(F.get(v, F.floor(place).cast("int")).alias("low"), F.get(v, F.ceil(place).cast("int")).alias("high"), place.alias("place"))
+
+    return F.get(F.transform(F.array(F.array_sort(F.array_compact(values))), of), F.lit(0))
+
+
 def percentiles(rows: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
-    """A5: exact, interpolated between ranks, rounded to integers."""
-    return rows.groupBy(*keys).agg(*[F.round(F.percentile(value, p)).cast("long").alias(f"p{p * 100:g}".replace(".", "_")) for p in ps])
+    """A5: exact, interpolated between ranks, rounded to integers. Ranked by a window, so no group is
+    gathered in one row."""
+    w = Window.partitionBy(*keys)
+    ranked = rows.select(*keys, F.col(value).alias("_v")).withColumn("_n", F.count("_v").over(w)).withColumn("_i", F.row_number().over(w.orderBy(F.asc_nulls_last("_v"))) - 1)
+    place = {p: (F.col("_n") - 1) * F.lit(p) for p in ps}
+    at = lambda rank: F.max(F.when(F.col("_i") == rank, F.col("_v")))
+    ends = ranked.groupBy(*keys, "_n").agg(*[at(end(place[p])).alias(f"_{side}{k}") for k, p in enumerate(ps) for side, end in (("low", F.floor), ("high", F.ceil))])
+    return ends.select(*keys, *[between_ranks(F.col(f"_low{k}"), F.col(f"_high{k}"), place[p]).alias(f"p{p * 100:g}".replace(".", "_")) for k, p in enumerate(ps)])
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], order: list[str], value: str, p: float) -> DataFrame:

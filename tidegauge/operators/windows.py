@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.clock import PCR_WRAP, PTS_WRAP, forward_gap, pts_delta_ms
+from .aggregates import between_ranks, ends_of
 from .fold import ordered_fold
 
 MOST_STEP_US = 500_000
@@ -91,15 +92,19 @@ def trust(drifts: DataFrame, keys: list[str], reservoir: int = 4096, short: int
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("vseq")))
     among = lambda n: F.when(F.col("back") <= n, F.col("drift_us"))
     ranked = drifts.withColumn("back", back).withColumns({"held": among(reservoir), "recent": among(short)})
-    p = lambda c, q: F.round(F.percentile(c, q)).cast("long")
     mean = F.floor(F.sum("drift_us") / F.count(F.lit(1)))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("cumulative_samples"), mean.alias("avg_us"), F.count("held").alias("samples"), p("held", 0.5).alias("p50_us"), p("held", 0.95).alias("p95_us"), p("held", 0.99).alias("p99_us"), F.max("held").alias("max_us"), p("recent", 0.95).alias("window_p95_us"))
+    summed = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("cumulative_samples"), mean.alias("avg_us"), F.count("held").alias("samples"), F.max("held").alias("max_us"), F.collect_list("held").alias("held"), F.collect_list("recent").alias("recent"))
+    asked = {"p50_us": ("held", 0.5), "p95_us": ("held", 0.95), "p99_us": ("held", 0.99), "window_p95_us": ("recent", 0.95)}
+    met = summed.withColumns({name: ends_of(F.col(c), q) for name, (c, q) in asked.items()})
+    p = {name: between_ranks(F.col(f"{name}.low"), F.col(f"{name}.high"), F.col(f"{name}.place")).alias(name) for name in asked}
+    return met.select(*keys, "cumulative_samples", "avg_us", "samples", p["p50_us"], p["p95_us"], p["p99_us"], "max_us", p["window_p95_us"])
 
 
 def running_percentile(rows: DataFrame, keys: list[str], order: str, value: str, size: int, p: float) -> DataFrame:
     """W6 at every row: percentile of the last ``size`` values."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - size, 0)
-    return rows.withColumn("value", F.round(F.percentile(value, p).over(w)).cast("long"))
+    met = rows.withColumn("_e", ends_of(F.collect_list(value).over(w), p))
+    return met.withColumn("value", between_ranks(F.col("_e.low"), F.col("_e.high"), F.col("_e.place"))).drop("_e")
 
 
 def pcr_accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
