@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -296,20 +298,36 @@ def timeline(essences: DataFrame, reach: int = 16, base_90k: int = 900_000, trus
     offset from the anchor is raw + k wrap + m 2**33 - anchor_raw - j anchor_wrap. Of all j and m within
     ``reach``, each with the k that comes nearest, the offset nearest to the time elapsed is taken (first the
     lowest j, then m); if none is within ``trust_90k`` of it, the time elapsed."""
-    turns = F.sequence(F.lit(-reach), F.lit(reach))
-    elapsed = F.col("elapsed").cast("double")
 
-    def offset(j: Column, m: Column) -> Column:
-        whole = F.col("raw") + m * float(PTS_WRAP) - (F.col("anchor_raw") + j * F.col("anchor_wrap"))
-        return F.round(whole + F.round((elapsed - whole) / F.col("wrap")) * F.col("wrap")).cast("long")
+    @F.pandas_udf("struct<off:long,d:long>")
+    def best(raw: pd.Series, wrap: pd.Series, anchor_raw: pd.Series, anchor_wrap: pd.Series, elapsed: pd.Series) -> pd.DataFrame:
+        given = np.stack([x.to_numpy(float, na_value=np.nan) for x in (raw, wrap, anchor_raw, anchor_wrap, elapsed)])
+        found = np.concatenate([nearest_turns(*given[:, at : at + 1024], reach) for at in range(0, given.shape[1], 1024)])
+        return pd.DataFrame(found, columns=["off", "d"]).astype("Int64")
 
-    ways = F.flatten(F.transform(turns, lambda j: F.transform(turns, lambda m: F.struct(F.abs(offset(j, m) - F.col("elapsed")).alias("off"), j.alias("j"), m.alias("m"), offset(j, m).alias("d")))))
-    best = F.array_min(ways)
-    found = essences.withColumn("_b", F.when(F.col("anchor_raw").isNotNull(), best))
+    found = essences.withColumn("_b", F.when(F.col("anchor_raw").isNotNull(), best(*[F.col(c).cast("double") for c in ("raw", "wrap", "anchor_raw", "anchor_wrap", "elapsed")])))
     joined = F.when(F.col("_b.off") <= trust_90k, F.col("_b.d")).otherwise(F.col("elapsed"))
     return found.withColumn("resolved", base_90k + F.when(F.col("anchor_raw").isNull(), 0).otherwise(joined)).drop("_b")
 
 
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, halves away from zero, as SQL rounds."""
+    low = np.floor(np.abs(x))
+    return np.copysign(low + (np.abs(x) - low >= 0.5), x)
+
+
+def nearest_turns(raw: np.ndarray, wrap: np.ndarray, anchor_raw: np.ndarray, anchor_wrap: np.ndarray, elapsed: np.ndarray, reach: int) -> np.ndarray:
+    """(off, d) of each row: the offset d of all turns within ``reach`` that is nearest to elapsed, and how far
+    it is; no number where any of them is missing."""
+    turns = np.arange(-reach, reach + 1, dtype=float)
+    at = (slice(None), None, None)
+    whole = raw[at] + turns * float(PTS_WRAP) - (anchor_raw[at] + turns[:, None] * anchor_wrap[at])
+    d = half_up(whole + half_up((elapsed[at] - whole) / wrap[at]) * wrap[at]).reshape(len(raw), -1)
+    off = np.abs(d - elapsed[:, None])
+    rows, first = np.arange(len(raw)), off.argmin(1)
+    return np.stack([off[rows, first], d[rows, first]], axis=1)
+
+
 def frame_rate(units: DataFrame, keys: list[str], order: str, stamp: str, least: int = 30) -> DataFrame:
     """90000 / mean of the first ``least`` steps within [1200, 90000], once there are as many."""
     step = F.pmod(F.col(stamp) - F.lag(stamp).over(Window.partitionBy(*keys).orderBy(order)), F.lit(1 << 33))
