@@ -319,9 +319,11 @@ def recover(rows: DataFrame, parities: DataFrame, columns: int, depth: int, valu
     media = rows.select("flow_id", F.floor(F.col(seq) / size).alias("cycle"), F.lit(0).alias("what"), (F.col(seq) % size).cast("long").alias("at"), F.col(value).cast("long").alias("v"))
     checks = parities.select("flow_id", "cycle", F.when(F.col("is_column"), 1).otherwise(2).alias("what"), F.col("index").cast("long").alias("at"), F.col(value).cast("long").alias("v"))
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        have = {a: v for w, a, v in zip(group["what"], group["at"], group["v"], strict=True) if w == 0}
-        lines = [([a + columns * r for r in range(depth)] if w == 1 else [a * columns + c for c in range(columns)], v) for w, a, v in zip(group["what"], group["at"], group["v"], strict=True) if w]
+    places = {(1, a): [a + columns * r for r in range(depth)] for a in range(columns)} | {(2, a): [a * columns + c for c in range(columns)] for a in range(depth)}
+
+    def solved(parts: list[dict]) -> list[tuple[int, int]]:
+        have = {p["at"]: p["v"] for p in parts if p["what"] == 0}
+        lines = [(places[p["what"], p["at"]], p["v"]) for p in parts if p["what"]]
         out, found = [], True
         while found:
             found = False
@@ -331,11 +333,18 @@ def recover(rows: DataFrame, parities: DataFrame, columns: int, depth: int, valu
                     for c in cells:
                         v ^= have.get(c, 0)
                     have[missing[0]] = v
-                    out.append((group["flow_id"].iloc[0], group["cycle"].iloc[0], missing[0], v))
+                    out.append((missing[0], v))
                     found = True
-        return pd.DataFrame(out, columns=["flow_id", "cycle", "cell", "value"]).astype("int64")
+        return out
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(f, c, cell, v) for f, c, parts in zip(frame["flow_id"], frame["cycle"], frame["parts"], strict=True) for cell, v in solved(parts)]
+            yield pd.DataFrame(out, columns=["flow_id", "cycle", "cell", "value"]).astype("int64")
 
-    return media.unionByName(checks).groupBy("flow_id", "cycle").applyInPandas(solve, "flow_id long, cycle long, cell long, value long")
+    # many cycles to a batch: a frame of its own for each takes longer than solving it
+    cycles = media.unionByName(checks).groupBy("flow_id", "cycle").agg(F.collect_list(F.struct("what", "at", "v")).alias("parts"))
+    return cycles.mapInPandas(solve, "flow_id long, cycle long, cell long, value long")
 
 
 def splice_points(switches: DataFrame, units: DataFrame, span_us: int = 1_000_000) -> DataFrame:
