@@ -1,5 +1,6 @@
 """Each training-data operator against a plain version, and on awkward rows."""
 
+import random
 import re
 from collections import Counter
 from hashlib import sha256
@@ -522,6 +523,26 @@ def test_links_over_the_top_bit():
     assert len(i) == 1 + 1
 
 
+def test_near_dedup_judges_pairs_that_hang_on_closer_ones(spark):
+    """A text, one with two words changed (0.84), and both in one (0.49 to each), which is closer to either by bits."""
+    r, rows = random.Random(5), []
+    for n in range(12):
+        words = [f"w{r.randrange(5000)}" for _ in range(120)]
+        a, b = " ".join(words), " ".join([*words[:40], "x", *words[41:80], "y", *words[81:]])
+        assert near_dedup.similarity_of(a, b, 5) >= 0.8 > near_dedup.similarity_of(a, f"{a} {b}", 5)
+        rows += [(10 * n, a), (10 * n + 1, b), (10 * n + 2, f"{a} {b}")]
+    kept = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10 * n + k for n in range(12) for k in (0, 2)]
+
+
+def test_tile_pairs_count_both_halves():
+    a, b = np.array([[0, 0]], "<u8"), np.array([[(1 << 30) - 1, 0], [0, (1 << 30) - 1], [(1 << 30) - 1, 7]], "<u8")
+    i, j = near_dedup.tile_candidates(a, b, 32)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1), (0, 2)]
+    found = list(near_dedup.tile_pairs(a, np.array([5]), b, np.array([5, 6, 6]), 32))
+    assert [(i.tolist(), j.tolist()) for i, j in found] == [([0], [2])]
+
+
 def test_near_dedup_stage_against_all_pairs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -163,6 +163,27 @@ def closest_links(distance: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     return np.array(kept, dtype=np.int64)
 
 
+def _near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances and places of all pairs of 128-bit values within ``radius`` bits, over both halves."""
+    d = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
+    d += np.bitwise_count(left[:, None, 1] ^ right[None, :, 1])
+    i, j = np.divmod(np.flatnonzero(d <= radius), len(right))
+    return d[i, j].astype(np.int64), i, j
+
+
+def tile_pairs(a: np.ndarray, ga: np.ndarray, b: np.ndarray | None, gb: np.ndarray | None, radius: int, rows: int = 64, cols: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``tile_candidates``, but gives all pairs within ``radius`` bits whose groups (``ga``, ``gb``) differ, a
+    block at a time."""
+    right, shift, groups = (a, 0, ga) if b is None else (b, len(a), gb)
+    for i0 in range(0, len(a), rows):
+        for j0 in range(i0 if b is None else 0, len(right), cols):
+            _, i, j = _near(a[i0 : i0 + rows], right[j0 : j0 + cols], radius)
+            i, j = i + i0, j + j0
+            apart = (ga[i] != groups[j]) & ((i < j) | (b is not None))
+            if apart.any():
+                yield i[apart], j[apart] + shift
+
+
 def tile_candidates(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64, cols: int = 2048, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Compares all of ``a`` with all of ``b`` (None: of ``a`` itself), two halves of 64 bits a row, and
     returns the places of pairs within ``radius`` bits: of each group that such pairs join a tree of the
@@ -172,9 +193,8 @@ def tile_candidates(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int
     for i0 in range(0, len(a), rows):
         left = a[i0 : i0 + rows]
         for j0 in range(i0 if b is None else 0, len(right), cols):
-            i, j = np.nonzero(np.bitwise_count(left[:, None, 0] ^ right[None, j0 : j0 + cols, 0]) <= radius * 2 // 3)
-            d = np.bitwise_count(left[i] ^ right[j + j0]).sum(axis=1, dtype=np.int64)
-            near = (d <= radius) & ((i + i0 < j + j0) | (b is not None))
+            d, i, j = _near(left, right[j0 : j0 + cols], radius)
+            near = (i + i0 < j + j0) | (b is not None)
             if near.any():
                 found = np.concatenate([found, [d[near], i[near] + i0, j[near] + j0 + shift]], axis=1)
                 if found.shape[1] > most:
@@ -183,9 +203,10 @@ def tile_candidates(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int
     return found[1], found[2]
 
 
-def wide_links(nodes: DataFrame, radius: int, tile: int = 8192) -> DataFrame:
+def wide_links(nodes: DataFrame, radius: int, tile: int = 8192, across: str | None = None) -> DataFrame:
     """Links (a, b) between rows (node, high, low) with 128-bit fingerprints within ``radius`` bits:
-    trees of the closest, so that a group of many copies isn't spelled out in pairs.
+    trees of the closest, so that a group of many copies isn't spelled out in pairs. With ``across``, the column
+    of each row's group, all pairs of rows of different groups instead.
 
     Rows are dealt into tiles with one population count of both halves each; as counts within the
     radius differ by it at most, only tile pairs with such counts meet. The driver sees 129 counts."""
@@ -193,7 +214,8 @@ def wide_links(nodes: DataFrame, radius: int, tile: int = 8192) -> DataFrame:
     sizes = {r["pc"]: r["count"] for r in nodes.groupBy("pc").count().collect()}
     tiles = F.array(*[F.lit(-(-sizes.get(p, 0) // tile)) for p in range(129)])
     dealt = nodes.withColumn("s", F.pmod(F.xxhash64("node"), F.element_at(tiles, F.col("pc") + 1)).cast("int"))
-    packed = dealt.groupBy("pc", "s").agg(F.collect_list(F.struct("node", "high", "low")).alias("rows"))
+    held = ["node", "high", "low", *([across] if across else [])]
+    packed = dealt.groupBy("pc", "s").agg(F.collect_list(F.struct(*held)).alias("rows"))
 
     def met(lo, hi):
         return F.flatten(F.transform(F.sequence(lo, hi), lambda p: F.transform(F.when(F.element_at(tiles, p + 1) > 0, F.sequence(F.lit(0), F.element_at(tiles, p + 1) - 1)).otherwise(F.array().cast("array<int>")), lambda q: F.struct(p.alias("pc"), q.alias("s")))))
@@ -201,18 +223,23 @@ def wide_links(nodes: DataFrame, radius: int, tile: int = 8192) -> DataFrame:
     own = F.struct("pc", "s")
     up = packed.select(own.alias("x"), F.explode(met(F.col("pc"), F.least(F.col("pc") + radius, F.lit(128)))).alias("y"), F.col("rows").alias("a")).where("y >= x")
     down = packed.select(F.explode(met(F.greatest(F.col("pc") - radius, F.lit(0)), F.col("pc"))).alias("x"), own.alias("y"), F.col("rows").alias("b")).where("y >= x")
-    unpacked = lambda of, side: [F.col(f"{of}.{n}").alias(f"{side}_{n}") for n in ("node", "high", "low")]
+    unpacked = lambda of, side: [F.col(f"{of}.{n}").alias(f"{side}_{n}") for n in held]
     pairs = up.join(down.hint("shuffle_merge"), ["x", "y"]).select((F.col("x") == F.col("y")).alias("same"), *unpacked("a", "a"), *unpacked("b", "b"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 left, right = np.stack([r.a_high, r.a_low], axis=1).view("<u8"), np.stack([r.b_high, r.b_low], axis=1).view("<u8")
-                i, j = tile_candidates(left, None if r.same else right, radius)
                 node = np.asarray(r.a_node if r.same else np.concatenate([r.a_node, r.b_node]), np.int64)
-                yield pd.DataFrame({"a": node[i], "b": node[j]})
+                if across:
+                    groups = [np.asarray(getattr(r, f"{side}_{across}"), np.int64) for side in "ab"]
+                    found = tile_pairs(left, groups[0], *((None, None) if r.same else (right, groups[1])), radius)
+                else:
+                    found = [tile_candidates(left, None if r.same else right, radius)]
+                for i, j in found:
+                    yield pd.DataFrame({"a": node[i], "b": node[j]})
 
-    return pairs.mapInPandas(compare, "a long, b long")
+    return pairs.mapInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 32) -> DataFrame:
@@ -221,8 +248,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
 
     Texts are linked if the weighted Jaccard similarity of their ``shingle``-word shingles is at least
     ``similarity``. Pairs to judge are those within ``radius`` of 128 bits of SimHash, found by tiled
-    exact comparison; of pairs in one tile pair a tree of the closest is judged, so a pair whose both
-    texts hang on closer ones that fail is missed. At the similarity of 0.8 about 20 bits differ, with
+    exact comparison: of pairs in one tile pair first a tree of the closest, so that a dense group isn't spelled
+    out, and then all that would still join different groups. At the similarity of 0.8 about 20 bits differ, with
     a deviation of 4. Equal fingerprints are one text (those of texts without words, too)."""
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, row_hash(docs))
@@ -243,7 +270,10 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     linked = nodes.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "first.k")
     texts = materialise(rows.join(linked, "k").groupBy("node").agg(F.first("t").alias("t")), "texts")
     side = lambda x: texts.select(F.col("node").alias(x), F.col("t").alias(f"t{x}"))
-    judged = links.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b")
-    groups = nodes.join(connected_components(judged).withColumnRenamed("component", "of"), "node", "left").groupBy(F.coalesce("of", "node").alias("group"))
+    judge = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b")
+    judged = materialise(judge(links), "judged")
+    named = linked.select("node").join(nodes, "node").select("node", "high", "low").join(connected_components(judged), "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+    more = judge(wide_links(materialise(named, "named"), radius, across="of").join(links, ["a", "b"], "left_anti").distinct())
+    groups = nodes.join(connected_components(judged.unionAll(more)).withColumnRenamed("component", "of"), "node", "left").groupBy(F.coalesce("of", "node").alias("group"))
     kept = groups.agg(F.min("first").alias("first")).select(F.col("first.k").alias(key))
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
