@@ -83,3 +83,25 @@ def test_what_is_no_capture(sources):
     with pytest.raises(ValueError, match="mounted"):
         captures.local_path("s3://bucket/x")
     assert captures.local_path("file:///a/b") == captures.local_path("file:/a/b") == "/a/b"
+
+
+def test_ranges_of_a_large_file_are_bounded(sources):
+    """Many times the ranges: they get longer, cover each byte once, and give the same rows."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    sent = [(1000 * i, frame(bytes([i & 255]) * (20 + i % 50))) for i in range(2000)]
+    with open(f"{folder}/a.pcap", "wb") as f:
+        f.write(pcap(sent))
+    size = os.path.getsize(f"{folder}/a.pcap")
+    cut = captures.ranges(folder, ".pcap", 16)
+    assert size > 16 * 4 * captures.MOST_RANGES and len(cut) <= captures.MOST_RANGES + 1
+    assert [r.start for r in cut] == [0, *[r.end for r in cut[:-1]]] and cut[-1].end == size
+    read = lambda split: sorted((r["recv_us"], bytes(r["data"])) for r in sources.read.format("pcap").option("splitBytes", split).load(folder).collect())
+    assert read(1 << 12) == sorted((t, f[42:]) for t, f in sent)
+
+
+def test_windows_go_back(tmp_path):
+    data = random.Random(3).randbytes(100_000)
+    (tmp_path / "a").write_bytes(data)
+    with open(tmp_path / "a", "rb") as file:
+        window = captures._Window(file, 10, 4096)
+        assert all(window.get(at, 100) == data[at : at + 100] for at in (10, 50_000, 11, 99_990, 20_000))

@@ -23,6 +23,10 @@ MAGIC, FILE_HEADER, RECORD_HEADER, CELL, SYNC = 0xA1B2C3D4, 24, 16, 188, 0x47
 RUN = 5
 #: Cells that are read before a range to get in step.
 LEAD = 64
+#: Ranges that what is read is cut into, but for one a file more: beyond, ranges get longer, as each is a task.
+MOST_RANGES = 1024
+#: Bytes read at a time, and the fewest.
+PIECE, LEAST_PIECE = 1 << 20, 1 << 12
 #: Largest record, when a file's own limit is 0 or larger.
 SNAP = 262_144
 
@@ -34,6 +38,10 @@ class Range(InputPartition):
     end: int
     size: int
 
+    def piece(self) -> int:
+        """Bytes to read at a time, so that a short range doesn't read far into the next ones."""
+        return min(PIECE, max(LEAST_PIECE, self.end - self.start))
+
 
 def local_path(path: str) -> str:
     """A path that Python can open."""
@@ -46,17 +54,21 @@ def ranges(path: str, ending: str, split: int) -> list[Range]:
     path = local_path(path)
     files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(ending)) if os.path.isdir(path) else [path]
     sized = [(f, os.path.getsize(f)) for f in files]
+    split = max(split, -(-sum(size for _, size in sized) // MOST_RANGES))
     return [Range(f, at, min(at + split, size), size) for f, size in sized for at in range(0, size, split)]
 
 
 class _Window:
     """A file's bytes from some place on, read in pieces; what lies behind the place asked for last is let go."""
 
-    def __init__(self, file, at: int, piece: int = 1 << 20):
+    def __init__(self, file, at: int, piece: int):
         self.file, self.base, self.held, self.piece = file, at, b"", piece
         file.seek(at)
 
     def get(self, at: int, n: int) -> bytes:
+        if at < self.base:
+            self.base, self.held = at, b""
+            self.file.seek(at)
         if at > self.base + self.piece:
             drop = min(at - self.base, len(self.held))
             self.held, self.base = self.held[drop:], self.base + drop
@@ -103,7 +115,7 @@ class _CellReader(_RangeReader):
         in step the next one alone has to. Reading begins some cells before the range, so that a place that
         only looks in step has been left when the range begins."""
         at, locked = max(part.start - LEAD * CELL, 0), False
-        window = _Window(file, at)
+        window = _Window(file, at, part.piece())
         while at < part.end and at + CELL <= part.size:
             ahead = range(at, min(at + (1 if locked else RUN) * CELL + 1, part.size), CELL)
             if all(window.get(x, 1)[0] == SYNC for x in ahead):
@@ -125,7 +137,7 @@ class _PacketReader(_RangeReader):
             raise ValueError(f"{part.path} isn't a capture file in microseconds")
         snap, link = struct.unpack(order + "II", head[16:])
         snap = min(snap or SNAP, SNAP)
-        window, at = _Window(file, max(part.start, FILE_HEADER)), max(part.start, FILE_HEADER)
+        window, at = _Window(file, max(part.start, FILE_HEADER), part.piece()), max(part.start, FILE_HEADER)
 
         def record(at: int) -> tuple[int, int, int, int] | None:
             raw = window.get(at, RECORD_HEADER)
@@ -216,7 +228,7 @@ class _PacketWriter(DataSourceWriter):
 
 class PcapSource(DataSource):
     """UDP datagrams of capture files: address, port, recv_us, data. Options: path (a file, or a folder of .pcap
-    files) and splitBytes. Written as files of Ethernet frames."""
+    files) and splitBytes, which grows beyond MOST_RANGES ranges. Written as files of Ethernet frames."""
 
     @classmethod
     def name(cls) -> str:
@@ -234,7 +246,7 @@ class PcapSource(DataSource):
 
 class TransportStreamSource(DataSource):
     """Cells of transport stream files: file, place (its first byte), cell. Options: path (a file, or a folder of
-    .ts files) and splitBytes. Bytes between which no cells are in step are left out."""
+    .ts files) and splitBytes, which grows beyond MOST_RANGES ranges. Bytes between which no cells are in step are left out."""
 
     @classmethod
     def name(cls) -> str:
