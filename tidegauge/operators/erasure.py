@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +19,41 @@ AT_ONCE = 1 << 24
 CELL, COLUMN, ROW = 0, 1, 2
 
 
-def _slices(frames: Iterator[pd.DataFrame], columns: int, depth: int) -> Iterator[tuple]:
+def _slices(batches: Iterator[pa.RecordBatch], columns: int, depth: int) -> Iterator[tuple]:
     """(rows, have, data) of some matrices at a time. ``data`` has L * D cells, then L column parities, then D row
     parities a matrix; a cell is its length (two bytes; a parity has the lengths' parity there) and its payload,
-    filled up with zeros. What isn't there is zero and false in ``have``."""
-    size, offset = columns * depth, (0, columns * depth, columns * depth + columns)
-    for frame in frames:
-        widths = frame["parts"].map(lambda parts: max(len(p["data"]) for p in parts)).to_numpy()
-        step = max(1, AT_ONCE // (int(widths.max(initial=1)) * (size + columns + depth)))
-        for first in range(0, len(frame), step):
-            rows = frame.iloc[first : first + step].reset_index(drop=True)
-            data = np.zeros((len(rows), size + columns + depth, int(widths[first : first + step].max())), np.uint8)
+    filled up with zeros. What isn't there is zero and false in ``have``. Parts are laid out from Arrow's buffers:
+    as Python objects those of one batch would take hundreds of megabytes."""
+    size, offset = columns * depth, np.array([0, columns * depth, columns * depth + columns])
+    for batch in batches:
+        keys = pd.DataFrame({k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("flow_id", "base")})
+        parts, per_row = batch.column("parts").flatten(), pc.list_value_length(batch.column("parts")).to_numpy(zero_copy_only=False)
+        what, at, held = parts.flatten()
+        place, length = offset[what.to_numpy(zero_copy_only=False)] + at.to_numpy(zero_copy_only=False), pc.binary_length(held).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(per_row)])
+        step = max(1, AT_ONCE // (int(length.max(initial=1)) * (size + columns + depth)))
+        for first in range(0, len(keys), step):
+            rows = keys.iloc[first : first + step].reset_index(drop=True)
+            own = slice(ends[first], ends[first + len(rows)])
+            widths, matrix = length[own], np.repeat(np.arange(len(rows)), per_row[first : first + len(rows)])
+            data = np.zeros((len(rows), size + columns + depth, int(widths.max(initial=1))), np.uint8)
             have = np.zeros(data.shape[:2], bool)
-            for n, parts in enumerate(rows["parts"]):
-                for p in parts:
-                    at = offset[p["what"]] + p["at"]
-                    data[n, at, : len(p["data"])] = np.frombuffer(p["data"], np.uint8)
-                    have[n, at] = True
+            have[matrix, place[own]] = True
+            inside = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+            joined = np.frombuffer(b"".join(held[own.start : own.stop].to_pylist()), np.uint8)
+            data[np.repeat(matrix, widths), np.repeat(place[own], widths), inside] = joined
             yield rows, have, data
 
 
+#: What is given back.
+PARITIES = pa.schema([("flow_id", pa.int64()), ("base", pa.int64()), ("is_column", pa.bool_()), ("index", pa.int64()), ("payload", pa.binary())])
+RECOVERED = pa.schema([("flow_id", pa.int64()), ("vseq", pa.int64()), ("payload", pa.binary())])
+
+
+def _arrow(rows: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(pd.DataFrame(rows), schema, preserve_index=False)
+
+
 def _solved(have: np.ndarray, data: np.ndarray, columns: int, depth: int) -> np.ndarray:
     """Fills cells of ``data`` in place: a line (column or row) with its parity and but one cell missing gives that
     cell, until no line does. Returns which cells were filled."""
@@ -79,16 +96,16 @@ def byte_parity(media: DataFrame, bases: DataFrame, columns: int, depth: int) ->
     (flow_id, base; distinct) all of whose cells are in ``media`` (flow_id, vseq, payload). Numbers are unwrapped,
     a number is there once at most, payloads are not null and under 64 KiB. No rows give no rows."""
 
-    def encode(frames):
-        for rows, have, data in _slices(frames, columns, depth):
+    def encode(batches):
+        for rows, have, data in _slices(batches, columns, depth):
             whole = have[:, : columns * depth].all(1)
             rows, grid = rows[whole], data[whole, : columns * depth].reshape(int(whole.sum()), depth, columns, -1)
             for name, axis in ((True, 1), (False, 2)):
                 sums = np.bitwise_xor.reduce(grid, axis)
                 k = sums.shape[1]
-                yield pd.DataFrame({"flow_id": np.repeat(rows["flow_id"].to_numpy(), k), "base": np.repeat(rows["base"].to_numpy(), k), "is_column": name, "index": np.tile(np.arange(k), len(rows)), "payload": [s.tobytes() for s in sums.reshape(-1, sums.shape[-1])]})
+                yield _arrow({"flow_id": np.repeat(rows["flow_id"].to_numpy(), k), "base": np.repeat(rows["base"].to_numpy(), k), "is_column": name, "index": np.tile(np.arange(k), len(rows)), "payload": pd.Series([s.tobytes() for s in sums.reshape(-1, sums.shape[-1])], dtype=object)}, PARITIES)
 
-    return _matrices(bases, media, None, columns * depth).mapInPandas(encode, "flow_id long, base long, is_column boolean, index long, payload binary")
+    return _matrices(bases, media, None, columns * depth).mapInArrow(encode, "flow_id long, base long, is_column boolean, index long, payload binary")
 
 
 def recover_bytes(media: DataFrame, parities: DataFrame, columns: int, depth: int) -> DataFrame:
@@ -98,14 +115,14 @@ def recover_bytes(media: DataFrame, parities: DataFrame, columns: int, depth: in
     first packets are lost; packets of no matrix restore nothing. A matrix of which no packet came has but
     parities and restores nothing unless L or D is 1. Rows come back in no order."""
 
-    def solve(frames):
+    def solve(batches):
         size = columns * depth
-        for rows, have, data in _slices(frames, columns, depth):
+        for rows, have, data in _slices(batches, columns, depth):
             matrix, cell = np.nonzero(_solved(have, data, columns, depth))
             found = data[matrix, cell]
             length = found[:, 0].astype(int) * 256 + found[:, 1]
             payload = [row[2 : 2 + n].tobytes() for row, n in zip(found, length, strict=True)]
-            yield pd.DataFrame({"flow_id": rows["flow_id"].to_numpy()[matrix], "vseq": rows["base"].to_numpy()[matrix] + cell, "payload": payload})
+            yield _arrow({"flow_id": rows["flow_id"].to_numpy()[matrix], "vseq": rows["base"].to_numpy()[matrix] + cell, "payload": pd.Series(payload, dtype=object)}, RECOVERED)
 
     bases = parities.select("flow_id", "base").distinct()
-    return _matrices(bases, media, parities, columns * depth).mapInPandas(solve, "flow_id long, vseq long, payload binary")
+    return _matrices(bases, media, parities, columns * depth).mapInArrow(solve, "flow_id long, vseq long, payload binary")
