@@ -543,6 +543,25 @@ def test_tile_pairs_count_both_halves():
     assert [(i.tolist(), j.tolist()) for i, j in found] == [([0], [2])]
 
 
+def test_near_dedup_judges_a_dense_group_within_tiles(spark):
+    """Texts that are all within the radius, of which few are alike: no pair is a row, whatever tiles they are in, and
+    what is linked is what all pairs link."""
+    r = random.Random(7)
+    words = [f"w{r.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(w if r.random() > 0.03 + n % 5 / 100 else "x" for w in words) for n in range(90)] + [" ".join(words + words[:4])] * 2
+    rows = [(n, *near_dedup.wide_simhash(t, 5), t) for n, t in enumerate(texts)]
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if ((rows[i][1] ^ rows[j][1]) & (1 << 64) - 1).bit_count() + ((rows[i][2] ^ rows[j][2]) & (1 << 64) - 1).bit_count() <= 32]
+    alike = [(i, j) for i, j in pairs if near_dedup.similarity_of(texts[i], texts[j], 5) >= 0.8]
+    groups = lambda links: {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    want = groups(spark.createDataFrame(alike, "a long, b long"))
+    given = spark.createDataFrame([(0, *row) for row in rows], "group long, node long, high long, low long, t string")
+    for tile in (1024, 20):
+        links = near_dedup.alike_links(given, 5, 0.8, 32, rows=tile)
+        assert groups(links) == want and links.count() < 400 < len(pairs) - len(alike)
+    kept = near_dedup.near_dedup(given.select("node", "t"), "t", "node")
+    assert "LeftAnti" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_dedup_stage_against_all_pairs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
