@@ -50,28 +50,14 @@ def section_parts(cells: DataFrame, order: str, checked: bool = True) -> DataFra
     return listed.select("flow_id", "pid", "unit", order, "start", "before", "part")
 
 
-@tables.on_call("struct<at:long,section:binary>")
-def _completed(units: pd.Series) -> pd.DataFrame:
-    """The section that each unit's parts hold, and the place of the cell that completes it."""
-    out = []
-    for parts in units:
-        data, found = b"", (None, None)
-        for x in sorted(parts, key=lambda x: x["at"]):
-            data += x["part"]
-            size = 3 + ((data[1] & 0x0F) << 8 | data[2]) if len(data) >= 3 else CAP + 1
-            if len(data) > CAP or len(data) >= size:
-                found = (x["at"], data[:size]) if len(data) <= CAP else found
-                break
-        out.append(found)
-    return pd.DataFrame(out, columns=["at", "section"]).astype({"at": "Int64"})
-
-
 def sections(parts: DataFrame, order: str) -> DataFrame:
     """Q19: (flow_id, pid, unit, order, section) of ``section_parts``, with ``order`` of the cell that completes
     it; sections that aren't completed within CAP bytes are left out, and what follows one in its cell too."""
-    units = parts.groupBy("flow_id", "pid", "unit").agg(F.collect_list(F.struct(F.col(order).alias("at"), "part")).alias("parts"))
-    done = units.select("flow_id", "pid", "unit", _completed("parts").alias("s")).where("s.at IS NOT NULL")
-    return done.select("flow_id", "pid", "unit", F.col("s.at").alias(order), "s.section")
+    units = parts.groupBy("flow_id", "pid", "unit").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), (F.col("before") + F.length("part")).alias("end"), "part"))).alias("parts"))
+    joined = units.withColumn("data", F.aggregate("parts", F.lit(b""), lambda data, x: F.concat(data, x["part"])))
+    sized = joined.withColumn("size", F.when(F.length("data") >= 3, 3 + bits.bits(bits.uint(F.col("data"), 1, 2), 0, 0x0FFF)).cast("int"))
+    done = sized.withColumn("last", F.get(F.filter("parts", lambda x: x["end"] >= F.col("size")), F.lit(0))).where(F.col("last.end") <= CAP)
+    return done.select("flow_id", "pid", "unit", F.col("last.at").alias(order), F.substring("data", F.lit(1), F.col("size")).alias("section"))
 
 
 def table_parts(cells: DataFrame, order: str, checked: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ lost in each seventh."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ def _map_body(g: int) -> bytes:
     return b"\2" + head + (0xE000 | 256 + h % 16).to_bytes(2, "big") + b"\xf0\0" + streams
 
 
+@lru_cache(maxsize=1 << 12)
 def _tables(g: int) -> bytes:
     own = [] if g % 11 == 10 else [(1, 4096 + g // 4 % 2)]
     listed = own + [(n, 4608 + n) for n in range(2, 61)]
