@@ -7,7 +7,9 @@ of a second, from which windows and gates, plain aggregates, make all loudness f
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -120,15 +122,16 @@ def peaks(samples: np.ndarray, before: np.ndarray, rate: int) -> np.ndarray:
     reach = phases.shape[1] - 1
     joined = np.concatenate([np.zeros((max(reach - len(before), 0), samples.shape[1])), before[max(len(before) - reach, 0) :], samples])
     windows = np.lib.stride_tricks.sliding_window_view(joined, reach + 1, axis=0)
-    return np.abs(windows @ phases[:, ::-1].T).max(axis=(1, 2)) if len(samples) else np.zeros(0)
+    # one product of two flat matrices, not one for each sample
+    return np.abs(windows.reshape(-1, reach + 1) @ phases[:, ::-1].T).reshape(len(samples), -1).max(axis=1) if len(samples) else np.zeros(0)
 
 
 class _Weighting(Scan):
     """Slots' energies of rows (first_sample, pcm: interleaved floats). A state is the filter's and the samples
     that interpolation looks back on."""
 
-    def __init__(self, keys: list[str], rate: int, channels: int):
-        self.keys, self.rate, self.channels = keys, rate, channels
+    def __init__(self, keys: list[str], rate: int, channels: int, decode: Callable[[Any], np.ndarray] | None = None):
+        self.keys, self.rate, self.channels, self.decode = keys, rate, channels, decode or (lambda pcm: np.asarray(pcm, dtype=float))
         weights = WEIGHTS_OF.get(channels, [*WEIGHTS, *[0.0] * channels])[:channels]
         self.weights, self.slot = np.array(weights), (rate + 5) // 10
 
@@ -136,7 +139,7 @@ class _Weighting(Scan):
         return np.zeros((self.channels, 4)), np.zeros((0, self.channels))
 
     def _samples(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = [np.asarray(p, dtype=float).reshape(-1, self.channels) for p in frame["pcm"]]
+        rows = [self.decode(p).reshape(-1, self.channels) for p in frame["pcm"]]
         places = [first + np.arange(len(r)) for first, r in zip(frame["first_sample"], rows, strict=True)]
         return np.concatenate(rows), np.concatenate(places)
 
@@ -151,20 +154,23 @@ class _Weighting(Scan):
     def run(self, state, frame):
         samples, places = self._samples(frame)
         weighted, _ = weigh(samples, state[0], self.rate)
-        slots = places // self.slot
-        told = pd.DataFrame({"slot": slots, "energy": (weighted**2) @ self.weights, "peak": peaks(samples, state[1], self.rate), "samples": 1}).groupby("slot").agg({"energy": "sum", "peak": "max", "samples": "sum"}).reset_index()
-        return told.assign(**{k: frame[k].iloc[0] for k in self.keys})[[*self.keys, "slot", "energy", "peak", "samples"]]
+        slots, at, n = np.unique(places // self.slot, return_inverse=True, return_counts=True)
+        highest = np.zeros(len(slots))
+        np.maximum.at(highest, at, peaks(samples, state[1], self.rate))
+        energy = np.bincount(at, (weighted**2) @ self.weights, len(slots))
+        return pd.DataFrame({k: frame[k].iloc[0] for k in self.keys} | {"slot": slots, "energy": energy, "peak": highest, "samples": n})
 
 
-def slot_energies(pcm: DataFrame, keys: list[str], rate: int, channels: int, bucket_s: int = 10) -> DataFrame:
+def slot_energies(pcm: DataFrame, keys: list[str], rate: int, channels: int, bucket_s: int = 10, decode: Callable[[Any], np.ndarray] | None = None) -> DataFrame:
     """(keys, slot, energy, peak, samples) of ``pcm`` (keys, first_sample, pcm): for each tenth of a second the sum
     of the weighted channels' squares, and the largest interpolated magnitude. pcm are interleaved floats,
     full scale 1, and first_sample is the stream's own count of samples, by which slots go; the filter goes
-    on over what is missing. A null or empty pcm is left out."""
-    rows = pcm.where(F.size("pcm") > 0).select(*keys, "first_sample", "pcm")
+    on over what is missing. A null or empty pcm is left out. With ``decode``, pcm is what that makes such floats of
+    (one at least), in the tasks that go through them, so that no row holds them."""
+    rows = pcm.where(F.col("pcm").isNotNull() if decode else F.size("pcm") > 0).select(*keys, "first_sample", "pcm")
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", slot long, energy double, peak double, samples long"
-    found = block_scan(rows, keys, ["first_sample"], F.floor(F.col("first_sample") / (rate * bucket_s)), _Weighting(keys, rate, channels), schema)
+    found = block_scan(rows, keys, ["first_sample"], F.floor(F.col("first_sample") / (rate * bucket_s)), _Weighting(keys, rate, channels, decode), schema)
     return found.groupBy(*keys, "slot").agg(F.sum("energy").alias("energy"), F.max("peak").alias("peak"), F.sum("samples").alias("samples"))
 
 

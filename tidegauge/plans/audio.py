@@ -5,7 +5,6 @@ whose sums are exact in any order."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,25 +16,22 @@ from .registry import query
 RATE, FRAME = 8000, 320
 
 
-def tones(spark, d) -> DataFrame:
-    """(flow_id, first_sample, pcm): a louder, a softer and a silent second after one another."""
-
-    @F.pandas_udf("array<double>")
-    def built(vseq: pd.Series, cents: pd.Series) -> pd.Series:
-        def one(n: int, c: int) -> np.ndarray:
-            t = n * FRAME + np.arange(FRAME)
-            level = (0.5, 0.05, 0.0)[n // 25 % 3] * (1 + c % 100 / 1000)
-            return np.repeat(level * np.sin(2 * np.pi * 997 * t / RATE), 2)
+def tone(sent: list[int]) -> np.ndarray:
+    """The samples of a packet (its place and value): a louder, a softer and a silent second after one another."""
+    n, c = (int(x) for x in sent)
+    t = n * FRAME + np.arange(FRAME)
+    level = (0.5, 0.05, 0.0)[n // 25 % 3] * (1 + c % 100 / 1000)
+    return np.repeat(level * np.sin(2 * np.pi * 997 * t / RATE), 2)
 
-        return pd.Series([one(int(n), int(c)) for n, c in zip(vseq, cents, strict=True)])
 
-    p = packets(spark, d).select("flow_id", "vseq", "cents")
-    return p.select("flow_id", (F.col("vseq") * FRAME).alias("first_sample"), built("vseq", "cents").alias("pcm"))
+def tones(spark, d) -> DataFrame:
+    """(flow_id, first_sample, pcm), of which ``tone`` makes the samples."""
+    return packets(spark, d).select("flow_id", (F.col("vseq") * FRAME).alias("first_sample"), F.array("vseq", "cents").alias("pcm"))
 
 
 @query("a22_loudness")
 def a22(spark, d):
-    slots = stored(loudness.slot_energies(tones(spark, d), ["flow_id"], RATE, 2, bucket_s=2), "slots")
+    slots = stored(loudness.slot_energies(tones(spark, d), ["flow_id"], RATE, 2, bucket_s=2, decode=tone), "slots")
     found = loudness.programme_loudness(slots, ["flow_id"], RATE)
     return found.select("flow_id", *[F.round(c, 3).alias(c) for c in ("integrated", "loudness_range", "true_peak_db")])
 
