@@ -311,6 +311,38 @@ def test_lines_with_letters_changed_all_over(spark):
     assert got.count([1]) >= 0.95 * pairs, got.count([1])
 
 
+def test_short_lines_meet_longer_ones(spark):
+    """Pairs on both sides of the length up to which lines are cut into segments, each edited so that no run of words
+    is left, by edit similarity alone."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in (4, 9, 20, 27, 31, 32, 33, 36, 39, 40):
+        for kind in range(6):
+            line = "".join(rng.choice(list("abcdefgh     "), size - 2)).strip() + "zz"
+            line = "q" * (size - len(" ".join(line.split()))) + " ".join(line.split())
+            other, edits = list(line), max(1, (size + 1) // 5)
+            for at in sorted(rng.choice(size, min(edits, size), replace=False), reverse=True):
+                other[at] = (other[at] + "#", "#", "é#")[kind % 3]
+            rows.append((len(rows), line + "\n" + "".join(other)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: list(r["dropped"]) for r in line_dedup.line_decisions(df.select("doc_id", F.concat(F.lit("uid"), "doc_id").alias("uid"), "text"), "uid").collect()}
+    lines = list(dict.fromkeys(" ".join(x.split()) for _, t in rows for x in t.split("\n")))
+    group = {x: x for x in lines}
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if group[a] != group[b] and 5 * edit(a, b) <= max(len(a), len(b)):
+                old, new = group[a], group[b]
+                group = {k: new if v == old else v for k, v in group.items()}
+    seen, want = set(), {}
+    for d, t in rows:
+        want[d] = []
+        for n, x in enumerate(" ".join(x.split()) for x in t.split("\n")):
+            want[d] += [n] if group[x] in seen else []
+            seen.add(group[x])
+    assert got == want
+    assert sum(len(x.split("\n")[0]) <= 32 < len(x.split("\n")[1]) for d, x in rows if want[d] == [1]) > 3
+
+
 def test_near_duplicates(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     out = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op4_simhash_near_dedup(spark, sf_dir).collect()}
