@@ -343,6 +343,43 @@ def test_short_lines_meet_longer_ones(spark):
     assert sum(len(x.split("\n")[0]) <= 32 < len(x.split("\n")[1]) for d, x in rows if want[d] == [1]) > 3
 
 
+def test_longer_lines_all_meet(spark):
+    """Lines of more than 40 characters with an edit in every word, now in its front and now in its back, so that no run of
+    words, fronts or backs is left; and with as many edits as are allowed, anywhere. By edit similarity alone."""
+    rng = np.random.default_rng(9)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = []
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "enthai"):
+        for n in (5, 7, 11):
+            words = [word(letters, 9) for _ in range(n)]
+            other = [w[:1] + "#" + w[2:] if i % 2 else w[:-2] + "#" + w[-1:] for i, w in enumerate(words)]
+            rows.append(" ".join(words) + "\n" + " ".join(other))
+    for size in (41, 45, 51, 52, 63, 64, 65, 80, 99, 130):
+        for kind in range(3):
+            line = word("abcdefgh  ", size - 2).replace(" ", "x", 1)
+            line = "q" * (size - len(" ".join(line.split()))) + " ".join(line.split())
+            other = list(line)
+            for at in rng.choice(size, size // 5, replace=False):
+                other[at] = (other[at] + "#", "#", "é")[kind]
+            rows.append(line + "\n" + "".join(other))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["dropped"]) for r in line_dedup.line_decisions(df.withColumn("uid", F.col("doc_id")), "uid").collect()}
+    lines = list(dict.fromkeys(" ".join(x.split()) for t in rows for x in t.split("\n")))
+    group = {x: x for x in lines}
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if group[a] != group[b] and 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * edit(a, b) <= max(len(a), len(b)):
+                old, new = group[a], group[b]
+                group = {k: new if v == old else v for k, v in group.items()}
+    seen, want = set(), {}
+    for d, t in enumerate(rows):
+        want[d] = []
+        for n, x in enumerate(" ".join(x.split()) for x in t.split("\n")):
+            want[d] += [n] if group[x] in seen else []
+            seen.add(group[x])
+    assert got == want and all(want[d] == [1] for d in range(9))
+
+
 def test_near_duplicates(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     out = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op4_simhash_near_dedup(spark, sf_dir).collect()}
